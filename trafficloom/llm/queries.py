@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pfor
+from . import bpe, divergence_rules, langid, pfor, pii_anchors, quality_cnn
 from .common import read_table
 
 
+def op1_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_predictions(read_table(spark, sf_dir, "documents"))
+
+
+def op3_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.held_out_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+def op5_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_anchors.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -16,5 +32,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.file_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_bpe_segment_tree, op9_token_files)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_spans, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op8_bpe_segment_tree, op9_token_files,
+)}
 ORACLE: dict[str, str] = {}
