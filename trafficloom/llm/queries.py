@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, divergence_rules, langid, pfor, pii_anchors, quality_cnn
+from . import bloom_lm, bpe, divergence_rules, langid, pfor, pii_anchors, quality_cnn
 from .common import read_table
 
 
@@ -32,7 +32,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.file_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.held_out_scores(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_spans, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op8_bpe_segment_tree, op9_token_files,
+    op10_log_frequency_bloom,
 )}
 ORACLE: dict[str, str] = {}
