@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, bpe, divergence_rules, langid, pfor, pii_anchors, quality_cnn
+from . import bloom_lm, bpe, divergence_rules, langid, pfor, pii_anchors, quality_cnn, simhash
 from .common import read_table
 
 
@@ -24,6 +24,10 @@ def op5_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_anchors.report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edit_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_spans, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op8_bpe_segment_tree, op9_token_files,
+    op1_language_spans, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op6_simhash, op8_bpe_segment_tree, op9_token_files,
     op10_log_frequency_bloom,
 )}
 ORACLE: dict[str, str] = {}
