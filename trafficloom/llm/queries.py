@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, bpe, divergence_rules, langid, pfor, pii_anchors, quality_cnn, simhash
+from . import bloom_lm, bpe, divergence_rules, langid, mixing, pfor, pii_anchors, quality_cnn, simhash
 from .common import read_table
 
 
@@ -28,6 +28,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edit_report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_spans, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op6_simhash, op8_bpe_segment_tree, op9_token_files,
+    op1_language_spans, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op6_simhash, op7_hierarchical_mixing, op8_bpe_segment_tree, op9_token_files,
     op10_log_frequency_bloom,
 )}
 ORACLE: dict[str, str] = {}
