@@ -1,10 +1,54 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline of five stages over `documents`, each written to the shared folder and read again.
+
+quality classifier (rejected documents go), word n-gram Jaccard join (one document of each group
+stays), personal data (replaced in the texts), mixing to target weights (documents are drawn for whole
+or partial epochs), byte-level BPE (ids of each drawn text, and whether they spell it again).
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trafficloom.llm import bpe, mixing, pii_anchors, quality_cnn, setjoin
+from trafficloom.llm.common import materialise, read_table
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_cnn.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return setjoin.keep_one(docs, setjoin.Likeness(words=5, num=80, den=100))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii_anchors.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.keep_mixed(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")), text="decoded")
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), same.alias("lossless"), "ids")
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", deduplicate),
+    ("PII", redact),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding and decoding", tokenize),
+]
+
+ORACLE_SQL = None  # no stage of these can be expressed in SQL
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.split()[0].lower()}")
+    return docs

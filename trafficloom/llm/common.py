@@ -8,7 +8,7 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -87,3 +87,17 @@ def byte_words(text: str) -> list[bytes]:
 
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def hash_sample(rows: DataFrame, key: str, per_key: int) -> DataFrame:
+    """At most per_key rows (doc_id, key) of each key, chosen by a hash of doc_id.
+
+    Large keys are thinned by the hash to about twice what is wanted before rows are ranked, so no
+    task ranks a whole hot key.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).withColumnRenamed(key, "_key")
+    share = F.lit(float(2 * per_key)) / F.col("_n")
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    thin = rows.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).where(draw < share).drop("_key", "_n")
+    order = Window.partitionBy(key).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return thin.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_key).drop("_k")

@@ -21,10 +21,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, prepare, record_batch, split_residue
+from .common import batches, hash_sample, prepare, record_batch, split_residue
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -163,8 +163,7 @@ def learn(training: DataFrame, per_language: int = 1000) -> LanguageModel | None
     """A model from rows with text and lang; None if there is no usable row."""
     prepare(training.sparkSession)
     rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id").distinct()
+    chosen = hash_sample(rows.select("doc_id", "lang"), "lang", per_language).select("doc_id").distinct()
     sample = rows.select("doc_id", "text", "lang").join(chosen, "doc_id", "left_semi").select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
     width = BUCKETS + len(SCRIPTS)

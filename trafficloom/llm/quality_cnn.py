@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, prepare, record_batch, split_residue
+from .common import batches, hash_sample, prepare, record_batch, split_residue
 
 CHUNK, HOP = 512, 448
 WIDTH, STRIDE = 8, 4
@@ -104,8 +104,7 @@ class ByteConvNet:
 def learn(documents: DataFrame, labels: DataFrame, per_label: int = 1500, train_chunks: int = 6) -> ByteConvNet | None:
     """Train on a bounded sample of the labelled rows (doc_id, quality) of `labels`."""
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label).drop("k")
+    chosen = hash_sample(known, "quality", per_label)
     # Only what training uses leaves the executors: evenly spaced chunks of at most 2 * per_label documents.
     n, size = F.length(F.col("data")), F.lit(CHUNK)
     spaced = F.transform(

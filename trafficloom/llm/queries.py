@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, bpe, divergence_rules, langid, mixing, pfor, pii_anchors, quality_cnn, simhash
+from . import bloom_lm, bpe, divergence_rules, langid, mixing, pfor, pii_anchors, quality_cnn, setjoin, simhash
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(read_table(spark, sf_dir, "documents"))
 
 
+def op2_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked(read_table(spark, sf_dir, "documents"), setjoin.Likeness(words=3, num=90, den=100))
+
+
 def op3_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.held_out_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_spans, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op6_simhash, op7_hierarchical_mixing, op8_bpe_segment_tree, op9_token_files,
+    op1_language_spans, op2_pigeonhole_join, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op6_simhash, op7_hierarchical_mixing, op8_bpe_segment_tree, op9_token_files,
     op10_log_frequency_bloom,
 )}
 ORACLE: dict[str, str] = {}
