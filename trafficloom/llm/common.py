@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 DEFAULT_TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
@@ -26,22 +26,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is missing (tests on one machine) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            base = known.get()
-        else:
-            base = Path(tempfile.mkdtemp(prefix="trafficloom-")).as_uri()
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
@@ -101,3 +85,12 @@ def hash_sample(rows: DataFrame, key: str, per_key: int) -> DataFrame:
     thin = rows.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).where(draw < share).drop("_key", "_n")
     order = Window.partitionBy(key).orderBy(F.xxhash64("doc_id"), "doc_id")
     return thin.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_key).drop("_k")
+
+
+BROADCAST_IDS = 1_000_000  # ids (8 MB) that may be broadcast; above that the join shuffles
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Join on doc_id; a list of ids that a count shows to be short is broadcast, else both sides shuffle."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", how)

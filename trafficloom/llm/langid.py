@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, hash_sample, prepare, record_batch, split_residue
+from .common import batches, hash_sample, join_ids, prepare, record_batch, split_residue
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -164,7 +164,7 @@ def learn(training: DataFrame, per_language: int = 1000) -> LanguageModel | None
     prepare(training.sparkSession)
     rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     chosen = hash_sample(rows.select("doc_id", "lang"), "lang", per_language).select("doc_id").distinct()
-    sample = rows.select("doc_id", "text", "lang").join(chosen, "doc_id", "left_semi").select("lang", "text")
+    sample = join_ids(rows.select("doc_id", "text", "lang"), chosen, "left_semi").select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
     width = BUCKETS + len(SCRIPTS)
 

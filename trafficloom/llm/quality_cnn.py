@@ -103,7 +103,7 @@ class ByteConvNet:
 
 def learn(documents: DataFrame, labels: DataFrame, per_label: int = 1500, train_chunks: int = 6) -> ByteConvNet | None:
     """Train on a bounded sample of the labelled rows (doc_id, quality) of `labels`."""
-    known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = hash_sample(known, "quality", per_label)
     # Only what training uses leaves the executors: evenly spaced chunks of at most 2 * per_label documents.
     n, size = F.length(F.col("data")), F.lit(CHUNK)
@@ -111,7 +111,7 @@ def learn(documents: DataFrame, labels: DataFrame, per_label: int = 1500, train_
         F.sequence(F.lit(0), F.lit(train_chunks - 1)),
         lambda k: F.substring(F.col("data"), F.when(n <= size, 1).otherwise(1 + F.floor((n - size) * k / (train_chunks - 1)).cast("int")), size),
     )
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")).join(chosen, "doc_id")
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")).join(F.broadcast(chosen), "doc_id")  # at most 2 * per_label rows
     sample = rows.select("doc_id", "quality", F.array_distinct(spaced).alias("chunks")).dropDuplicates(["doc_id"]).collect()
     sample.sort(key=lambda r: r.doc_id)
     labels_of = np.array([float(r.quality) for r in sample], np.float32)

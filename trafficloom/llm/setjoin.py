@@ -35,11 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, prepare, record_batch
+from .common import batches, join_ids, materialise, prepare, record_batch
 from .components import components
 
-BROADCAST_IDS = 1_000_000  # ids (8 MB) that may be broadcast; above it the join shuffles
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -252,17 +250,11 @@ def indexed(documents: DataFrame, like: Likeness) -> DataFrame:
     return materialise(documents.select("doc_id", "text").mapInArrow(run, SETS_SQL), "gram-sets")
 
 
-def _with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Join on doc_id; a list of ids that is known to be short is broadcast, else both sides shuffle."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "doc_id", how)
-
-
 def verified(pairs: DataFrame, documents: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) of ids whose texts' n-gram sets link."""
     prepare(pairs.sparkSession)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(_with_ids(documents.select("doc_id", "text"), materialise(ids, "pair-ids"), "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
+    texts = materialise(join_ids(documents.select("doc_id", "text"), materialise(ids, "pair-ids"), "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -328,7 +320,7 @@ def keep_one(documents: DataFrame, like: Likeness = Likeness()) -> DataFrame:  #
     """The rows of `documents` without those that link, directly or not, with one of a smaller id."""
     found = materialise(linked(documents, like), "linked")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = _with_ids(documents, materialise(gone, "linked-away"), "left_anti")
+    kept = join_ids(documents, materialise(gone, "linked-away"), "left_anti")
     repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id").limit(1).count()
     if not repeated:
         return kept.select(*documents.columns)
