@@ -23,11 +23,12 @@ equal in both get equal results; without training rows all counts are 0; further
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import batches, materialise, prepare, record_batch, size_in_bytes, split_residue
@@ -51,7 +52,7 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class WordHashes:
     """Stable hashes of lower-cased words, through a bounded memo."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
@@ -81,12 +82,22 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """An array of small numbers in the narrowest width, which leads."""
+    k = 1 if not len(a) or (top := int(a.max())) < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([k]) + a.astype(f"<u{k}").tobytes()
+
+
+def expand(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(raw, f"<u{raw[0]}", offset=1) for raw in (x.as_py() for x in column)]
+
+
 def _row_key(df: DataFrame) -> F.Column:
     return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
 
 
-def _entries(documents: DataFrame, train: F.Column, shards: int, chunk_chars: int = 6_000_000) -> DataFrame:
-    """Packed word and pair entries of each chunk of documents."""
+def _entries(documents: DataFrame, train: F.Column, shards: int, pair_shards: int, chunk_chars: int = 5_000_000) -> DataFrame:
+    """Packed word and pair entries of each chunk of documents; pairs have the shards after the words'."""
     prepare(documents.sparkSession)
     rows = documents.select(_row_key(documents).alias("row"), F.coalesce(train, F.lit(True)).alias("train"), "text")
 
@@ -108,15 +119,15 @@ def _entries(documents: DataFrame, train: F.Column, shards: int, chunk_chars: in
                 if a < b:
                     own = slice(starts[a], starts[b])
                     docs, small = np.unique(doc_of[own], return_inverse=True)
-                    for c, v in zip(ENTRIES.names, (k, "word", unique[a:b].tobytes(), counts[a:b].tobytes(), (starts[a:b] - starts[a]).astype("<u4").tobytes(), small.astype("<u4").tobytes(), tf[own].astype("<u4").tobytes(), row[docs].tobytes())):
+                    for c, v in zip(ENTRIES.names, (k, "word", unique[a:b].tobytes(), squeeze(counts[a:b]), (starts[a:b] - starts[a]).astype("<u4").tobytes(), squeeze(small), squeeze(tf[own]), row[docs].tobytes())):
                         out[c].append(v)
             before = np.concatenate([[np.uint64(END)], words[:-1]])  # the word before a text's first is the end token
             seen, n = np.unique(pair_hash(before, words)[trains[doc]], return_counts=True)
-            cut = np.searchsorted(_shard_of(seen, shards), np.arange(shards + 1))
-            for k in range(shards):
+            cut = np.searchsorted(_shard_of(seen, pair_shards), np.arange(pair_shards + 1))
+            for k in range(pair_shards):
                 a, b = cut[k], cut[k + 1]
                 if a < b:
-                    for c, v in zip(ENTRIES.names, (k, "pair", seen[a:b].tobytes(), n[a:b].astype("<u4").tobytes(), None, None, None, None)):
+                    for c, v in zip(ENTRIES.names, (shards + k, "pair", seen[a:b].tobytes(), squeeze(n[a:b]), None, None, None, None)):
                         out[c].append(v)
             yield record_batch(out, ENTRIES)
 
@@ -162,29 +173,29 @@ SHARDS = pa.schema([("kind", pa.string()), ("row", pa.int64()), ("base", pa.floa
 
 def _add_shard(hashes: int, max_bytes: int):
     def add(group: pa.Table) -> pa.Table:
-        words, pairs = (group.filter(pc.equal(group.column("kind"), k)) for k in ("word", "pair"))
-        keys, counts = _array(words.column("keys"), "<u8"), _array(words.column("counts"), "<u4")
-        every = np.concatenate([*keys, np.zeros(0, np.uint64)])
-        unique, number = np.unique(every, return_inverse=True)
-        total = np.bincount(number, np.concatenate([*counts, np.zeros(0, np.uint32)]), len(unique)).astype(np.int64)
+        if group.column("kind")[0].as_py() == "pair":
+            keys, number = np.unique(np.concatenate(_array(group.column("keys"), "<u8")), return_inverse=True)
+            counts = np.bincount(number, np.concatenate(expand(group.column("counts"))), len(keys)).astype(np.int64)
+            return slice_of(group, keys, counts, 0)
+        keys, counts = _array(group.column("keys"), "<u8"), expand(group.column("counts"))
+        unique, number = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(number, np.concatenate(counts), len(unique)).astype(np.int64)
         rows, base, known, at = [], [], [], 0
-        for k, (own, starts, docs, tf, row) in enumerate(zip(keys, _array(words.column("starts"), "<u4"), _array(words.column("docs"), "<u4"), _array(words.column("tf"), "<u4"), _array(words.column("rows"), "<i8"))):
+        for own, starts, docs, tf, row in (zip(keys, _array(group.column("starts"), "<u4"), expand(group.column("docs")), expand(group.column("tf")), _array(group.column("rows"), "<i8"))):
             c = total[number[at: at + len(own)]]
             at += len(own)
             each = np.diff(np.append(starts, len(docs)))
             rows.append(row)
             base.append(np.bincount(docs, tf * np.repeat(np.log10(c + 0.5), each), len(row)))
             known.append(np.bincount(docs, tf * np.repeat(c > 0, each), len(row)).astype(np.int64))
-        pair_keys, n = np.concatenate([*_array(pairs.column("keys"), "<u8"), np.zeros(0, np.uint64)]), np.concatenate([*_array(pairs.column("counts"), "<u4"), np.zeros(0, np.uint32)])
-        seen, number = np.unique(pair_keys, return_inverse=True)
-        both = np.concatenate([unique[total > 0], seen])
-        k, bits = build_slice(both, np.concatenate([total[total > 0], np.bincount(number, n, len(seen)).astype(np.int64)]), hashes, max_bytes)
-        m = sum(map(len, rows))
-        parts = pa.table({
-            "kind": ["part"] * m + ["slice"], "row": np.concatenate([*rows, [0]]).astype(np.int64), "base": np.concatenate([*base, [0.0]]), "known": np.concatenate([*known, [0]]).astype(np.int64),
-            "n_words": [None] * m + [int((total > 0).sum())], "n_tokens": [None] * m + [int(total.sum())], "hashes": [None] * m + [k], "bits": [None] * m + [bits], "shard": [None] * m + [group.column("shard")[0].as_py()],
-        }, schema=SHARDS)
-        return parts
+        one = slice_of(group, unique[total > 0], total[total > 0], int(total.sum()))
+        parts = pa.table({"kind": pa.repeat("part", sum(map(len, rows))), "row": np.concatenate(rows), "base": np.concatenate(base), "known": np.concatenate(known), **{c: pa.nulls(sum(map(len, rows)), SHARDS.field(c).type) for c in SHARDS.names[4:]}}, schema=SHARDS)
+        return pa.concat_tables([one, parts])
+
+    def slice_of(group: pa.Table, keys: np.ndarray, counts: np.ndarray, n_tokens: int) -> pa.Table:
+        k, bits = build_slice(keys, counts, hashes, max_bytes)
+        n_words = len(keys) if n_tokens else 0
+        return pa.table({"kind": ["slice"], "row": [None], "base": [None], "known": [None], "n_words": [n_words], "n_tokens": [n_tokens], "hashes": [k], "bits": [bits], "shard": [group.column("shard")[0].as_py()]}, schema=SHARDS)
 
     return add
 
@@ -192,18 +203,19 @@ def _add_shard(hashes: int, max_bytes: int):
 class FrequencyFilter:
     """All slices of the filter, read by membership probes."""
 
-    def __init__(self, slices: list[tuple[int, int, bytes]], shards: int, n_words: int, n_tokens: int):
-        self.shards, self.n_words, self.n_tokens = shards, n_words, n_tokens
-        self.first, self.bits, self.hashes = np.zeros(shards, np.int64), np.full(shards, 8, np.uint64), np.ones(shards, np.int64)
-        at, data = 1, [b"\0"]
-        for shard, hashes, raw in slices:
-            self.first[shard], self.bits[shard], self.hashes[shard] = at * 8, len(raw) * 8, hashes
-            data.append(raw)
-            at += len(raw)
-        self.data = np.frombuffer(b"".join(data), np.uint8)
-
-    def has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        shard = _shard_of(keys, self.shards)
+    def __init__(self, slices: Iterable[Row], shards: int, pair_shards: int):
+        """slices: rows of shard, hashes, bits, n_words, n_tokens, taken one after the other."""
+        self.shards, self.pair_shards, self.n_words, self.n_tokens = shards, pair_shards, 0, 0
+        self.first, self.bits, self.hashes = np.zeros(shards + pair_shards, np.int64), np.full(shards + pair_shards, 8, np.uint64), np.ones(shards + pair_shards, np.int64)
+        data = bytearray(1)
+        for r in slices:
+            self.first[r.shard], self.bits[r.shard], self.hashes[r.shard] = len(data) * 8, len(r.bits) * 8, r.hashes
+            self.n_words, self.n_tokens = self.n_words + r.n_words, self.n_tokens + r.n_tokens
+            data += r.bits
+        self.data = np.frombuffer(data, np.uint8)
+
+    def has(self, keys: np.ndarray, level: int, pairs: bool) -> np.ndarray:
+        shard = self.shards + _shard_of(keys, self.pair_shards) if pairs else _shard_of(keys, self.shards)
         out = self.bits[shard] > 8
         for k in range(int(self.hashes.max())):
             live = np.nonzero(out & (self.hashes[shard] > k))[0]
@@ -216,10 +228,10 @@ class FrequencyFilter:
             out[live] = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
+    def counts(self, keys: np.ndarray, pairs: bool = False) -> np.ndarray:
         level, live, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         while len(live) and q < 64:
-            live = live[self.has(keys[live], q)]
+            live = live[self.has(keys[live], q, pairs)]
             level[live] = q
             q += 1
         return level_count(level).astype(np.float64)
@@ -235,12 +247,12 @@ class FrequencyFilter:
         before = np.concatenate([[end], number[:-1]])
         keys, back = np.unique(before * len(unique) + number, return_inverse=True)
         first, second = keys // len(unique), keys % len(unique)
-        both = np.minimum(self.counts(pair_hash(unique[first], unique[second])), np.minimum(c[first], c[second]))
+        both = np.minimum(self.counts(pair_hash(unique[first], unique[second]), True), np.minimum(c[first], c[second]))
         p = np.log10((both + mu * alone[second]) / (c[first] + mu))
         return np.bincount(doc, p[back], len(texts))
 
 
-def score(documents: DataFrame, train: F.Column, mu: float = 2000.0, hashes: int = 6, max_filter_mb: int = 192, entries_mb: int = 16) -> DataFrame:
+def score(documents: DataFrame, train: F.Column, mu: float = 2000.0, hashes: int = 4, max_filter_mb: int = 192, entries_mb: int = 16) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
     `train` marks the rows to learn from. Counting is dealt to shards of about `entries_mb` of input.
@@ -248,17 +260,19 @@ def score(documents: DataFrame, train: F.Column, mu: float = 2000.0, hashes: int
     spark = documents.sparkSession
     prepare(spark)
     shards = int(max(16, min(100_000, size_in_bytes(documents) // (entries_mb << 20))))
-    entries = _entries(documents, train, shards)
-    sums = materialise(entries.groupBy("shard").applyInArrow(_add_shard(hashes, (max_filter_mb << 20) // shards), SHARDS_SQL), "lm-shards")
-    slices = sums.where("kind = 'slice'").select("shard", "hashes", "bits", "n_words", "n_tokens").collect()  # at most max_filter_mb in all
-    n_tokens, n_words = sum(r.n_tokens for r in slices), sum(r.n_words for r in slices)
-    shared = spark.sparkContext.broadcast(FrequencyFilter([(r.shard, r.hashes, bytes(r.bits)) for r in slices], shards, n_words, n_tokens))
-    del slices
+    pair_shards = 4 * shards
+    entries = _entries(documents, train, shards, pair_shards)
+    sums = materialise(entries.groupBy("shard").applyInArrow(_add_shard(hashes, (max_filter_mb << 20) // (shards + pair_shards)), SHARDS_SQL), "lm-shards")
+    slices = sums.where("kind = 'slice'").select("shard", "hashes", "bits", "n_words", "n_tokens").toLocalIterator()  # at most max_filter_mb in all
+    found = FrequencyFilter(slices, shards, pair_shards)
+    n_tokens, n_words = found.n_tokens, found.n_words
+    shared = spark.sparkContext.broadcast(found)
+    del found
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
 
     def run(it):
         own = shared.value
-        for part, texts in batches(it, 2, 6_000_000):
+        for part, texts in batches(it, 2, 5_000_000):
             tokens = [_hashes.of(t) for t in texts]
             yield record_batch({"doc_id": part.column(0), "row": part.column(1), "n_tokens": [len(t) for t in tokens], "score": own.score(tokens, mu)}, schema)
 
