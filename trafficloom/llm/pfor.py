@@ -114,6 +114,11 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=2)
 def library_memo(path: str) -> UnitMemo:
+    """A memo that the tokenizers library fills.
+
+    Units that start with a blank and a non-blank are encoded many to a text, since no pre-token
+    crosses such a border, and cut apart by the byte lengths of their tokens.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -121,14 +126,36 @@ def library_memo(path: str) -> UnitMemo:
     own.no_truncation()
     own.no_padding()
     encode = getattr(own, "encode_batch_fast", own.encode_batch)
+    vocabulary = own.get_vocab(with_added_tokens=True)
+    n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        n_bytes[i] = len(token)  # one letter stands for each byte
+
+    def one_by_one(strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in encode(strings, add_special_tokens=False)] if strings else []
+
+    def together(strings: list[str]) -> list[bytes]:
+        groups = [strings[a: a + 200] for a in range(0, len(strings), 200)]
+        out: list[bytes] = []
+        joined = ["".join(g) for g in groups]
+        for group, text, e in zip(groups, joined, encode(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            sizes = map(len, group) if text.isascii() else (len(x.encode("utf-8")) for x in group)
+            ends, borders = np.cumsum(n_bytes[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(group)))
+            cut = np.searchsorted(ends, borders)
+            if len(ids) and cut[-1] < len(ends) and (ends[cut] == borders).all():
+                data, b = ids.tobytes(), ((cut + 1) * 4).tolist()
+                out += [data[x:y] for x, y in zip([0, *b], b)]
+            else:
+                out += one_by_one(group)
+        return out
 
     def resolve(strings: list[str]) -> list[bytes]:
-        out = []
-        for a in range(0, len(strings), 5000):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in encode(strings[a: a + 5000], add_special_tokens=False)]
-        return out
+        joins = [x[:1] == " " and x[1:2].strip() != "" for x in strings]
+        many, few = iter(together([x for x, j in zip(strings, joins) if j])), iter(one_by_one([x for x, j in zip(strings, joins) if not j]))
+        return [next(many) if j else next(few) for j in joins]
 
-    return UnitMemo(resolve)
+    return UnitMemo(resolve, limit=600_000)
 
 
 def write_token_files(documents: DataFrame, path: str, end_id: int = 0, tokenizer_file: str = DEFAULT_TOKENIZER_FILE, percentile: float = 0.9) -> None:
