@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import END_COLUMNS
 
@@ -90,7 +91,7 @@ def crc32c_table() -> list[int]:
 _CRC32C = crc32c_table()
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32C of binary values; Spark itself has CRC-32 only."""
 
