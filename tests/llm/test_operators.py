@@ -1,0 +1,321 @@
+"""Each corpus operator against brute force, an exact round trip or held-out accuracy, and its edge cases."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from trafficloom.llm import bloom_lm, bpe, components, divergence_rules, langid, mixing, pfor, pii_anchors, quality_cnn, queries, setjoin, simhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, ids string, epoch string"
+
+
+def rows_of(g: random.Random, n: int = 40) -> list[tuple]:
+    """Documents with nulls, empty texts, copies, near copies, a very long one, and odd characters."""
+    words = ["alpha", "beta", "gamma", "delta", "the", "of", "und", "la", "été", "naïve", "x", "42", "日本", "re-do"]
+    texts = [" ".join(g.choice(words) for _ in range(g.randrange(1, 60))) for _ in range(n)]
+    texts += [texts[0], texts[0], texts[1] + " tail", "", None, " \n\t ", "one", "A\x1cB C", "long " * 3000 + "end", "<|endoftext|> a  b\n\n c"]
+    return [(i, t, g.choice(["en", "de", None]), g.choice(["src0", "src7", "src19", None]), None if t is None else len(t), "clash", "clash", "clash") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    made = rows_of(random.Random(5))
+    return [*made, made[3]]  # a repeated row
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+
+
+def test_bpe(docs, rows, library):
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs).collect())
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert got == want
+    both = bpe.decode(bpe.encode(docs), text="decoded")
+    assert both.where("decoded <> coalesce(text, '')").count() == 0 and "score" in both.columns
+
+
+def test_rank_tree_equals_batch(library):
+    table = bpe.tokenizer("/opt/tokenizers/byte_bpe_50k.json").table
+    g = random.Random(1)
+    pieces = ["".join(g.choice("abcdeéß ") for _ in range(g.randrange(1, 60))).encode()[:64] for _ in range(300)]
+    assert bpe.encode_pieces(table, pieces) == [bpe.RankTree(table, p).run().tobytes() for p in pieces]
+
+
+@pytest.mark.parametrize("top", [1, 2, 300, 50_000, 2**32 - 1])
+def test_pfor_round_trip(top):
+    g = np.random.default_rng(top)
+    for n in (0, 1, 255, 256, 257, 5000):
+        ids = g.integers(0, top, n, endpoint=True).astype(np.uint32)
+        ids[g.random(n) < 0.05] = top
+        back, lengths = pfor.unpack(pfor.pack(ids, np.array([n])))
+        assert (back == ids).all() and lengths.tolist() == [n]
+
+
+def test_token_files(spark, docs, rows, library):
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in pfor.file_digests(docs).collect())
+    at, want = 0, []
+    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((at, i, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+
+
+def brute_links(rows, like):
+    sets = {}
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = frozenset(zip(*(w[k:] for k in range(like.words)))) if len(w) >= like.words else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and like.den * len(sets[a] & sets[b]) >= like.num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("like", [setjoin.Likeness(3, 90, 100), setjoin.Likeness(2, 60, 100)])
+def test_jaccard_join(spark, like):
+    g = random.Random(7)
+    rows = rows_of(g)
+    for k in range(30):  # chains of near copies: neighbours link, ends may not
+        words = (rows[-1][1] or "a b").split() if k % 6 else [str(g.randrange(40)) for _ in range(g.randrange(20, 60))]
+        for _ in range(g.randrange(1, 3)):
+            words[g.randrange(len(words))] = f"e{g.randrange(10**6)}"
+        rows.append((len(rows), " ".join(words), None, None, 0, "", "", ""))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.linked(spark.createDataFrame(rows, SCHEMA).repartition(3), like).collect()}
+    assert got == brute_links(rows, like)
+
+
+def test_pigeonhole_schemes_are_complete():
+    """Any two sets within the limit share a key, whatever the scheme."""
+    g = np.random.default_rng(3)
+    for like in (setjoin.Likeness(3, 90, 100), setjoin.Likeness(3, 60, 100)):
+        for n in (1, 5, 12, 40, 150):
+            limit = setjoin.difference_limit(like, n)
+            for scheme in (setjoin.Scheme(limit + 1, 0, 0), setjoin.Scheme(limit + 4, 0, 3), setjoin.Scheme(0, limit // 2 + 1, 0), setjoin.Scheme(max(0, limit - 1), 1, 0) if limit else setjoin.Scheme(1, 0, 0)):
+                for _ in range(30):
+                    x = np.unique(g.integers(0, 2**63, n).astype(np.uint64))
+                    d = int(g.integers(0, limit + 1))
+                    gone = int(g.integers(0, d + 1))
+                    y = np.unique(np.concatenate([x[gone:], g.integers(0, 2**63, max(0, d - gone)).astype(np.uint64)]))
+                    if len(np.setxor1d(x, y)) <= limit and max(len(x), len(y)) <= n and len(y):
+                        assert np.intersect1d(setjoin.keys_of(x, 4, scheme), setjoin.keys_of(y, 4, scheme)).size
+    assert setjoin.allocate(60, 570, 100_000).exact >= 1
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 30)] + [(100, 105), (105, 103)] + [(200, k) for k in range(201, 230)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in (100, 103, 105)}, **{i: 200 for i in range(200, 230)}}
+
+
+def test_keep_one(spark, docs, rows):
+    kept = setjoin.keep_one(docs).collect()
+    want = {i for i, (_, c) in brute_links(rows, setjoin.Likeness()).items() if i == c}
+    assert sorted(r.doc_id for r in kept) == sorted(want) and kept[0].score == "clash"
+
+
+def test_language_spans(spark, sf_dir):
+    docs = queries.read_table(spark, sf_dir, "documents")
+    model = langid.learn(docs, per_language=60)
+    sample = {r.lang: r.text for r in docs.where("lang in ('en', 'de') and length(text) > 400").collect()}
+    mixed = sample["en"][:200] + " " + sample["de"][:200]
+    rows = [(1, mixed), (2, None), (3, "123 !"), (4, "Жук"), (5, sample["de"])]
+    got = {r.doc_id: r for r in langid.detect(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [s.lang for s in got[1].spans] == ["en", "de"] and abs(got[1].spans[1].start - 200) < 25
+    assert (got[2].lang_pred, got[3].lang_pred, got[2].score) == ("und", "und", 0.0)
+    assert got[4].lang_pred in model.langs and got[5].lang_pred == "de"
+    x = langid.held_out_predictions(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert x.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
+    assert langid.learn(docs.limit(0)) is None
+
+
+def test_quality(spark, sf_dir, empty):
+    docs, labels = queries.read_table(spark, sf_dir, "documents"), queries.read_table(spark, sf_dir, "labels")
+    x = queries.op3_byte_convolution(spark, sf_dir).join(labels, "doc_id").where("held_out")
+    assert x.select(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.7
+    data = b"ab" * 3000
+    rows = quality_cnn.chunks_of(data)
+    assert rows.shape[1] == quality_cnn.CHUNK and sum(map(len, [data])) <= (len(rows) - 1) * quality_cnn.HOP + quality_cnn.CHUNK
+    assert quality_cnn.score(docs.limit(3), None).where("score = 0.5").count() == 3
+    assert quality_cnn.keep_good(empty, labels).count() == 0
+
+
+def brute_measure(t):
+    w, seen, marked = WORD.findall(t), collections.defaultdict(list), set()
+    for i in range(len(w) - 7):
+        seen[tuple(w[i: i + 8])].append(i)
+    for places in seen.values():
+        if len(places) > 1:
+            for i in places:
+                marked.update(range(i, i + 8))
+    dup, lines = 0, set()
+    for x in t.split("\n"):
+        if WORD.search(x):
+            dup += x in lines
+            lines.add(x)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(marked)
+
+
+def test_divergence_rules(docs, rows):
+    g = random.Random(2)
+    texts = [r[1] or "" for r in rows] + [" ".join(g.choice("ab") for _ in range(g.randrange(60))) + "\n\nx\nx" for _ in range(100)]
+    assert [divergence_rules.measure(t)[:5] for t in texts] == [brute_measure(t) for t in texts]
+    got = divergence_rules.judge(docs)
+    assert got.count() == len(rows) and got.where("kept and base_failed").count() == 0
+    p = np.array([[1.0, 0.0], [1.0, 1.0]])
+    assert np.allclose(divergence_rules.jensen_shannon(p, np.array([0.0, 1.0])), [1.0, 0.5579230452841438])
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    return {
+        "email": [m.span() for m in EMAIL.finditer(t)], "ip": [m.span() for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))],
+        "card": [m.span() for m in CARD.finditer(t) if 13 <= len(digits(m[0])) <= 19 and pii_anchors.luhn(digits(m[0]))],
+        "phone": [m.span() for m in PHONE.finditer(t) if 9 <= len(digits(m[0])) <= 15],
+    }
+
+
+def test_pii(docs, rows):
+    g = random.Random(3)
+    alphabets = ["0123456789", "0123456789 -.()+", "ab@.-%+_ ", "4 "]
+    texts = ["".join(g.choice(g.choice(alphabets)) for _ in range(g.randrange(60))) for _ in range(5000)]
+    texts += ["4111 1111 1111 1111", "1.2.3.4.5.6.7.8 +1 (212) 555-0199.", "a@b@c.d@e.f", "000000000000.1.2.3", ""]
+    for t in texts:
+        assert {k: pii_anchors.find(t)[k] for k in pii_anchors.BASE_KINDS} == brute_pii(t), t
+    extra = "IBAN: DE89 3704 0044 0532 0130 00, api_key = 'abc123def456ghi', ftp://me:pw@host.org/x"
+    assert [k for k in ("account", "secret", "url") if pii_anchors.find(extra)[k]] == ["account", "secret", "url"]
+    assert pii_anchors.masked("to a@b.co or +1 212 555 0199 now") == "to <EMAIL> or <PHONE> now"
+    assert pii_anchors.report(docs).count() == len(rows)
+    out = pii_anchors.redact(docs)
+    assert out.columns == docs.columns and out.where("text is null").count() == 1
+
+
+def test_simhash(spark, docs, rows):
+    got = simhash.edit_report(docs).collect()
+    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: r[0])
+    want = collections.Counter()
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        want[i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    same = collections.defaultdict(set)
+    for r in got:
+        same[dict(order)[r.doc_id]].add(r.fingerprint)
+    assert all(len(x) == 1 for x in same.values())
+    g = random.Random(4)
+    prints = {g.getrandbits(64) - 2**63 for _ in range(100)}
+    prints |= {p ^ sum(1 << b for b in g.sample(range(60), g.randrange(1, 6))) for p in list(prints)}
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    pairs = {(r.fingerprint, r.other) for r in simhash.near(df, df, radius=3).collect()}
+    assert pairs == {(a, b) for a in prints for b in prints if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+    assert {r.fingerprint for r in simhash.near(df, df, how="left_semi").collect()} == {a for a, _ in pairs}
+
+
+def test_mixing(spark, docs, rows):
+    assert mixing.share_out(10, [1, 1, 2], [1, 100, 100]) == [1, 3, 6]
+    assert mixing.share_out(10, [1, 1], [2, 3]) == [2, 3]
+    tokens = {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 1000}
+    given = mixing.leaf_budgets(tokens, {"d": {"a": 0.5, "b": 0.5}, "s": {"x": 0.5, "y": 0.5}}, ("d", "s"), 100, 1)
+    assert given == {("a", "x"): 10, ("a", "y"): 40, ("b", "z"): 50}  # the sibling takes what x can't
+    table = docs.withColumn("domain", mixing.domain_of(F.col("source")))
+    got = mixing.mix(table, budget=9000, max_epochs=3, buckets=8)
+    assert got.columns[:2] == ["doc_id", "text"] and got.where("score <> 'clash'").count() == 0
+    size = collections.Counter()
+    for i, t, lang, source, *_ in rows:
+        n = -1 if source is None else int(source[3:])
+        size["web" if 0 <= n < 5 else "forum" if 5 <= n < 10 else "books" if 10 <= n < 15 else "reference", lang, source] += len(WORD.findall(t or ""))
+    given = mixing.leaf_budgets(size, mixing.DEFAULT_WEIGHTS, mixing.DEFAULT_LEVELS, 9000, 3)
+    drawn = {tuple(r)[:3]: r.n for r in got.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("n")).collect()}
+    longest = max(len(WORD.findall(r[1] or "")) for r in rows)
+    for leaf, n in given.items():
+        assert n - longest <= drawn.get(leaf, 0) <= n
+    # the partial epoch is a prefix in the order of the seeded hash
+    one = mixing.mix(table.where("source = 'src7' and lang = 'en'"), budget=120, max_epochs=1)
+    full = table.where("source = 'src7' and lang = 'en'").select("doc_id", mixing.count_tokens(F.col("text")).alias("n"), F.xxhash64(F.lit(17), F.lit(0), "doc_id", F.coalesce("text", F.lit(""))).alias("h")).collect()
+    bucket = lambda h: (h >> 32) % 4096
+    total, want = 0, []
+    for r in sorted(full, key=lambda r: (bucket(r.h), r.h, r.doc_id)):
+        total += r.n
+        if total <= 120:
+            want.append(r.doc_id)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(want)
+
+
+def test_language_model(docs, rows):
+    got = {r.doc_id: r for r in bloom_lm.held_out_scores(docs).collect()}
+    tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t, *_ in rows}
+    counts = collections.Counter()
+    for i, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update(tokens[i])
+    n, v = sum(counts.values()), len(counts)
+    for i, t in tokens.items():
+        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        r = got[i]
+        assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(counts[w] > 0 for w in t), n)
+        assert r.score < 0
+    keys, c = np.arange(1, 2000).astype(np.uint64) << np.uint64(33), np.arange(1, 2000)
+    k, bits = bloom_lm.build_slice(keys, c, 4, 1 << 20)
+    f = bloom_lm.FrequencyFilter([], 1, 1)
+    f.first[0], f.bits[0], f.hashes[0], f.data = 0, len(bits) * 8, k, np.frombuffer(bits, np.uint8)
+    assert (f.counts(keys) >= bloom_lm.level_count(bloom_lm.levels(c)) - 1e-9).all()  # no misses
+
+
+@pytest.mark.parametrize("call", [
+    lambda s, e: bpe.round_trip(e), lambda s, e: pfor.file_digests(e), lambda s, e: setjoin.linked(e, setjoin.Likeness()), lambda s, e: langid.held_out_predictions(e), lambda s, e: divergence_rules.judge(e),
+    lambda s, e: pii_anchors.report(e), lambda s, e: simhash.edit_report(e), lambda s, e: mixing.draw(e), lambda s, e: bloom_lm.held_out_scores(e), lambda s, e: setjoin.keep_one(e),
+])
+def test_empty_table(spark, empty, call):
+    assert call(spark, empty).count() == 0
+
+
+def test_pipeline(spark, sf_dir):
+    docs = corpus_pipeline.read_table(spark, sf_dir, "documents")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir), "test")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns, name
+    assert docs.count() > 50 and docs.where("not lossless").count() == 0
