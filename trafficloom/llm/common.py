@@ -34,8 +34,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the input size; used to choose partition counts only."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the input size; used to choose partition counts only.
+
+    Frames that aren't read from files have no estimate (Spark says 2**63 - 1); they count as 0.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 53 else 0
 
 
 def partitions_for(df: DataFrame, target_bytes: int = 16 << 20) -> int:

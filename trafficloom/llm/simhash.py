@@ -83,7 +83,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     before it (of all: after the last range), so each range finds its followers by itself.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    starts, nulls = _id_ranges(documents.select("doc_id"), 4 * partitions_for(rows))
+    starts, nulls = _id_ranges(documents.select("doc_id"), min(20_000, 4 * partitions_for(rows)))
     # Two steps over a list of lists keep the comparisons at the square root of the number of ranges.
     step = max(1, int(len(starts) ** 0.5))
     groups = [starts[a: a + step] for a in range(0, len(starts), step)] or [[0]]
