@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import END_COLUMNS
+from ..workers import prepare
 
 SLICES = ("CLIENT_REQUEST", "UPSTREAM_REQUEST", "UPSTREAM_RESPONSE", "CLIENT_RESPONSE")
 ANOMALIES = ("ORPHAN_END", "BODY_WITHOUT_START", "NO_CLIENT_REQUEST", "NO_STATUS", "IN_FLIGHT")
@@ -111,6 +112,7 @@ def body_integrity(exchanges: DataFrame, algo: str = "crc32") -> DataFrame:
 
     Verdicts: NOT_CAPTURED (no fragment), LENGTH, CHECKSUM, OK. algo is crc32 or crc32c.
     """
+    prepare(exchanges.sparkSession)
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_body").alias("parts"), F.col(f"{s}_body_bytes").alias("declared"), F.col(f"{s}_crc").alias("crc")) for s in ("request", "response")])).alias("s")
     each = exchanges.select("req_id", sides).select("req_id", "s.*")
     each = each.withColumn("whole", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x))")).withColumn("captured", F.length("whole").cast("bigint"))

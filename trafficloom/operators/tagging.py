@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workers import prepare
 from .series import streaks
 
 
@@ -94,6 +95,7 @@ def _fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, sch
                     out.append((*key, *made))
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in schema.split(", ")])
 
+    prepare(df.sparkSession)
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 

@@ -15,6 +15,7 @@ from ..functions import exchange as X
 from ..operators.tagging import THROTTLE_SCHEMA, Allowance, Breaker
 from ..schema import EVENT_SCHEMA
 from ..sources.journal import write_snapshot
+from ..workers import prepare
 
 
 def tail_events(spark: SparkSession, path: str, max_files: int | None = None, clean: str = "off", archive: str | None = None) -> DataFrame:
@@ -70,6 +71,7 @@ def reassemble_stream(events: DataFrame, timeout: str = "10 minutes", watermark:
 
     State per id is the open exchange's counters and request line, never its bodies.
     """
+    prepare(events.sparkSession)
     limit_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
     route = F.get(F.transform(F.filter("attributes", lambda a: a["name"] == "gateway.route.id"), lambda a: a["value"]), F.lit(0))
     # numbers that only END has are 0 elsewhere: with NULLs pandas would turn them into floats
@@ -127,6 +129,7 @@ def throttle_stream(rows: DataFrame, allowance: Allowance, watermark: str = "1 m
         state.setTimeoutTimestamp(max(bucket[1] // 1_000_000, state.getCurrentWatermarkMs()) + max(1, allowance.expiry_ns // 1_000_000))
         yield pd.DataFrame(out, columns=columns)
 
+    prepare(rows.sparkSession)
     timed = rows.withColumn("event_time", X.utc_micros("at")).withWatermark("event_time", watermark)
     return timed.groupBy("route_id", "key").applyInPandasWithState(run, THROTTLE_SCHEMA, "level bigint, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -149,6 +152,7 @@ def outage_stream(points: DataFrame, failure_threshold: int, cooldown_ns: int) -
         state.update((breaker.state, breaker.failures, breaker.opened, json.dumps(sorted(breaker.rejected))))
         yield pd.DataFrame(out, columns=["route_id", "id", "state", "rejected"])
 
+    prepare(points.sparkSession)
     return points.groupBy("route_id").applyInPandasWithState(run, schema, "state string, failures int, opened bigint, rejected string", "append", GroupStateTimeout.NoTimeout)
 
 
