@@ -104,7 +104,7 @@ def allocate(limit: int, size: int, sets: int, common: float = 0.05, check_cost:
 class Hashes:
     """Stable 64-bit hashes of words through a bounded memo."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
@@ -219,7 +219,7 @@ def indexed(documents: DataFrame, like: Likeness) -> DataFrame:
 
     def run(it):
         index, seen = Index(like, lengths), set()
-        for part, texts in batches(it, 1, 8_000_000):
+        for part, texts in batches(it, 1, 4_000_000):
             ids = part.column(0).to_pylist()
             sizes, digests, keys, rows = [], [], [], []
             for i, text in enumerate(texts):
