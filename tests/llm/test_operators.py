@@ -6,13 +6,14 @@ import math
 import random
 import re
 import zlib
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trafficloom.llm import bloom_lm, bpe, components, divergence_rules, langid, mixing, pfor, pii_anchors, quality_cnn, queries, setjoin, simhash
+from trafficloom.llm import bloom_lm, bpe, components, differences, divergence_rules, langid, mixing, pfor, pii_anchors, quality_cnn, queries, setjoin, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,6 +122,43 @@ def test_jaccard_join(spark, like):
     assert got == brute_links(rows, like)
 
 
+@pytest.mark.parametrize(("like", "seed"), [(setjoin.Likeness(3, 90, 100), 1), (setjoin.Likeness(5, 80, 100), 2), (setjoin.Likeness(1, 70, 100), 3)])
+def test_links_in_groups_of_near_copies(spark, like, seed):
+    """Large groups whose members share edits of a common text, or only a passage of it."""
+    g, rows = random.Random(seed), []
+    for k in range(3):
+        base = [f"w{k}-{g.randrange(10**6)}" for _ in range(90)]
+        for _ in range(70):
+            words = list(base)
+            for at in g.sample(range(0, 90, 6), g.randrange(0, 13)):
+                words[at] = f"{at}-{g.randrange(2)}"
+            if g.random() < 0.3:
+                words = words[:40] + [f"own{g.randrange(10**6)}" for _ in range(g.randrange(0, 40))]
+            rows.append((len(rows), " ".join(words), None, None, 0, "", "", ""))
+    g.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.linked(spark.createDataFrame(rows, SCHEMA).repartition(4), like).collect()}
+    assert got == brute_links(rows, like)
+
+
+@pytest.mark.parametrize(("num", "seed"), [(60, 1), (80, 2), (90, 3)])
+def test_candidates_hold_all_links_of_a_group(spark, num, seed):
+    """Without any star pair before it, the search alone joins what brute force joins."""
+    g = random.Random(seed)
+    like, rows = setjoin.Likeness(1, num, 100), []
+    for i in range(120):
+        kind = i % 3
+        words = [f"k{kind}-{x}" for x in range(30) if g.random() > 0.12] + [f"e{g.randrange(25)}" for _ in range(g.randrange(4))]
+        rows.append((i, " ".join(words), None, None, 0, "", "", ""))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    members = docs.select((F.col("doc_id") % 2 * 0 + 7).alias("grp"), F.col("doc_id").alias("node"), F.col("doc_id").alias("part"))
+    pairs = differences.candidates(members, docs, partial(setjoin.gram_hashes, n=1), like.num, like.den)
+    labels = {r.node: r.component for r in components.components(setjoin.verified(pairs, docs, like)).collect()}
+    want = {i: c for i, (_, c) in brute_links(rows, like).items()}
+    assert {i: labels.get(i, i) for i in want} == want
+    assert 1 < len(set(want.values())) < 120
+    assert differences.candidates(members.where("node < 0"), docs, partial(setjoin.gram_hashes, n=1), 8, 10).count() == 0
+
+
 def test_pigeonhole_schemes_are_complete():
     """Any two sets within the limit share a key, whatever the scheme."""
     g = np.random.default_rng(3)

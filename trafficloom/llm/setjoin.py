@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, join_ids, materialise, prepare, record_batch
 from .components import components
+from .differences import candidates
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -308,9 +309,10 @@ def linked(documents: DataFrame, like: Likeness) -> DataFrame:
     open_keys = label(label(stars, "node", "x"), "pivot", "y").where("x <> y").select("key").distinct()
     members = stars.join(open_keys, "key", "left_semi")
     members = members.select("key", "node").unionByName(members.select("key", F.col("pivot").alias("node"))).distinct()
-    members = materialise(label(members, "node", "part"), "open-members")
-    left, right = members.select("key", F.col("node").alias("a"), F.col("part").alias("x")), members.select("key", F.col("node").alias("b"), F.col("part").alias("y"))
-    rest = left.join(right, "key").where("x <> y and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    members = materialise(members, "open-members")
+    pivots = label(members.groupBy("key").agg(F.min("node").alias("least")), "least", "grp").select("key", "grp")
+    members = materialise(label(members.join(pivots, "key").select("grp", "node").distinct(), "node", "part").select("grp", "node", "part"), "open-nodes")
+    rest = candidates(members, documents, partial(gram_hashes, n=like.words), like.num, like.den).join(pairs, ["a", "b"], "left_anti")
     more = verified(materialise(rest, "more-pairs"), documents, like)
     labels = components(links.unionByName(more))
     return label(named.withColumn("rep", F.coalesce("rep", "doc_id")), "rep", "component_id").select("doc_id", "n_shingles", "component_id")
