@@ -285,6 +285,7 @@ def linked(documents: DataFrame, like: Likeness) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
     sets = indexed(documents, like)
     classes = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = materialise(classes, "digests")  # a join of its own exchanges, so a hot digest can be split
     named = materialise(sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").drop("digest"), "classes")
     stands = named.where("rep <> doc_id").select("doc_id", "rep").distinct()
 
