@@ -159,6 +159,15 @@ def test_candidates_hold_all_links_of_a_group(spark, num, seed):
     assert differences.candidates(members.where("node < 0"), docs, partial(setjoin.gram_hashes, n=1), 8, 10).count() == 0
 
 
+def test_sketches_never_differ_by_more_than_the_sets():
+    g = np.random.default_rng(4)
+    for n in (0, 1, 200, 5000, 100_000):
+        x = np.unique(g.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[g.random(len(x)) < 0.9], g.integers(0, 2**64, n // 20, dtype=np.uint64)]))
+        a, b = (np.frombuffer(setjoin.sketch(z), np.uint8).astype(int) for z in (x, y))
+        assert len(a) == 256 and np.abs(a - b).sum() <= len(np.setxor1d(x, y))
+
+
 def test_pigeonhole_schemes_are_complete():
     """Any two sets within the limit share a key, whatever the scheme."""
     g = np.random.default_rng(3)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import hash_sample, join_ids, materialise, prepare
 
 FEW = 8  # members of a group whose pairs (at most 28) are made at once
-SAMPLE = 31  # members whose majority is a group's reference
+SAMPLE = 9  # members whose majority is a group's reference
 
 ROWS_SQL = "grp long, node long, part long, lack long, tokens array<long>"
 ROWS = pa.schema([("grp", pa.int64()), ("node", pa.int64()), ("part", pa.int64()), ("lack", pa.int64()), ("tokens", pa.list_(pa.int64()))])

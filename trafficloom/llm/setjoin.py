@@ -15,7 +15,8 @@ a batch of texts, then over all), not with each other. Verified links give compo
 key still joins members of different components are the rest of its pairs made. Pairs within a
 component need no check, so no link that matters is lost and no bucket is capped.
 
-Verification is exact, on the n-grams of the whole texts.
+Verification is exact, on the n-grams of the whole texts; pairs whose sizes or sketches (counts of members
+in 256 parts of the hash range) already differ by more than a link allows are left out before it.
 
 Defined cases: null and empty texts have no n-grams and link with nothing; texts with fewer words
 than n are one n-gram; rows of one doc_id count as one document, with one result row each; rows with a
@@ -141,6 +142,11 @@ def gram_hashes(text: str, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """Members in each of 256 parts of the hash range, at most 255: sets that differ by d have sketches within d."""
+    return np.minimum(np.bincount((members >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def grams(text: str, n: int) -> set[bytes]:
     """The n-grams themselves; words hold no blanks, so joining them is unambiguous."""
     words = words_of(text)
@@ -200,8 +206,8 @@ class Index:
         return np.concatenate(found)
 
 
-SETS_SQL = "doc_id long, n_shingles long, digest binary, keys array<long>, star_keys array<long>, star_pivots array<long>"
-SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("keys", "star_keys", "star_pivots"))])
+SETS_SQL = "doc_id long, n_shingles long, digest binary, sketch binary, keys array<long>, star_keys array<long>, star_pivots array<long>"
+SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("keys", "star_keys", "star_pivots"))])
 
 
 def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
@@ -222,12 +228,13 @@ def indexed(documents: DataFrame, like: Likeness) -> DataFrame:
         index, seen = Index(like, lengths), set()
         for part, texts in batches(it, 1, 4_000_000):
             ids = part.column(0).to_pylist()
-            sizes, digests, keys, rows = [], [], [], []
+            sizes, digests, sketches, keys, rows = [], [], [], [], []
             for i, text in enumerate(texts):
                 members = gram_hashes(text, like.words)
                 digest = xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None
                 sizes.append(len(members))
                 digests.append(digest)
+                sketches.append(sketch(members))
                 if digest and ids[i] is not None and digest not in seen:
                     seen.add(digest)
                     got = index.keys(members)
@@ -245,12 +252,31 @@ def indexed(documents: DataFrame, like: Likeness) -> DataFrame:
             star = np.nonzero(~leads)[0]
             star = star[np.argsort(row[star], kind="stable")]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(key[lead], row[lead], n), _lists(key[star], row[star], n), _lists(pivot[star], row[star], n)], schema=SETS
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), _lists(key[lead], row[lead], n), _lists(key[star], row[star], n), _lists(pivot[star], row[star], n)], schema=SETS
             )
 
     return materialise(documents.select("doc_id", "text").mapInArrow(run, SETS_SQL), "gram-sets")
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) without those whose sizes or sketches prove that they don't link; spares reading their texts."""
+    prepare(pairs.sparkSession)
+    known = sets.where("digest is not null").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
+    for end in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(it):
+        for batch in it:
+            n_a, n_b = (batch.column(k).to_numpy() for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for k in (4, 5))
+            apart = np.maximum(np.abs(x - y).sum(axis=1, dtype=np.int64), np.abs(n_a - n_b))
+            good = pa.array(apart * (like.den + like.num) <= (n_a + n_b) * (like.den - like.num))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], schema=schema)
+
+    return materialise(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long"), "plausible")
+
+
 def verified(pairs: DataFrame, documents: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) of ids whose texts' n-gram sets link."""
     prepare(pairs.sparkSession)
@@ -300,7 +326,7 @@ def linked(documents: DataFrame, like: Likeness) -> DataFrame:
     stars = materialise(stars.distinct(), "class-stars")
 
     pairs = materialise(_ordered(stars, "node", "pivot"), "pairs")
-    links = verified(pairs, documents, like)
+    links = verified(plausible(pairs, sets, like), documents, like)
     labels = components(links)
 
     def label(df: DataFrame, node: str, name: str) -> DataFrame:
@@ -314,7 +340,7 @@ def linked(documents: DataFrame, like: Likeness) -> DataFrame:
     pivots = label(members.groupBy("key").agg(F.min("node").alias("least")), "least", "grp").select("key", "grp")
     members = materialise(label(members.join(pivots, "key").select("grp", "node").distinct(), "node", "part").select("grp", "node", "part"), "open-nodes")
     rest = candidates(members, documents, partial(gram_hashes, n=like.words), like.num, like.den).join(pairs, ["a", "b"], "left_anti")
-    more = verified(materialise(rest, "more-pairs"), documents, like)
+    more = verified(plausible(rest, sets, like), documents, like)
     labels = components(links.unionByName(more))
     return label(named.withColumn("rep", F.coalesce("rep", "doc_id")), "rep", "component_id").select("doc_id", "n_shingles", "component_id")
 
