@@ -1,24 +1,26 @@
 """Operator 10: language-model scores from a log-frequency Bloom filter.
 
-Counting. Each task turns its texts into chunks of tokens and sorts the 64-bit hashes of their words
-and word pairs. A chunk's entries go to shards by hash range, packed as arrays: for words with the
-places they have in the chunk's documents, for pairs of training documents with their counts. A shard
-adds up all chunks, so a frequent word is one entry a chunk however often it occurs.
+Chunks. Each task turns its texts into chunks of tokens and writes them, numbered by the chunk's distinct
+words (the frequent ones first, so that they pack well). All later steps read these, not the texts.
 
-Unigram base. The shard knows the exact training count of its words and returns each document's part
-of the sum; parts are added by document.
+Counting. A chunk sends the 64-bit hashes of its distinct words and word pairs with their training
+counts to shards by hash range, packed as arrays. A shard adds up all chunks, so a frequent word is one
+entry a chunk however often, and in however many documents, it occurs.
 
 Filter. A count c is kept as level q = 1 + floor(log_b c): the n-gram is set with the levels 1 to q.
-Every shard builds the slice of its own hash range, sized from its number of entries. A count is read
-back by probing levels until one is missing. All slices together are bounded by `max_filter_mb`;
-beyond it fewer bits are set for each entry, so false hits (never misses) grow more frequent. That
-bound makes the filter safe to broadcast.
+Every shard builds the slice of its own hash range, with the same bits and hashes for each entry at
+every size of the input. A count is read back by probing levels until one is missing.
+
+Answers. A slice is probed where it was built: a shard reads back each n-gram that any chunk sent and
+returns levels (for words also exact counts) in the order in which they came. Shards multiply with the
+input; no filter is gathered or broadcast, so nothing bounds its size.
 
 Score. P(w | v) = (c(v,w) + mu * P(w)) / (c(v) + mu) with P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),
-all counts read from the filter; the score is the sum of log10 P over a text's tokens.
+all counts read from the filter; the score is the sum of log10 P over a text's tokens. The base score
+is the sum of log10 P(w) by exact counts. Both are made chunk by chunk from the answers.
 
-Defined cases: null and empty texts are one end token; rows are told apart by (doc_id, text), rows
-equal in both get equal results; without training rows all counts are 0; further columns are ignored.
+Defined cases: null and empty texts are one end token; each row has its own result; without training
+rows all counts are 0; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -74,8 +77,12 @@ class WordHashes:
 
 _hashes = WordHashes()
 
-ENTRIES_SQL = "shard int, kind string, keys binary, counts binary, starts binary, docs binary, tf binary, rows binary"
-ENTRIES = pa.schema([("shard", pa.int32()), ("kind", pa.string()), *((c, pa.binary()) for c in ("keys", "counts", "starts", "docs", "tf", "rows"))])
+CHUNKS_SQL = "chunk long, ids array<long>, sizes binary, trains binary, words binary, tokens binary"
+CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("sizes", "trains", "words", "tokens"))])
+ENTRIES_SQL = "shard int, pairs boolean, chunk long, keys binary, counts binary"
+ENTRIES = pa.schema([("shard", pa.int32()), ("pairs", pa.bool_()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERS_SQL = "chunk long, shard int, pairs boolean, levels binary, totals binary, n_words long, n_tokens long"
+ANSWERS = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("pairs", pa.bool_()), ("levels", pa.binary()), ("totals", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -84,58 +91,88 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def squeeze(a: np.ndarray) -> bytes:
     """An array of small numbers in the narrowest width, which leads."""
-    k = 1 if not len(a) or (top := int(a.max())) < 1 << 8 else 2 if top < 1 << 16 else 4
+    k = 1 if not len(a) or (top := int(a.max())) < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
     return bytes([k]) + a.astype(f"<u{k}").tobytes()
 
 
-def expand(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(raw, f"<u{raw[0]}", offset=1) for raw in (x.as_py() for x in column)]
+def expand(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed by byte planes after their count."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _row_key(df: DataFrame) -> F.Column:
-    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+def unpack(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(n)
 
 
-def _entries(documents: DataFrame, train: F.Column, shards: int, pair_shards: int, chunk_chars: int = 5_000_000) -> DataFrame:
-    """Packed word and pair entries of each chunk of documents; pairs have the shards after the words'."""
+def _chunks(documents: DataFrame, train: F.Column, chunk_chars: int = 5_000_000) -> DataFrame:
+    """One row for each chunk of documents: their ids and numbers of tokens, its distinct words, the tokens' words."""
     prepare(documents.sparkSession)
-    rows = documents.select(_row_key(documents).alias("row"), F.coalesce(train, F.lit(True)).alias("train"), "text")
+    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(train, F.lit(True)).alias("train"), "text")
 
     def run(it):
-        for part, texts in batches(it, 2, chunk_chars):
+        first = TaskContext.get().partitionId() << 32
+        for n, (part, texts) in enumerate(batches(it, 2, chunk_chars)):
             hashes = [_hashes.of(t) for t in texts]
-            row, trains = np.array(part.column(0), np.int64), np.array(part.column(1).to_pylist(), bool)
-            sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-            words, doc = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), sizes)
-            unique, number = np.unique(words, return_inverse=True)
-            counts = np.bincount(number, trains[doc], len(unique)).astype("<u4")
-            pairs, tf = np.unique(number * len(hashes) + doc, return_counts=True)
-            word_of, doc_of = pairs // len(hashes), pairs % len(hashes)
-            starts = np.searchsorted(word_of, np.arange(len(unique) + 1))
-            cut = np.searchsorted(_shard_of(unique, shards), np.arange(shards + 1))
-            out: dict[str, list] = {c: [] for c in ENTRIES.names}
-            for k in range(shards):
-                a, b = cut[k], cut[k + 1]
-                if a < b:
-                    own = slice(starts[a], starts[b])
-                    docs, small = np.unique(doc_of[own], return_inverse=True)
-                    for c, v in zip(ENTRIES.names, (k, "word", unique[a:b].tobytes(), squeeze(counts[a:b]), (starts[a:b] - starts[a]).astype("<u4").tobytes(), squeeze(small), squeeze(tf[own]), row[docs].tobytes())):
-                        out[c].append(v)
-            before = np.concatenate([[np.uint64(END)], words[:-1]])  # the word before a text's first is the end token
-            seen, n = np.unique(pair_hash(before, words)[trains[doc]], return_counts=True)
-            cut = np.searchsorted(_shard_of(seen, pair_shards), np.arange(pair_shards + 1))
-            for k in range(pair_shards):
-                a, b = cut[k], cut[k + 1]
-                if a < b:
-                    for c, v in zip(ENTRIES.names, (shards + k, "pair", seen[a:b].tobytes(), squeeze(n[a:b]), None, None, None, None)):
-                        out[c].append(v)
-            yield record_batch(out, ENTRIES)
-
-    return rows.mapInArrow(run, ENTRIES_SQL)
-
-
-def _array(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in column]
+            unique, number = np.unique(np.concatenate(hashes), return_inverse=True)
+            order = np.argsort(-np.bincount(number), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            sizes, trains = np.fromiter(map(len, hashes), np.int64, len(hashes)), np.array(part.column(1).to_pylist(), bool)
+            yield record_batch({"chunk": [first + n], "ids": [part.column(0).to_pylist()], "sizes": [squeeze(sizes)], "trains": [trains.tobytes()], "words": [unique[order].tobytes()], "tokens": [pack(rank[number])]}, CHUNKS)
+
+    return materialise(rows.mapInArrow(run, CHUNKS_SQL), "lm-chunks")
+
+
+class Chunk:
+    """Distinct words (`words`, sorted) and word pairs (`pairs`, sorted hashes) of a row of `_chunks`."""
+
+    def __init__(self, sizes: bytes, words: bytes, tokens: bytes):
+        self.sizes = expand(sizes).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        ranked = np.frombuffer(words, "<u8")
+        order = np.argsort(ranked)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.words, self.number = ranked[order], place[unpack(tokens)]  # number: the word of each token
+        end = np.searchsorted(self.words, np.uint64(END))
+        before = np.concatenate([[end], self.number[:-1]])  # the word before a text's first is the end token
+        keys, pair = np.unique(before * len(order) + self.number, return_inverse=True)
+        first, second = keys // len(order), keys % len(order)
+        hashed = pair_hash(self.words[first], self.words[second])
+        by_hash = np.argsort(hashed, kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[by_hash] = np.arange(len(keys))
+        self.pairs, self.first, self.second, self.pair = hashed[by_hash], first[by_hash], second[by_hash], place[pair]
+
+
+def _entries(chunks: DataFrame, shards: int, pair_shards: int) -> DataFrame:
+    """Packed words and pairs of each chunk with their training counts; pairs have the shards after the words'."""
+    prepare(chunks.sparkSession)
+
+    def run(it):
+        for batch in it:
+            for r in range(len(batch)):
+                number, sizes, trains, words, tokens = (batch.column(k)[r].as_py() for k in range(5))
+                own = Chunk(sizes, words, tokens)
+                train = np.frombuffer(trains, bool)[own.doc]
+                out: dict[str, list] = {c: [] for c in ENTRIES.names}
+                for pairs, keys, of, n, base in ((False, own.words, own.number, shards, 0), (True, own.pairs, own.pair, pair_shards, shards)):
+                    counts = np.bincount(of, train, len(keys)).astype(np.int64)
+                    cut = np.searchsorted(_shard_of(keys, n), np.arange(n + 1))
+                    for k in np.nonzero(np.diff(cut))[0].tolist():
+                        at = slice(cut[k], cut[k + 1])
+                        for c, v in zip(ENTRIES.names, (base + k, pairs, number, keys[at].tobytes(), squeeze(counts[at]))):
+                            out[c].append(v)
+                yield record_batch(out, ENTRIES)
+
+    return chunks.select("chunk", "sizes", "trains", "words", "tokens").mapInArrow(run, ENTRIES_SQL)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -154,12 +191,15 @@ def places(keys: np.ndarray, level: int, hashes: int, bits: np.ndarray) -> list[
     return [(first + np.uint64(k) * step) % bits for k in range(hashes)]
 
 
-def build_slice(keys: np.ndarray, counts: np.ndarray, hashes: int, max_bytes: int) -> tuple[int, bytes]:
-    """(bits set for each entry, bit array) of one shard's n-grams."""
+def build_slice(keys: np.ndarray, counts: np.ndarray, hashes: int, max_bytes: int = 1 << 29) -> tuple[int, bytes]:
+    """(bits set for each entry, bit array) of one shard's n-grams: 1.45 bits for each hash of an entry at any size.
+
+    A slice above max_bytes, to which places of 32 bits reach, is an error, never a thinner slice.
+    """
     level = levels(counts)
-    entries = int(level.sum())
-    size = max(64, min(max_bytes, -(-int(entries * hashes * 1.45) // 64) * 8))
-    hashes = max(1, min(hashes, int(size * 8 * 0.69 / max(1, entries))))
+    size = max(64, -(-int(int(level.sum()) * hashes * 1.45) // 64) * 8)
+    if size > max_bytes:
+        raise ValueError(f"a slice of the filter needs {size} bytes, more than {max_bytes}: use more shards (a smaller entries_mb)")
     bits = np.zeros(size * 8, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         for at in places(keys[level >= q], q, hashes, np.uint64(size * 8)):
@@ -167,41 +207,28 @@ def build_slice(keys: np.ndarray, counts: np.ndarray, hashes: int, max_bytes: in
     return hashes, np.packbits(bits, bitorder="little").tobytes()
 
 
-SHARDS_SQL = "kind string, row long, base double, known long, n_words long, n_tokens long, hashes int, bits binary, shard int"
-SHARDS = pa.schema([("kind", pa.string()), ("row", pa.int64()), ("base", pa.float64()), ("known", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.int32()), ("bits", pa.binary()), ("shard", pa.int32())])
-
-
-def _add_shard(hashes: int, max_bytes: int):
+def _add_shard(hashes: int):
     def add(group: pa.Table) -> pa.Table:
-        if group.column("kind")[0].as_py() == "pair":
-            keys, number = np.unique(np.concatenate(_array(group.column("keys"), "<u8")), return_inverse=True)
-            counts = np.bincount(number, np.concatenate(expand(group.column("counts"))), len(keys)).astype(np.int64)
-            return slice_of(group, keys, counts, 0)
-        keys, counts = _array(group.column("keys"), "<u8"), expand(group.column("counts"))
+        """The shard's sums (a row without a chunk), and for each chunk the levels, and exact counts, of what it sent."""
+        pairs, shard = group.column("pairs")[0].as_py(), group.column("shard")[0].as_py()
+        keys = [np.frombuffer(x.as_py(), "<u8") for x in group.column("keys")]
         unique, number = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(number, np.concatenate(counts), len(unique)).astype(np.int64)
-        rows, base, known, at = [], [], [], 0
-        for own, starts, docs, tf, row in (zip(keys, _array(group.column("starts"), "<u4"), expand(group.column("docs")), expand(group.column("tf")), _array(group.column("rows"), "<i8"))):
-            c = total[number[at: at + len(own)]]
-            at += len(own)
-            each = np.diff(np.append(starts, len(docs)))
-            rows.append(row)
-            base.append(np.bincount(docs, tf * np.repeat(np.log10(c + 0.5), each), len(row)))
-            known.append(np.bincount(docs, tf * np.repeat(c > 0, each), len(row)).astype(np.int64))
-        one = slice_of(group, unique[total > 0], total[total > 0], int(total.sum()))
-        parts = pa.table({"kind": pa.repeat("part", sum(map(len, rows))), "row": np.concatenate(rows), "base": np.concatenate(base), "known": np.concatenate(known), **{c: pa.nulls(sum(map(len, rows)), SHARDS.field(c).type) for c in SHARDS.names[4:]}}, schema=SHARDS)
-        return pa.concat_tables([one, parts])
-
-    def slice_of(group: pa.Table, keys: np.ndarray, counts: np.ndarray, n_tokens: int) -> pa.Table:
-        k, bits = build_slice(keys, counts, hashes, max_bytes)
-        n_words = len(keys) if n_tokens else 0
-        return pa.table({"kind": ["slice"], "row": [None], "base": [None], "known": [None], "n_words": [n_words], "n_tokens": [n_tokens], "hashes": [k], "bits": [bits], "shard": [group.column("shard")[0].as_py()]}, schema=SHARDS)
+        total = np.bincount(number, np.concatenate([expand(x.as_py()) for x in group.column("counts")]), len(unique)).astype(np.int64)
+        seen = total > 0
+        k, bits = build_slice(unique[seen], total[seen], hashes)
+        level = FrequencyFilter([Row(shard=0, hashes=k, bits=bits, n_words=0, n_tokens=0)], 1, 1).levels(unique)
+        parts = np.split(number, np.cumsum([len(x) for x in keys])[:-1])
+        none, n = [None], len(parts)
+        return pa.table({
+            "chunk": none + group.column("chunk").to_pylist(), "shard": [shard] * (n + 1), "pairs": [pairs] * (n + 1), "levels": none + [squeeze(level[x]) for x in parts],
+            "totals": none + ([None] * n if pairs else [squeeze(total[x]) for x in parts]), "n_words": [0 if pairs else int(seen.sum())] + [None] * n, "n_tokens": [0 if pairs else int(total.sum())] + [None] * n,
+        }, schema=ANSWERS)
 
     return add
 
 
 class FrequencyFilter:
-    """All slices of the filter, read by membership probes."""
+    """Slices of the filter, read by membership probes."""
 
     def __init__(self, slices: Iterable[Row], shards: int, pair_shards: int):
         """slices: rows of shard, hashes, bits, n_words, n_tokens, taken one after the other."""
@@ -228,61 +255,55 @@ class FrequencyFilter:
             out[live] = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return out
 
-    def counts(self, keys: np.ndarray, pairs: bool = False) -> np.ndarray:
+    def levels(self, keys: np.ndarray, pairs: bool = False) -> np.ndarray:
         level, live, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         while len(live) and q < 64:
             live = live[self.has(keys[live], q, pairs)]
             level[live] = q
             q += 1
-        return level_count(level).astype(np.float64)
-
-    def score(self, texts: list[np.ndarray], mu: float) -> np.ndarray:
-        """log10 probability of each text, given as token hashes."""
-        words = np.concatenate(texts)
-        doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        unique, number = np.unique(words, return_inverse=True)
-        c = self.counts(unique)
-        alone = np.minimum(1.0, (c + 0.5) / (self.n_tokens + 0.5 * (self.n_words + 1)))
-        end = np.searchsorted(unique, np.uint64(END))
-        before = np.concatenate([[end], number[:-1]])
-        keys, back = np.unique(before * len(unique) + number, return_inverse=True)
-        first, second = keys // len(unique), keys % len(unique)
-        both = np.minimum(self.counts(pair_hash(unique[first], unique[second]), True), np.minimum(c[first], c[second]))
-        p = np.log10((both + mu * alone[second]) / (c[first] + mu))
-        return np.bincount(doc, p[back], len(texts))
-
-
-def score(documents: DataFrame, train: F.Column, mu: float = 2000.0, hashes: int = 4, max_filter_mb: int = 192, entries_mb: int = 16) -> DataFrame:
+        return level
+
+    def counts(self, keys: np.ndarray, pairs: bool = False) -> np.ndarray:
+        return level_count(self.levels(keys, pairs)).astype(np.float64)
+
+
+SCORES_SQL = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _score_chunk(n_words: int, n_tokens: int, mu: float):
+    mass = n_tokens + 0.5 * (n_words + 1)
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        """Scores of a chunk's documents; the shards' answers, one after the other, follow its sorted hashes."""
+        own = Chunk(*(chunk.column(c)[0].as_py() for c in ("sizes", "words", "tokens")))
+        got = sorted(answers.select(["shard", "pairs", "levels", "totals"]).to_pylist(), key=lambda r: r["shard"])
+        total = np.concatenate([expand(r["totals"]) for r in got if not r["pairs"]]).astype(np.int64)
+        c = level_count(np.concatenate([expand(r["levels"]) for r in got if not r["pairs"]]).astype(np.int64)).astype(np.float64)
+        both = level_count(np.concatenate([expand(r["levels"]) for r in got if r["pairs"]]).astype(np.int64)).astype(np.float64)
+        if (len(total), len(c), len(both)) != (len(own.words), len(own.words), len(own.pairs)):
+            raise ValueError("answers of a shard are missing")
+        alone = np.minimum(1.0, (c + 0.5) / mass)
+        p = np.log10((np.minimum(both, np.minimum(c[own.first], c[own.second])) + mu * alone[own.second]) / (c[own.first] + mu))
+        n = len(own.sizes)
+        base = np.bincount(own.doc, np.log10(total + 0.5)[own.number], n) - own.sizes * np.log10(mass)
+        known = np.bincount(own.doc, (total > 0)[own.number], n).astype(np.int64)
+        return pa.table({"doc_id": chunk.column("ids")[0].as_py(), "n_tokens": own.sizes, "n_known": known, "train_tokens": np.full(n, n_tokens, np.int64), "base_score": base, "score": np.bincount(own.doc, p[own.pair], n)}, schema=SCORES)
+
+    return run
+
+
+def score(documents: DataFrame, train: F.Column, mu: float = 2000.0, hashes: int = 4, entries_mb: int = 16) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
     `train` marks the rows to learn from. Counting is dealt to shards of about `entries_mb` of input.
     """
-    spark = documents.sparkSession
-    prepare(spark)
     shards = int(max(16, min(100_000, size_in_bytes(documents) // (entries_mb << 20))))
-    pair_shards = 4 * shards
-    entries = _entries(documents, train, shards, pair_shards)
-    sums = materialise(entries.groupBy("shard").applyInArrow(_add_shard(hashes, (max_filter_mb << 20) // (shards + pair_shards)), SHARDS_SQL), "lm-shards")
-    slices = sums.where("kind = 'slice'").select("shard", "hashes", "bits", "n_words", "n_tokens").toLocalIterator()  # at most max_filter_mb in all
-    found = FrequencyFilter(slices, shards, pair_shards)
-    n_tokens, n_words = found.n_tokens, found.n_words
-    shared = spark.sparkContext.broadcast(found)
-    del found
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-
-    def run(it):
-        own = shared.value
-        for part, texts in batches(it, 2, 5_000_000):
-            tokens = [_hashes.of(t) for t in texts]
-            yield record_batch({"doc_id": part.column(0), "row": part.column(1), "n_tokens": [len(t) for t in tokens], "score": own.score(tokens, mu)}, schema)
-
-    rows = documents.select("doc_id", _row_key(documents).alias("row"), "text")
-    scored = rows.mapInArrow(run, "doc_id long, row long, n_tokens long, score double")
-    base = sums.where("kind = 'part'").groupBy("row").agg(F.sum("base").alias("base"), F.sum("known").alias("known"))
-    copies = rows.groupBy("row").count().where("count > 1").select("row", "count")  # rows equal in both share one sum
-    base = base.join(copies, "row", "left").select("row", (F.col("base") / F.coalesce("count", F.lit(1))).alias("base"), (F.col("known") / F.coalesce("count", F.lit(1))).cast("long").alias("n_known"))
-    log_z = float(np.log10(n_tokens + 0.5 * (n_words + 1)))
-    return scored.join(base, "row", "left").select("doc_id", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(log_z)).alias("base_score"), "score")
+    chunks = _chunks(documents, train)
+    answers = materialise(_entries(chunks, shards, 4 * shards).groupBy("shard").applyInArrow(_add_shard(hashes), ANSWERS_SQL), "lm-answers")
+    sums = answers.where("chunk is null").agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens")).first()
+    asked = answers.where("chunk is not null").select("chunk", "shard", "pairs", "levels", "totals")
+    return chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_score_chunk(sums.n_words, sums.n_tokens, mu), SCORES_SQL)
 
 
 def held_out_scores(documents: DataFrame) -> DataFrame:
