@@ -40,3 +40,13 @@ def test_scores_equal_the_model(spark):
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     assert all(abs(r.score - want[r.doc_id]) < 1e-2 for r in got)  # false hits may move a score slightly
     assert np.median([abs(r.score - want[r.doc_id]) for r in got]) < 1e-9
+
+
+def test_word_shards_hold_no_documents(spark):
+    """A word in every document is one entry of a chunk, whatever the number of documents."""
+    def sent(n: int) -> list[tuple]:
+        docs = spark.createDataFrame([(i, "the same words") for i in range(n)], SCHEMA).coalesce(1)
+        chunks = bloom_lm._chunks(docs, F.lit(True))
+        return sorted((r.shard, len(r.keys)) for r in bloom_lm._entries(chunks, 1, 1).collect())
+
+    assert sent(3) == sent(3_000) == [(0, 8 * 4), (1, 8 * 4)]  # three words and the end token; four pairs
