@@ -25,9 +25,15 @@ def route_of(routes: Sequence[tuple[str, object]]) -> Column:
 
 
 def assign_route(requests: DataFrame, routes: Sequence[tuple[str, object]] | DataFrame, column: str = "route_id") -> DataFrame:
-    """First matching route in list order. A route table's rules (JSON) are read to the driver as configuration."""
+    """First matching route in list order. A route table's rules (JSON) are read to the driver as configuration.
+
+    A table of more than SMALL rules is an error; `match_prefixes` joins those.
+    """
     if isinstance(routes, DataFrame):
-        routes = [(r.route_id, json.loads(r.rule) if r.rule else None) for r in routes.orderBy("ordinal").limit(SMALL).collect()]
+        rules = routes.orderBy("ordinal").limit(SMALL + 1).collect()
+        if len(rules) > SMALL:
+            raise ValueError(f"more than {SMALL} route rules: use match_prefixes")
+        routes = [(r.route_id, json.loads(r.rule) if r.rule else None) for r in rules]
     return requests.withColumn(column, route_of(routes))
 
 
