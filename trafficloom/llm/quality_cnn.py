@@ -4,9 +4,9 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. In ea
 filters slide over byte embeddings and are max-pooled; a hidden layer turns a chunk's maxima into
 features, and their mean and maximum over all chunks give one probability.
 
-Training: at most `per_label` documents of each label, chosen by a hash of the id, and at most
-`train_chunks` evenly spaced chunks of each; this bounded sample is trained on the driver with a
-fixed seed. Scoring reads every chunk of every text.
+Training: at most `per_label` documents of each label, chosen by a hash of the id, each with all of its
+chunks, as in scoring; they are trained on the driver with a fixed seed. Chunks are cut and pooled a few
+at a time.
 
 Defined cases: null and empty texts are one chunk of padding and get that chunk's score; a document
 with several labels counts with its smallest; without both labels in the training rows the score is
@@ -64,7 +64,12 @@ class ByteConvNet:
         pooled = np.concatenate([self.pooled(every[a: a + at_once]) for a in range(0, len(every), at_once)])
         return 1 / (1 + np.exp(-np.clip(self.logits(pooled, starts)[0].astype(np.float64), -30, 30)))
 
-    def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> None:
+    def pooled_parts(self, chunks: np.ndarray, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """pooled with places, a bounded number of chunks at a time."""
+        parts = [self.pooled(chunks[a: a + at_once], True) for a in range(0, len(chunks), at_once)]
+        return np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts])
+
+    def train(self, docs: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> None:
         """Adam on the logistic loss; through the maxima only the winning places get gradients."""
         g = np.random.default_rng(seed)
         m1, m2, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
@@ -72,10 +77,10 @@ class ByteConvNet:
             order = g.permutation(len(docs))
             for a in range(0, len(order), batch):
                 pick = order[a: a + batch]
-                rows = [docs[i] for i in pick]
+                rows = [chunks_of(docs[i]) for i in pick]
                 starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]).astype(np.int64)
                 chunks = np.concatenate(rows)
-                pooled, where = self.pooled(chunks, True)
+                pooled, where = self.pooled_parts(chunks)
                 z, h, both, counts = self.logits(pooled, starts)
                 dz = ((1 / (1 + np.exp(-z)) - labels[pick]) / len(pick)).astype(np.float32)
                 grad = {"w2": both.T @ dz, "b2": np.array([dz.sum()], np.float32)}
@@ -101,24 +106,18 @@ class ByteConvNet:
                     self.p[k] = (self.p[k] - pace * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def learn(documents: DataFrame, labels: DataFrame, per_label: int = 1500, train_chunks: int = 6) -> ByteConvNet | None:
-    """Train on a bounded sample of the labelled rows (doc_id, quality) of `labels`."""
+def learn(documents: DataFrame, labels: DataFrame, per_label: int = 1500) -> ByteConvNet | None:
+    """Train on a bounded sample of the labelled rows (doc_id, quality) of `labels`, on the whole texts."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = hash_sample(known, "quality", per_label)
-    # Only what training uses leaves the executors: evenly spaced chunks of at most 2 * per_label documents.
-    n, size = F.length(F.col("data")), F.lit(CHUNK)
-    spaced = F.transform(
-        F.sequence(F.lit(0), F.lit(train_chunks - 1)),
-        lambda k: F.substring(F.col("data"), F.when(n <= size, 1).otherwise(1 + F.floor((n - size) * k / (train_chunks - 1)).cast("int")), size),
-    )
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")).join(F.broadcast(chosen), "doc_id")  # at most 2 * per_label rows
-    sample = rows.select("doc_id", "quality", F.array_distinct(spaced).alias("chunks")).dropDuplicates(["doc_id"]).collect()
+    sample = rows.dropDuplicates(["doc_id"]).select("doc_id", "quality", "data").collect()
     sample.sort(key=lambda r: r.doc_id)
     labels_of = np.array([float(r.quality) for r in sample], np.float32)
     if len(set(labels_of.tolist())) < 2:
         return None
     net = ByteConvNet()
-    net.train([np.stack([np.frombuffer(bytes(c).ljust(CHUNK, b"\0"), np.uint8) for c in r.chunks]) for r in sample], labels_of)
+    net.train([bytes(r.data) for r in sample], labels_of)
     return net
 
 
