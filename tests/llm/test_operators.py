@@ -140,6 +140,23 @@ def test_links_in_groups_of_near_copies(spark, like, seed):
     assert got == brute_links(rows, like)
 
 
+def test_ids_with_several_texts_and_reordered_copies(spark):
+    """An id with two texts links by either; equal sets of other word order are one class; a passage of many texts loses no link."""
+    g, like = random.Random(9), setjoin.Likeness(2, 80, 100)
+    passage = [f"p{k}" for k in range(30)]
+    texts = [" ".join([f"own{i}-{k}" for k in range(25)] + passage) for i in range(40)]
+    rows = [(i + 10, t) for i, t in enumerate(texts)] + [(200 + i, t + " tail") for i, t in enumerate(texts[::4])]
+    rows += [(300, "a b a c a"), (301, "a c a b a"), (5, texts[3]), (5, texts[7] + " x"), (5, texts[3]), (302, "u v w " * 400_000)]
+    g.shuffle(rows)
+    got = collections.defaultdict(set)
+    for r in setjoin.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), like).collect():
+        got[r.doc_id].add(r.component_id)
+    want = {i + 10: i + 10 for i in range(40)} | {200 + i: 10 + 4 * i for i in range(10)} | {300: 300, 301: 300, 302: 302, 13: 5, 17: 5, 5: 5}
+    assert got == {k: {v} for k, v in want.items()}
+    kept = setjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), like).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in kept} == {k: 2 if k == 5 else 1 for k, v in want.items() if k == v}
+
+
 @pytest.mark.parametrize(("num", "seed"), [(60, 1), (80, 2), (90, 3)])
 def test_candidates_hold_all_links_of_a_group(spark, num, seed):
     """Without any star pair before it, the search alone joins what brute force joins."""
@@ -161,11 +178,35 @@ def test_candidates_hold_all_links_of_a_group(spark, num, seed):
 
 def test_sketches_never_differ_by_more_than_the_sets():
     g = np.random.default_rng(4)
-    for n in (0, 1, 200, 5000, 100_000):
+    for n in (0, 1, 200, 500, 5000, 100_000):
         x = np.unique(g.integers(0, 2**64, n, dtype=np.uint64))
-        y = np.unique(np.concatenate([x[g.random(len(x)) < 0.9], g.integers(0, 2**64, n // 20, dtype=np.uint64)]))
-        a, b = (np.frombuffer(setjoin.sketch(z), np.uint8).astype(int) for z in (x, y))
-        assert len(a) == 256 and np.abs(a - b).sum() <= len(np.setxor1d(x, y))
+        for add in (0, n // 20, n // 3, 5 * n):  # sketches of the same and of other lengths
+            y = np.unique(np.concatenate([x[g.random(len(x)) < 0.9], g.integers(0, 2**64, add, dtype=np.uint64)]))
+            bound = setjoin.apart(setjoin.sketch(x), setjoin.sketch(y))
+            assert abs(len(x) - len(y)) <= bound <= len(np.setxor1d(x, y))
+    crowded = np.arange(2**56, 2**56 + 3000, dtype=np.uint64)  # all in one part: nothing can be said
+    assert setjoin.apart(setjoin.sketch(crowded), setjoin.sketch(crowded[:400])) == 0
+
+
+def test_linked_sets_share_more_than_one_key():
+    """Sets of any sizes that link share 1 + extra exact keys of a band, unless they share a loose one."""
+    g = np.random.default_rng(8)
+    for like in (setjoin.Likeness(3, 90, 100), setjoin.Likeness(5, 80, 100), setjoin.Likeness(2, 60, 100)):
+        index, several = setjoin.Index(like, {k: 1000 for k in range(25)}), 0
+        for n in (1, 2, 3, 5, 9, 20, 47, 80, 200, 611):
+            for _ in range(40):
+                x = np.unique(g.integers(0, 2**63, n).astype(np.uint64))
+                most = n * (like.den - like.num) // like.den
+                gone = int(g.integers(0, most + 1))
+                y = np.unique(np.concatenate([x[gone:], g.integers(0, 2**63, int(g.integers(0, most - gone + 1))).astype(np.uint64)]))
+                common = len(np.intersect1d(x, y))
+                if common and like.den * common >= like.num * (len(x) + len(y) - common):
+                    shared = np.intersect1d(index.keys(x), index.keys(y))
+                    spared = [min(a, b) for a, b in zip(index.extra(len(x)), index.extra(len(y)))]
+                    loose, odd = (shared & np.uint64(2)) > 0, shared & np.uint64(1)
+                    assert loose.any() or any((odd == p).sum() >= 1 + spared[p] and (odd == p).any() for p in (0, 1))
+                    several += not loose.any() and max(spared) > 1
+        assert several > 20 or like.num == 60  # there the loose keys are shared
 
 
 def test_pigeonhole_schemes_are_complete():

@@ -48,7 +48,7 @@ def _references(members: DataFrame, texts: DataFrame, grams: Callable[[str], np.
 
 def _differences(members: DataFrame, documents: DataFrame, grams: Callable[[str], np.ndarray], p: int, m: int) -> DataFrame:
     ids = materialise(members.select(F.col("node").alias("doc_id")).distinct(), "open-ids")
-    texts = materialise(join_ids(documents.select("doc_id", "text"), ids, "left_semi").dropDuplicates(["doc_id"]), "open-texts")
+    texts = materialise(join_ids(documents.select("doc_id", "text"), ids, "left_semi").distinct(), "open-texts")
     references = materialise(_references(members, texts, grams), "references")
     both = members.join(texts, F.col("node") == F.col("doc_id")).join(references, "grp", "left").select("grp", "node", "part", "text", "reference")
 
@@ -71,9 +71,10 @@ def _differences(members: DataFrame, documents: DataFrame, grams: Callable[[str]
     return materialise(both.mapInArrow(run, ROWS_SQL), "differences")
 
 
-def _pairs_of_few(members: DataFrame) -> DataFrame:
-    b = members.select("grp", F.col("node").alias("b"), F.col("part").alias("y"))
-    return members.select("grp", F.col("node").alias("a"), F.col("part").alias("x")).join(b, "grp").where("x <> y and a < b").select("a", "b")
+def pairs_of_few(members: DataFrame, group: str) -> DataFrame:
+    """All pairs (a, b) of different parts in groups of at most FEW members."""
+    b = members.select(group, F.col("node").alias("b"), F.col("part").alias("y"))
+    return members.select(group, F.col("node").alias("a"), F.col("part").alias("x")).join(b, group).where("x <> y and a < b").select("a", "b")
 
 
 def candidates(members: DataFrame, documents: DataFrame, grams: Callable[[str], np.ndarray], num: int, den: int) -> DataFrame:
@@ -86,7 +87,7 @@ def candidates(members: DataFrame, documents: DataFrame, grams: Callable[[str],
     p, m = den + num, den - num
     sizes = members.groupBy("grp").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("grp", "size")
     sized = materialise(members.join(sizes, "grp"), "open-groups")
-    few = _pairs_of_few(sized.where(F.col("size") <= FEW))
+    few = pairs_of_few(sized.where(F.col("size") <= FEW), "grp")
     rows = _differences(sized.where(F.col("size") > FEW).select("grp", "node", "part"), documents, grams, p, m)
 
     hubs = rows.groupBy("grp").agg(F.min(F.struct("lack", "node", "part")).alias("hub"))
