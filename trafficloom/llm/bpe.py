@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import DEFAULT_TOKENIZER_FILE, batches, prepare, record_batch
+from .common import batches, prepare, record_batch, vocabulary_file
 from .units import PRE_TOKEN, SPECIAL, UnitMemo
 
-NONE = np.int32(2**31 - 1)
+NONE = np.int32(2**31 - 1)  # rank of what can't be merged
 WIDEST = 64  # bytes of a pre-token that still joins a numpy batch
 
 
@@ -69,43 +70,50 @@ class MergeTable:
 
 
 class RankTree:
-    """Segment tree over one symbol sequence of any length."""
+    """Segment tree over one symbol sequence of any length; a node is rank * width + place, in flat arrays."""
 
     def __init__(self, table: MergeTable, data: bytes):
         self.table, n = table, len(data)
-        self.ids = table.byte_id[np.frombuffer(data, np.uint8)].tolist()
-        self.next, self.prev = list(range(1, n + 1)), list(range(-1, n - 1))
+        ids = table.byte_id[np.frombuffer(data, np.uint8)]
+        self.ids, self.next, self.prev = array("i", ids.tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
         self.width = 1 << max(0, (n - 1)).bit_length()
-        self.tree = [(NONE, 0)] * (2 * self.width)
-        for i in range(n - 1):
-            self.tree[self.width + i] = (table.rank_of.get(self.ids[i] * table.size + self.ids[i + 1], NONE), i)
-        for i in range(self.width - 1, 0, -1):
-            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
-
-    def put(self, i: int, rank) -> None:
-        at = self.width + i
-        self.tree[at] = (rank, i)
+        tree = np.full(2 * self.width, int(NONE) * self.width, np.int64)
+        rank = table.pair_ranks(ids[:-1], ids[1:]).astype(np.int64)
+        tree[self.width: self.width + max(0, n - 1)] = rank * self.width + np.where(rank == NONE, 0, np.arange(max(0, n - 1)))
+        level = self.width
+        while level > 1:
+            tree[level // 2: level] = np.minimum(tree[level: 2 * level: 2], tree[level + 1: 2 * level: 2])
+            level //= 2
+        self.tree, self.none = array("q", tree.tobytes()), int(NONE) * self.width
+
+    def put(self, i: int, value: int) -> None:
+        tree, at = self.tree, self.width + i
+        tree[at] = value
         while at > 1:
-            at //= 2
-            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+            at >>= 1
+            least = min(tree[2 * at], tree[2 * at + 1])
+            if tree[at] == least:
+                break  # nothing changes above
+            tree[at] = least
 
-    def rank(self, i: int):
+    def node(self, i: int) -> int:
         j = self.next[i]
-        return self.table.rank_of.get(self.ids[i] * self.table.size + self.ids[j], NONE) if j < len(self.ids) else NONE
+        rank = self.table.rank_of.get(self.ids[i] * self.table.size + self.ids[j]) if j < len(self.ids) else None
+        return self.none if rank is None else rank * self.width + i
 
     def run(self) -> np.ndarray:
         n = len(self.ids)
-        while self.tree[1][0] != NONE:
-            rank, i = self.tree[1]
+        while self.tree[1] < self.none:
+            rank, i = divmod(self.tree[1], self.width)
             j = self.next[i]
             self.ids[i], self.next[i] = int(self.table.merged[rank]), self.next[j]
             if self.next[j] < n:
                 self.prev[self.next[j]] = i
-            self.put(j, NONE)
-            self.put(i, self.rank(i))
+            self.put(j, self.none)
+            self.put(i, self.node(i))
             if self.prev[i] >= 0:
-                self.put(self.prev[i], self.rank(self.prev[i]))
-        out, i = [], 0
+                self.put(self.prev[i], self.node(self.prev[i]))
+        out, i = array("i"), 0
         while i < n:
             out.append(self.ids[i])
             i = self.next[i]
@@ -192,8 +200,8 @@ def encode_pieces(table: MergeTable, pieces: list[bytes]) -> list[bytes]:
 class SegmentTreeTokenizer:
     """Whole texts to ids and back, over a vocabulary file at `path`."""
 
-    def __init__(self, path: str = DEFAULT_TOKENIZER_FILE):
-        self.table = MergeTable(path)
+    def __init__(self, path: str | None = None):
+        self.table = MergeTable(vocabulary_file(path))
         self.memo = UnitMemo(self._resolve)
 
     def _resolve(self, strings: list[str]) -> list[bytes]:
@@ -213,7 +221,7 @@ class SegmentTreeTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> SegmentTreeTokenizer:
+def tokenizer(path: str | None = None) -> SegmentTreeTokenizer:
     return SegmentTreeTokenizer(path)
 
 
@@ -221,7 +229,7 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str = DEFAULT_TOKENIZER_FILE) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """df with a column of token ids (array<int>); null and empty texts get an empty array."""
     prepare(df.sparkSession)
     at, keep = df.columns.index(text), [c for c in df.columns if c != ids]
@@ -237,7 +245,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str = DEFA
     return df.mapInArrow(run, _with_column(df, ids, T.ArrayType(T.IntegerType())))
 
 
-def decode(df: DataFrame, ids: str = "ids", text: str = "text", path: str = DEFAULT_TOKENIZER_FILE) -> DataFrame:
+def decode(df: DataFrame, ids: str = "ids", text: str = "text", path: str | None = None) -> DataFrame:
     """df with the text that its ids spell; a null list gives an empty text."""
     prepare(df.sparkSession)
     at, keep = df.columns.index(ids), [c for c in df.columns if c != text]
@@ -251,10 +259,33 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "text", path: str = DEFA
     return df.mapInArrow(run, _with_column(df, text, T.StringType()))
 
 
+def encode_checked(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """df with n_tokens, lossless (the ids spell the text again) and ids (array<int>), in one pass over the texts.
+
+    Columns of these names are replaced; null texts count as empty.
+    """
+    prepare(df.sparkSession)
+    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    keep = [c for c in df.columns if c not in made.names]
+    at = df.columns.index(text)
+
+    def run(it):
+        own = tokenizer(path)
+        for part, texts in batches(it, at, 1_000_000):
+            got = own.encode(texts)
+            sizes = np.fromiter((len(x) // 4 for x in got), np.int64, len(got))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32)))
+            same = pa.array([own.decode(x) == t for x, t in zip(got, texts)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(sizes), same, ids], names=[*keep, *made.names])
+
+    return df.mapInArrow(run, T.StructType([*(f for f in df.schema.fields if f.name in keep), *made.fields]))
+
+
 ROUND_TRIP = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def round_trip(documents: DataFrame, path: str = DEFAULT_TOKENIZER_FILE) -> DataFrame:
+def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the text decoded from these ids."""
     prepare(documents.sparkSession)
 

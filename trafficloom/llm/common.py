@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 from ..sources.scratch import scratch
 from ..workers import prepare  # noqa: F401  (the operators take it from here)
 
-DEFAULT_TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def vocabulary_file(path: str | None = None) -> str:
+    """The vocabulary file to use; asked for where it is read, so each worker takes its own installed copy."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,18 +7,20 @@ when all of them are full. A leaf then takes whole epochs of its documents and a
 more, in an order that the seed and the epoch's number fix.
 
 The tree is configuration: its leaves (at most `max_leaves`, else ValueError) are budgeted on the
-driver. Documents stay distributed. The prefix is found by two steps: token sums of hash buckets
-within each leaf, then a running sum over the one bucket in which the leaf's prefix ends; so a leaf
-with a third of all rows is never ordered in one task.
+driver. Documents stay distributed. The prefix is found by two steps: token sums of buckets of the
+order within each leaf (about as many as the root of the leaf's rows), then a running sum over the one
+bucket in which the leaf's prefix ends; so a leaf with a third of all rows is never ordered in one task.
 
 Defined cases: null values of a level are a node of their own; nodes without a weight get the least
 weight given on their level; null and empty texts have 0 tokens (a leaf without tokens keeps its rows
-once); repeated rows count and are drawn one by one; an empty table gives an empty table; all columns
-pass through.
+once); a very long text is one document like any other, drawn only if it fits whole; repeated rows count
+and are drawn one by one, and rows that tie in the order are ordered by doc_id; an empty table gives an
+empty table; all columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +32,6 @@ DEFAULT_WEIGHTS: dict[str, dict[str, float]] = {
     "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
     "source": {},
 }
-_ADDED = ("_leaf", "_order", "_bucket", "_full", "_rest", "_edge", "_base", "_times")
 
 
 def domain_of(source: Column) -> Column:
@@ -83,55 +84,61 @@ def leaf_budgets(tokens: Mapping[tuple, int], weights: Mapping[str, Mapping[str,
     return out
 
 
-def mix(
-    documents: DataFrame, levels: Sequence[str] = DEFAULT_LEVELS, weights: Mapping[str, Mapping[str, float]] = DEFAULT_WEIGHTS, budget: int | None = None,
-    max_epochs: int = 4, seed: int = 17, buckets: int = 4096, max_leaves: int = 100_000,
+def _drawn(
+    documents: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, float]], budget: int | None, max_epochs: int, seed: int, max_leaves: int,
 ) -> DataFrame:
-    """The drawn rows, with their columns and n_tokens, epoch (0 is the first).
-
-    `budget` is in tokens; without one it is what the table holds. The names n_tokens and epoch are
-    replaced if the table has them; names that start with an underscore and are listed in _ADDED are
-    reserved.
-    """
-    spark = documents.sparkSession
-    if taken := set(_ADDED) & set(documents.columns):
-        raise ValueError(f"reserved column names: {sorted(taken)}")
-    names = [c for c in documents.columns if c not in ("n_tokens", "epoch")]
-    docs = documents.select(*names).withColumn("n_tokens", count_tokens(F.col("text")))
-    sums = docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")).limit(max_leaves + 1).collect()
+    """row (a struct of the drawn row's columns), n_tokens, epoch. The levels' columns come from `documents`."""
+    spark, places = documents.sparkSession, [f"l{k}" for k in range(len(levels))]
+    # The row travels as one struct, so that no column of it can clash with those of the plan.
+    row, node = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), [c.alias(p) for p, c in zip(places, levels.values())]
+    docs = documents.select(row, *node, count_tokens(F.col("text")).alias("n_tokens"))
+    sums = docs.groupBy(*places).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).limit(max_leaves + 1).collect()
     if len(sums) > max_leaves:
         raise ValueError(f"the tree has more than {max_leaves} leaves")
-    tokens = {tuple(r[c] for c in levels): int(r.tokens) for r in sums}
-    given = leaf_budgets(tokens, weights, levels, sum(tokens.values()) if budget is None else budget, max_epochs)
+    tokens = {tuple(r[:len(places)]): int(r.tokens) for r in sums}
+    parts = {tuple(r[:len(places)]): max(1, math.isqrt(r.rows)) for r in sums}
+    given = leaf_budgets(tokens, weights, list(levels), sum(tokens.values()) if budget is None else budget, max_epochs)
     plan = []
     for leaf, amount in given.items():
         full, rest = divmod(amount, tokens[leaf]) if tokens[leaf] else (1, 0)
-        plan.append((*leaf, int(full), int(rest)))
-    kinds = ", ".join(f"_l{k} {documents.schema[c].dataType.simpleString()}" for k, c in enumerate(levels))
-    table = spark.createDataFrame(plan, f"{kinds}, _full int, _rest long")  # at most max_leaves rows
+        plan.append((*leaf, int(full), int(rest), parts[leaf]))
+    kinds = ", ".join(f"p{k} {docs.schema[p].dataType.simpleString()}" for k, p in enumerate(places))
 
-    def at_leaf(df: DataFrame, other: DataFrame) -> DataFrame:
+    def at_leaf(plan: list[tuple], more: str) -> DataFrame:
+        """Documents with their leaf's row of the plan (at most max_leaves rows), place in its order and bucket of the order."""
         same = F.lit(True)
-        for k, c in enumerate(levels):
-            same = same & F.col(c).eqNullSafe(F.col(f"_l{k}"))
-        return df.join(F.broadcast(other), same)
-
-    order = F.xxhash64(F.lit(seed), F.col("_full"), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    dealt = at_leaf(docs, table).withColumn("_order", order).withColumn("_bucket", F.pmod(F.shiftright("_order", 32), F.lit(buckets)).cast("int"))
-    sums = dealt.where("_rest > 0").groupBy(*(f"_l{k}" for k in range(len(levels))), "_rest", "_bucket").agg(F.sum("n_tokens").alias("n"))
-    along = Window.partitionBy(*(f"_l{k}" for k in range(len(levels)))).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.withColumn("after", F.sum("n").over(along))
-    edges = running.where("after > _rest").groupBy(*(f"_l{k}" for k in range(len(levels)))).agg(F.min("_bucket").alias("_edge"), F.min_by(F.col("after") - F.col("n"), "_bucket").alias("_base"))
-    edges = edges.collect()  # at most one row for each leaf
-    found = {tuple(r[f"_l{k}"] for k in range(len(levels))): (r._edge, r._base) for r in edges}
-    plan = [(*p, *found.get(p[: len(levels)], (buckets if p[-1] else -1, 0))) for p in plan]
-    table = spark.createDataFrame(plan, f"{kinds}, _full int, _rest long, _edge int, _base long")
-    dealt = at_leaf(docs, table).withColumn("_order", order).withColumn("_bucket", F.pmod(F.shiftright("_order", 32), F.lit(buckets)).cast("int"))
-    clear = dealt.where(F.col("_bucket") != F.col("_edge")).withColumn("_times", F.col("_full") + (F.col("_bucket") < F.col("_edge")).cast("int"))
-    within = Window.partitionBy(*(f"_l{k}" for k in range(len(levels)))).orderBy("_order", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    edge = dealt.where(F.col("_bucket") == F.col("_edge")).withColumn("_times", F.col("_full") + ((F.col("_base") + F.sum("n_tokens").over(within)) <= F.col("_rest")).cast("int"))
-    drawn = clear.unionByName(edge).where("_times > 0")
-    return drawn.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).select(*names, "n_tokens", "epoch")
+        for k, p in enumerate(places):
+            same = same & F.col(p).eqNullSafe(F.col(f"p{k}"))
+        found = docs.join(F.broadcast(spark.createDataFrame(plan, f"{kinds}, whole int, rest long, parts long{more}")), same)
+        order = F.xxhash64(F.lit(seed), F.col("whole"), F.col("row.doc_id"), F.coalesce(F.col("row.text"), F.lit("")))
+        bucket = F.floor((order / F.lit(2.0**64) + 0.5) * F.col("parts"))
+        return found.withColumn("order", order).withColumn("bucket", F.least(bucket, F.col("parts") - 1))
+
+    sums = at_leaf(plan, "").where("rest > 0").groupBy(*places, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
+    along = Window.partitionBy(*places).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    running = sums.withColumn("after", F.sum("n").over(along)).where("after > rest")
+    edges = running.groupBy(*places).agg(F.min("bucket").alias("edge"), F.min_by(F.col("after") - F.col("n"), "bucket").alias("base")).collect()  # at most a row for each leaf
+    found = {tuple(r[: len(places)]): (r.edge, r.base) for r in edges}
+    plan = [(*p, *found.get(p[: len(places)], (p[-1] if p[-2] else -1, 0))) for p in plan]
+    dealt = at_leaf(plan, ", edge long, base long")
+    clear = dealt.where("bucket <> edge").select("row", "n_tokens", (F.col("whole") + (F.col("bucket") < F.col("edge")).cast("int")).alias("times"))
+    within = Window.partitionBy(*places).orderBy("order", F.col("row.doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    taken = (F.col("base") + F.sum("n_tokens").over(within)) <= F.col("rest")
+    edge = dealt.where("bucket = edge").select("row", "n_tokens", (F.col("whole") + taken.cast("int")).alias("times"))
+    return clear.unionByName(edge).where("times > 0").select("row", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))
+
+
+def mix(
+    documents: DataFrame, levels: Sequence[str] = DEFAULT_LEVELS, weights: Mapping[str, Mapping[str, float]] = DEFAULT_WEIGHTS, budget: int | None = None,
+    max_epochs: int = 4, seed: int = 17, max_leaves: int = 100_000,
+) -> DataFrame:
+    """The drawn rows, with their columns and n_tokens, epoch (0 is the first).
+
+    `budget` is in tokens; without one it is what the table holds. Columns named n_tokens and epoch are
+    replaced.
+    """
+    rows = documents.drop("n_tokens", "epoch")
+    return _drawn(rows, {c: F.col(c) for c in levels}, weights, budget, max_epochs, seed, max_leaves).select("row.*", "n_tokens", "epoch")
 
 
 def draw(documents: DataFrame) -> DataFrame:
@@ -140,7 +147,7 @@ def draw(documents: DataFrame) -> DataFrame:
     return mix(rows).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
-def keep_mixed(documents: DataFrame) -> DataFrame:
-    """The drawn rows in the columns of `documents`; a document drawn for several epochs is repeated."""
-    rows = documents.select("*", domain_of(F.col("source")).alias("_domain"))
-    return mix(rows, ("_domain", "lang", "source"), {**DEFAULT_WEIGHTS, "_domain": DEFAULT_WEIGHTS["domain"]}).select(*documents.columns)
+def keep_mixed(documents: DataFrame, budget: int | None = None, max_epochs: int = 4, seed: int = 17, max_leaves: int = 100_000) -> DataFrame:
+    """The drawn rows in the columns of `documents`, all untouched; a document drawn for several epochs is repeated."""
+    levels = {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    return _drawn(documents, levels, DEFAULT_WEIGHTS, budget, max_epochs, seed, max_leaves).select("row.*")

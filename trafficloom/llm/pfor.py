@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DEFAULT_TOKENIZER_FILE, batches, partitions_for, prepare, record_batch, scratch
+from .common import batches, partitions_for, prepare, record_batch, scratch, vocabulary_file
 from .units import UnitMemo
 
 BLOCK, LANES, STEPS = 256, 8, 32
@@ -113,7 +113,7 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def library_memo(path: str) -> UnitMemo:
+def library_memo(path: str | None = None) -> UnitMemo:
     """A memo that the tokenizers library fills.
 
     Units that start with a blank and a non-blank are encoded many to a text, since no pre-token
@@ -122,7 +122,7 @@ def library_memo(path: str) -> UnitMemo:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
+    own = Tokenizer.from_file(vocabulary_file(path))
     own.no_truncation()
     own.no_padding()
     encode = getattr(own, "encode_batch_fast", own.encode_batch)
@@ -158,7 +158,7 @@ def library_memo(path: str) -> UnitMemo:
     return UnitMemo(resolve, limit=600_000)
 
 
-def write_token_files(documents: DataFrame, path: str, end_id: int = 0, tokenizer_file: str = DEFAULT_TOKENIZER_FILE, percentile: float = 0.9) -> None:
+def write_token_files(documents: DataFrame, path: str, end_id: int = 0, tokenizer_file: str | None = None, percentile: float = 0.9) -> None:
     """Encode doc_id, text in ascending doc_id order into segments under `path` (a Spark path)."""
     prepare(documents.sparkSession)
 
@@ -203,7 +203,7 @@ def read_token_files(spark, path: str) -> DataFrame:
     return _segments(spark, path).mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def file_digests(documents: DataFrame, path: str | None = None, end_id: int = 0, tokenizer_file: str = DEFAULT_TOKENIZER_FILE) -> DataFrame:
+def file_digests(documents: DataFrame, path: str | None = None, end_id: int = 0, tokenizer_file: str | None = None) -> DataFrame:
     """Write documents to token files, read them back, and describe each document's ids."""
     path = path or scratch(documents.sparkSession, "token-files")
     write_token_files(documents, path, end_id, tokenizer_file)

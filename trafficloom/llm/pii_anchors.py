@@ -1,25 +1,30 @@
 """Operator 5: personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in one pass over a text: at-signs, scheme marks, plus signs,
-digits and identifier cues. At each anchor a small deterministic parser walks left and right over the
-characters that the kind allows, then validates what it found. A parser never looks further than
-the run of allowed characters, so the work follows the text's length.
+digits, identifier cues in any case, and the prefixes of well-known keys. At each anchor a small
+deterministic parser walks left and right over the characters that the kind allows, then validates what
+it found. A parser never looks further than the run of allowed characters, and no run is walked again
+for another anchor inside it, so the work follows the text's length.
 
 Kinds, in output order: email, ip, card, phone (the base kinds, equal to leftmost non-overlapping
 matches of their patterns), then url (credentials in a link), account (IBAN with its check digits,
-or digits after a cue) and secret (a long token after a cue). Added kinds skip what a base kind covers.
-
-Defined cases: null and empty texts have no spans; every span is inside its text, in code points, end
-exclusive; texts of any length are read whole; rows are searched one by one, so repeated rows give
-repeated results; `redact` keeps all columns, replaces text (null stays null) and sets n_chars where
-it exists.
+or digits after a cue) and secret (a long token after a cue, a key with a known prefix, a bearer token,
+a private key block). Added kinds skip what a base kind covers.
+
+Defined cases: null and empty texts have no spans; an empty table gives an empty table; every span is
+inside its text, in code points, end exclusive; texts of any length are read whole; where spans of one added
+kind overlap, the one whose anchor comes first stays; rows are searched one by one, so repeated rows give
+repeated results; `report` ignores further columns; `redact` keeps all columns, replaces text (null stays
+null) and sets n_chars where it exists.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -39,21 +44,33 @@ TOKEN = frozenset(LETTERS + "0123456789_-./+=")
 ACCOUNT_CUES = ("account", "acct", "iban", "konto", "compte", "cuenta", "ssn", "passport")
 SECRET_CUES = ("token", "api_key", "apikey", "api-key", "secret", "password", "passwd")
 CUES = {c: "account" for c in ACCOUNT_CUES} | {c: "secret" for c in SECRET_CUES}
+# How public services mark their keys, and the least length of what follows the mark.
+KEY_PREFIXES = {"AKIA": 16, "ASIA": 16, "ghp_": 30, "gho_": 30, "ghs_": 30, "github_pat_": 30, "glpat-": 20, "sk_live_": 16, "xoxb-": 16, "xoxp-": 16, "AIza": 30}
+BEARER, BLOCK = "bearer ", "-----begin "
+LOWER = {k: k + 32 for k in range(65, 91)}
+ALNUM = frozenset(LETTERS + "0123456789")
+BASE64 = ALNUM | frozenset("+/=\r\n \t")
 NOT_DIGITS = re.compile(r"[^0-9]+")
 
 
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
+    """Anchors as they stand in a text whose A-Z are lower case, each with its length."""
     a = ahocorasick.Automaton()
-    for mark in ("@", "+", "://", *DIGITS):
-        a.add_word(mark, mark)
-    for cue in CUES:
-        for form in (cue, cue.capitalize(), cue.upper()):
-            a.add_word(form, cue)
+    for mark in ("@", "+", "://", *DIGITS, *CUES, BEARER, BLOCK):
+        a.add_word(mark, (mark, len(mark)))
+    for prefix in KEY_PREFIXES:
+        a.add_word(prefix.lower(), (prefix, len(prefix)))
     a.make_automaton()
     return a
 
 
+def lowered(text: str) -> str:
+    """The text with small letters, code point by code point (no letter gets shorter, so equal lengths are aligned)."""
+    small = text.lower()
+    return small if len(small) == len(text) else text.translate(LOWER)
+
+
 def run_end(text: str, at: int, allowed: frozenset) -> int:
     n = len(text)
     while at < n and text[at] in allowed:
@@ -125,6 +142,25 @@ def iban_valid(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_at(text: str, at: int) -> tuple[int, int] | None:
+    """An IBAN that starts at `at`: two capitals, two check digits, 11 to 30 further letters and digits, blanks between."""
+    head = text[at: at + 4]
+    if len(head) < 4 or not head.isascii() or not head[:2].isalpha() or not head[:2].isupper() or not head[2:].isdigit():
+        return None
+    stop, code = at, ""
+    while stop < len(text) and len(code) < 34 and (text[stop] in ALNUM or text[stop] == " " and stop + 1 < len(text) and text[stop + 1] in ALNUM):
+        code += text[stop].strip()
+        stop += 1
+    while len(code) >= 15:
+        if code.isupper() and iban_valid(code) and (stop == len(text) or text[stop] not in ALNUM):
+            return at, stop
+        code = code[:-1]
+        stop -= 1
+        while stop > at and text[stop - 1] == " ":
+            stop -= 1
+    return None
+
+
 def account_after(text: str, end: int) -> tuple[int, int] | None:
     """An IBAN, or 6 to 20 digits with blanks or hyphens, shortly after a cue that ends at `end`."""
     at = end
@@ -134,34 +170,35 @@ def account_after(text: str, end: int) -> tuple[int, int] | None:
         stop, digits = grouped_from(text, at)
         if 6 <= len(digits) <= 20:
             return at, stop
-    if at + 4 < len(text) and text[at: at + 2].isascii() and text[at: at + 2].isalpha() and text[at: at + 2].isupper() and text[at + 2: at + 4].isdigit():
-        stop, code = at, ""
-        while stop < len(text) and len(code) < 34 and text[stop].isascii() and (text[stop].isalnum() or text[stop] == " " and stop + 1 < len(text) and text[stop + 1].isalnum()):
-            code += text[stop].strip()
-            stop += 1
-        while len(code) >= 15:
-            if code.isupper() and iban_valid(code):
-                return at, stop
-            code = code[:-1]
-            stop -= 1
-            while stop > at and text[stop - 1] == " ":
-                stop -= 1
-    return None
+    return iban_at(text, at)
 
 
-def secret_after(text: str, end: int) -> tuple[int, int] | None:
-    """A token of 12 characters or more, letters and digits mixed, after a cue and `=` or `:`."""
+def value_start(text: str, end: int) -> int | None:
+    """Where the value begins that `=` or `:` gives to a cue that ends at `end`."""
     at = end
     while at < len(text) and at - end < 8 and text[at] in " \t'\"":
         at += 1
     if at >= len(text) or text[at] not in "=:":
         return None
-    at += 1
-    while at < len(text) and at - end < 16 and text[at] in " \t'\"":
+    end = at = at + 1
+    while at < len(text) and at - end < 8 and text[at] in " \t'\"":
         at += 1
-    stop = run_end(text, at, TOKEN)
-    word = text[at:stop]
-    return (at, stop) if len(word) >= 12 and any(c in DIGITS for c in word) and any(c in LETTERS for c in word) else None
+    return at
+
+
+def is_token(word: str, least: int) -> bool:
+    """Of `least` characters or more, letters and digits mixed."""
+    return len(word) >= least and any(c in DIGITS for c in word) and any(c in LETTERS for c in word)
+
+
+def block_from(text: str, low: str, at: int) -> tuple[int, int] | None:
+    """A private key block whose opening dashes are at `at`; one without an end line ends with its head line."""
+    head = low.find("-----", at + len(BLOCK), at + len(BLOCK) + 40)
+    if head < 0 or "private key" not in low[at:head]:
+        return None
+    at_end = run_end(text, head + 5, BASE64)
+    close = low.find("-----", at_end + 9, at_end + 60) if low.startswith("-----end ", at_end) else -1
+    return at, close + 5 if close > 0 else at_end
 
 
 def url_around(text: str, at: int) -> tuple[int, int] | None:
@@ -181,7 +218,8 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email_end = dotted_end = grouped_end = phone_end = 0
     cues: list[tuple[int, str]] = []
-    for last, mark in automaton().iter(text):
+    low = lowered(text)
+    for last, (mark, size) in automaton().iter(low):
         if mark in DIGITS:
             if last >= dotted_end:
                 got, dotted_end = dotted_from(text, last)
@@ -190,6 +228,8 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 grouped_end, digits = grouped_from(text, last)
                 if 13 <= len(digits) <= 19 and luhn(digits):
                     out["card"].append((last, grouped_end))
+            if last > 2 and text[last - 1] in DIGITS and text[last - 2] in LETTERS and text[last - 3] in LETTERS and (last == 3 or text[last - 4] not in ALNUM):
+                cues.append((last - 3, "iban at"))
         elif mark == "@":
             if got := email_at(text, last, email_end):
                 out["email"].append(got)
@@ -200,39 +240,68 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 if hit[2]:
                     out["phone"].append(hit[:2])
         else:
-            cues.append((last, mark))
+            cues.append((last + 1 - size, mark))
     if cues:
-        base = sorted(s for k in BASE_KINDS for s in out[k])
-        for last, mark in cues:
-            kind = CUES.get(mark, "url")
-            got = url_around(text, last - 2) if kind == "url" else account_after(text, last + 1) if kind == "account" else secret_after(text, last + 1)
-            if not got or out[kind] and out[kind][-1][1] > got[0]:
-                continue
-            if kind == "url" or not any(a < got[1] and got[0] < b for a, b in base):
-                out[kind].append(got)
+        expand(text, low, sorted(cues), out)
     return out
 
 
+def expand(text: str, low: str, cues: list[tuple[int, str]], out: dict[str, list[tuple[int, int]]]) -> None:
+    """Add the spans of the added kinds around the cues, given in the order of their places."""
+    base = sorted(s for k in BASE_KINDS for s in out[k])
+    starts, reach = [a for a, _ in base], [0, *accumulate((b for _, b in base), max)]
+    walked = 0  # end of the last run of token characters: a cue inside it can't give a longer or another token
+    for at, mark in cues:
+        kind = "account" if mark == "iban at" else CUES.get(mark, "url" if mark == "://" else "secret")
+        got = None
+        if kind == "url":
+            got = url_around(text, at)
+        elif kind == "account":
+            got = iban_at(text, at) if mark == "iban at" else account_after(text, at + len(mark))
+        elif mark == BLOCK:
+            got = block_from(text, low, at)
+        else:
+            known = KEY_PREFIXES.get(mark)
+            first = at if known else at + len(mark) if mark == BEARER else value_start(text, at + len(mark))
+            if first is not None and first >= walked and not (known and (not text.startswith(mark, at) or at and text[at - 1] in ALNUM)):
+                walked = run_end(text, first, TOKEN)
+                if is_token(text[first:walked], known + len(mark) if known else 20 if mark == BEARER else 12):
+                    got = first, walked
+        if not got or out[kind] and out[kind][-1][1] > got[0]:
+            continue
+        if kind == "url" or reach[bisect_left(starts, got[1])] <= got[0]:  # else a base span reaches into it
+            out[kind].append(got)
+
+
 def joined(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in spans[k])
 
 
-PERSONAL = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+ADDED_KINDS = KINDS[len(BASE_KINDS):]
+PERSONAL = pa.schema([
+    ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string()),
+    *((f"n_{k}", pa.int64()) for k in ADDED_KINDS), ("has_personal_data", pa.bool_()),
+])
+PERSONAL_SQL = (
+    "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string, "
+    + ", ".join(f"n_{k} long" for k in ADDED_KINDS) + ", has_personal_data boolean"
+)
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, digest of the base spans, all spans as kind:start:end."""
+    """doc_id, counts of the base kinds, digest of the base spans, all spans as kind:start:end, counts of the added kinds, whether there is any span."""
     prepare(documents.sparkSession)
 
     def run(it):
         for part, texts in batches(it, 1):
             got = [find(t) for t in texts]
             yield record_batch({
-                "doc_id": part.column(0), **{f"n_{k}": [len(x[k]) for x in got] for k in BASE_KINDS},
+                "doc_id": part.column(0), **{f"n_{k}": [len(x[k]) for x in got] for k in KINDS},
                 "base_sha256": [hashlib.sha256(joined(x, BASE_KINDS).encode()).hexdigest() for x in got], "spans": [joined(x, KINDS) for x in got],
+                "has_personal_data": [any(x.values()) for x in got],
             }, PERSONAL)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return documents.select("doc_id", "text").mapInArrow(run, PERSONAL_SQL)
 
 
 def masked(text: str) -> str:

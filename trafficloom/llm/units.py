@@ -28,7 +28,7 @@ class UnitMemo:
     vocabulary; results don't depend on it.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], limit: int = 500_000):
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.resolve, self.limit = resolve, limit
         self.head: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}  # keys stand for themselves after a line break, else for a blank and the key
