@@ -3,12 +3,20 @@
 quality classifier (rejected documents go), word n-gram Jaccard join (one document of each group
 stays), personal data (replaced in the texts), mixing to target weights (documents are drawn for whole
 or partial epochs), byte-level BPE (ids of each drawn text, and whether they spell it again).
+
+Defined cases: the first four stages keep the columns of their input, whatever their names and however
+many, and need only doc_id, text, lang and source. Null and empty texts: scored like any text, linked
+with nothing, without personal data, 0 words for mixing (so drawn with their leaf's whole epochs), no
+ids; lossless compares a null text as an empty one. Very long texts are taken whole by every stage.
+Repeated rows: equal scores; one of the rows with equal id and text stays in the join; where a document
+is drawn for several epochs its row is repeated. Ties: the smallest id of a group stays; equal places in
+the mixing order go by id. Rows with a null id are kept by the join, as they link with nothing. An empty
+table gives an empty table at every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trafficloom.llm import bpe, mixing, pii_anchors, quality_cnn, setjoin
 from trafficloom.llm.common import materialise, read_table
@@ -31,9 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")), text="decoded")
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), same.alias("lossless"), "ids")
+    return bpe.encode_checked(docs.select("doc_id", "lang", "source", "text")).drop("text")
 
 
 STAGES = [
