@@ -7,7 +7,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch
-from ..workers import prepare  # noqa: F401  (the operators take it from here)
+from ..workers import prepare as prepare_workers
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let workers import this package, and take texts in batches of 4 MB where the session has Spark's default of 64 MB.
+
+    A batch has one row at least, so a text of any length passes; a cell is never cut.
+    """
+    prepare_workers(spark)
+    if spark.conf.get(BATCH_BYTES).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_BYTES, 4 << 20)
 
 
 

@@ -8,10 +8,11 @@ Training: at most `per_label` documents of each label, chosen by a hash of the i
 chunks, as in scoring; they are trained on the driver with a fixed seed. Chunks are cut and pooled a few
 at a time.
 
-Defined cases: null and empty texts are one chunk of padding and get that chunk's score; a document
-with several labels counts with its smallest; without both labels in the training rows the score is
-0.5 for all; rows are scored one by one, so repeated rows give repeated results; other columns pass
-by untouched in `keep_good` and are ignored elsewhere.
+Defined cases: null and empty texts are one chunk of padding and get that chunk's score; texts of any
+length are scored by all their chunks, a few at a time; a document with several labels counts with its
+smallest; without both labels in the training rows (an empty table has none) the score is 0.5 for all and
+`keep_good` keeps all; rows are scored one by one, so repeated rows give repeated results; other columns,
+whatever their names, pass by untouched in `keep_good` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -153,4 +154,13 @@ def held_out_scores(documents: DataFrame, labels: DataFrame, threshold: float =
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of `documents` that the classifier doesn't reject, columns as they were."""
     net = learn(documents, labels.where(split_residue("doc_id", 5) != 0))
-    return _scored(documents, net, "_quality_score").where(F.col("_quality_score") >= threshold).drop("_quality_score")
+    prepare(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
+    at = documents.columns.index("text")
+
+    def run(it):
+        own = shared.value
+        for part, texts in batches(it, at, 2_000_000):
+            yield part.filter(pa.array(own.score(texts) >= threshold)) if own else part
+
+    return documents.mapInArrow(run, documents.schema)

@@ -132,7 +132,7 @@ def allocate(limit: int, size: int, sets: int, common: float = 0.05, check_cost:
 class Hashes:
     """Stable 64-bit hashes of words through a bounded memo."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
@@ -149,20 +149,17 @@ class Hashes:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-_hashes = Hashes()
-
-
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() changes A-Z only
 
 
 def gram_hashes(text: str, n: int) -> np.ndarray:
     """Sorted distinct hashes of the text's n-grams."""
-    return hashed_grams(words_of(text), n)
+    return hashed_grams(words_of(text), n, Hashes(0))
 
 
-def hashed_grams(words: list[bytes], n: int) -> np.ndarray:
-    h = _hashes.of(words)
+def hashed_grams(words: list[bytes], n: int, memo: Hashes) -> np.ndarray:
+    h = memo.of(words)
     if not len(h):
         return h
     width = min(n, len(h))
@@ -274,7 +271,7 @@ SETS = pa.schema([
     ("doc_id", pa.int64()), ("n_shingles", pa.int64()), *((c, pa.binary()) for c in ("digest", "words", "sketch")),
     ("even", pa.int16()), ("odd", pa.int16()), *((c, pa.list_(pa.int64())) for c in LISTS),
 ])
-WINDOW = 1_500_000  # keys (24 MB) among which a task finds its common ones
+WINDOW = 700_000  # keys (11 MB) among which a task finds its common ones
 
 
 def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
@@ -323,11 +320,11 @@ def indexed(documents: DataFrame, like: Likeness) -> DataFrame:
     lengths = {int(r.k): r.n for r in sizes.collect()}
 
     def run(it):
-        index, seen, window = Index(like, lengths), set(), _Window()
+        index, memo, seen, window = Index(like, lengths), Hashes(), set(), _Window()
         for part, texts in batches(it, 1, 4_000_000):
             for doc_id, text in zip(part.column(0).to_pylist(), texts):
                 words = words_of(text)
-                members = hashed_grams(words, like.words)
+                members = hashed_grams(words, like.words, memo)
                 digest = xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None
                 keys, (even, odd) = None, index.extra(len(members))
                 if digest and doc_id is not None and digest not in seen:
