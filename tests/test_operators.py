@@ -166,3 +166,47 @@ def test_snapshot_and_quarantine(spark, tmp_path):
     (tmp_path / "e.json").write_text('{"req_id": "a", "seq": 1, "event_type": "END"}\nnot json\n')
     good, bad = J.quarantine(J.read_events(spark, f"file://{tmp_path}/e.json", "json").cache())
     assert good.count() == 1 and bad.count() == 1
+
+
+def test_reused_ids_keep_their_own_route_and_health(spark):
+    requests = spark.createDataFrame([("r1", "/a/x"), ("r1", "/b/y"), ("r1", None), ("r2", "/c")], "req_id string, path string")
+    rules = spark.createDataFrame([(0, "A", "/a"), (1, "B", "/b"), (2, "AX", "/a/x")], "ordinal int, route_id string, prefix string")
+    got = joins.match_prefixes(requests, rules)
+    assert got.columns == ["req_id", "path", "route_id"]
+    assert {(r.path, r.route_id) for r in got.collect()} == {("/a/x", "A"), ("/b/y", "B"), (None, None), ("/c", None)}
+    assert joins.match_prefixes(requests, rules.where("ordinal < 0")).where("route_id is null").count() == 4
+    times = spark.sql("select 'r1' as req_id, 'web' as route_id, timestamp'2024-01-01 00:00:01' as ts union all select 'r1', 'web', timestamp'2024-01-01 00:00:01' union all select 'r1', 'web', timestamp'2024-01-01 02:00:00' union all select 'r1', null, null")
+    up = spark.sql("select 'web' as route_id, 't' as target, 'UP' as state, timestamp'2024-01-01 00:00:00' as from_ts, timestamp'2024-01-01 01:00:00' as to_ts")
+    assert sorted((str(r.ts), r.healthy) for r in joins.availability_join(times, up).collect()) == [("2024-01-01 00:00:01", 1)] * 2 + [("2024-01-01 02:00:00", 0), ("None", 0)]
+
+
+def test_template_redirect_takes_java_patterns(spark):
+    def moved(path, source, target):
+        return spark.createDataFrame([(path,)], "p string").select(R.template_redirect("p", source, target)["location"].alias("x")).first().x
+
+    assert moved("/old/item/7", r"/old/(?<kind>\p{Alpha}+)/(\d+)", "/new/{{2}}/{{kind}}") == "/new/7/item"
+    assert moved("/x/aa/b", r"(\w)\1", "<{{1}}>") == "/x/<a>/b"  # a back reference
+    assert moved("/a\n/b", "/.", "!") == "!\n/b" and moved("\na.b", ".b", "_") == "\na_"  # a dot takes no line break
+    assert moved("\nb", ".b", "_") is None and moved("/a(b", r"\Q(b\E", "{{0}}") == "/a(b"
+    assert moved("/n/a", r"[(]|/(?:n)/(?=a)", "/m/") == "/m/a"
+
+
+def test_snapshots_are_numbered(spark, tmp_path):
+    path = f"file://{tmp_path}/snapshot"
+    with pytest.raises(ValueError):
+        J.read_snapshot(spark, path)
+    for n in range(12):  # within one second of a coarse clock
+        J.write_snapshot(spark.range(n), path)
+        assert J.read_snapshot(spark, path).count() == n
+
+
+def test_no_scratch_folder_of_its_own_on_a_cluster():
+    from types import SimpleNamespace as Made
+
+    from trafficloom.sources.scratch import scratch
+
+    unset = Made(get=lambda *a: None)
+    jsc = Made(sc=lambda: Made(getCheckpointDir=lambda: Made(isDefined=lambda: False)))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            scratch(Made(conf=unset, sparkContext=Made(master=master, getConf=lambda: unset, _jsc=jsc)), "x")

@@ -25,13 +25,17 @@ def rewrite_path(path, regexp: str, replacement: str) -> Column:
 
 
 def template_redirect(path, source: str, target: str, status: int = 302) -> Column:
-    """struct(location, status): the first match replaced by a {{1}} template; NULL without a match."""
+    """struct(location, status): the first match replaced by a {{1}} or {{name}} template; NULL without a match.
+
+    `source` is a pattern in Java's syntax. Numbered groups 1 to 9 can be referred to, named ones by name.
+    """
     c = col(path)
-    template = re.sub(r"\{\{(\w+)\}\}", lambda m: f"${m[1]}" if m[1].isdigit() else f"${{{m[1]}}}", target)
-    # Only the first match is replaced: lazily take what is before it, keep what is after it.
-    n = re.compile(source).groups
-    shifted = re.sub(r"\$(\d+)", lambda m: f"${int(m[1]) + 1}", template)
-    location = F.regexp_replace(c, rf"(?s)\A(.*?)(?:{source})(.*)\z", f"$1{shifted}${n + 2}")
+    # Only the first match is replaced: the pattern is tied to the start; what it skips is group 1 and the
+    # match is group 2, so the numbers of the pattern's own groups move up by two.
+    moved = re.sub(r"\\(?:Q.*?(?:\\E|$)|([1-9])|.)", lambda m: f"\\{int(m[1]) + 2}" if m[1] else m[0], source, flags=re.S)
+    template = re.sub(r"\$(\d+)", lambda m: f"${int(m[1]) + 2}", target)
+    template = re.sub(r"\{\{(\w+)\}\}", lambda m: f"${int(m[1]) + 2}" if m[1].isdigit() else f"${{{m[1]}}}", template)
+    location = F.regexp_replace(c, rf"\A((?s:.*?))({moved})", f"$1{template}")
     return F.when(F.coalesce(c.rlike(source), F.lit(False)), F.struct(location.alias("location"), F.lit(status).alias("status")))
 
 

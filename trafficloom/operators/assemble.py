@@ -33,6 +33,8 @@ def _grouped(events: DataFrame, bodies: bool = True) -> DataFrame:
     aggs = [last(k, *(request if k.endswith("REQUEST") else response)).alias(k.lower()) for k in SLICES]
     aggs += [F.max_by(F.when(_is("CLIENT_REQUEST"), F.struct("client_ip", "client_ip_source")), F.when(_is("CLIENT_REQUEST"), F.col("seq"))).alias("_address")]
     aggs += [last("END", "status", *END_COLUMNS).alias("_end")]
+    # whether there is a client request, so that a caller who doesn't read it doesn't carry it either
+    aggs += [F.max(_is("CLIENT_REQUEST")).alias("_has_client")]
     # a fragment counts only after the first metadata event of its generation
     aggs += [F.min(F.when(F.col("event_type").isin(*SLICES), F.col("seq"))).alias("_start"), F.min(F.when(F.col("event_type").endswith("_BODY"), F.col("seq"))).alias("_first_body"), F.count("*").alias("n_events")]
     if bodies:
@@ -48,7 +50,7 @@ def reassemble(events: DataFrame, bodies: bool = True) -> DataFrame:
     and attributes. With bodies=False body bytes are dropped before the shuffle.
     """
     g = _grouped(events if bodies else events.drop("body"), bodies)
-    g = g.where(F.col("_end").isNotNull() & F.col("client_request").isNotNull() & (F.col("_end.status") > 0))
+    g = g.where(F.col("_end").isNotNull() & F.col("_has_client") & (F.col("_end.status") > 0))
     slices = []
     for kind in SLICES:
         c = F.col(kind.lower())
@@ -65,7 +67,7 @@ def anomalies(events: DataFrame) -> DataFrame:
     end, start = F.col("_end").isNotNull(), F.col("_start").isNotNull()
     kinds = F.array(
         F.when(end & ~start, "ORPHAN_END"), F.when(F.col("_first_body") < F.coalesce("_start", F.lit(2**62)), "BODY_WITHOUT_START"),
-        F.when(end & start & F.col("client_request").isNull(), "NO_CLIENT_REQUEST"), F.when(end & F.col("client_request").isNotNull() & ~F.coalesce(F.col("_end.status") > 0, F.lit(False)), "NO_STATUS"), F.when(~end, "IN_FLIGHT"),
+        F.when(end & start & ~F.col("_has_client"), "NO_CLIENT_REQUEST"), F.when(end & F.col("_has_client") & ~F.coalesce(F.col("_end.status") > 0, F.lit(False)), "NO_STATUS"), F.when(~end, "IN_FLIGHT"),
     )
     return g.select("req_id", "generation", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("anomaly"))
 
@@ -107,6 +109,11 @@ def crc32c(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
+def joined(parts: str) -> Column:
+    """The binary values of an array, one after the other, in time that follows their length."""
+    return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+
+
 def body_integrity(exchanges: DataFrame, algo: str = "crc32") -> DataFrame:
     """Per exchange and direction: bytes journaled against bytes declared, checksum against checksum.
 
@@ -115,7 +122,7 @@ def body_integrity(exchanges: DataFrame, algo: str = "crc32") -> DataFrame:
     prepare(exchanges.sparkSession)
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_body").alias("parts"), F.col(f"{s}_body_bytes").alias("declared"), F.col(f"{s}_crc").alias("crc")) for s in ("request", "response")])).alias("s")
     each = exchanges.select("req_id", sides).select("req_id", "s.*")
-    each = each.withColumn("whole", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x))")).withColumn("captured", F.length("whole").cast("bigint"))
+    each = each.withColumn("whole", joined("parts")).withColumn("captured", F.length("whole").cast("bigint"))
     checksum = F.crc32("whole") if algo == "crc32" else crc32c("whole")
     each = each.withColumn("checksum", checksum)
     verdict = F.when(F.size("parts") == 0, F.when(F.col("declared") == 0, "OK").otherwise("NOT_CAPTURED")).when(F.col("captured") != F.col("declared"), "LENGTH").when(F.col("checksum") != F.col("crc"), "CHECKSUM").otherwise("OK")

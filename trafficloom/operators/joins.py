@@ -40,14 +40,18 @@ def assign_route(requests: DataFrame, routes: Sequence[tuple[str, object]] | Dat
 def match_prefixes(requests: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """For rule tables too long for a CASE: first of (ordinal, route_id, prefix) whose prefix starts the path.
 
-    Every request is joined by equality on its own prefixes of the lengths that occur, then the least
-    ordinal wins.
+    Every distinct path is joined by equality on its own prefixes of the lengths that occur, the least
+    ordinal wins, and requests find their path's route; so requests need no id of their own.
     """
-    lengths = [r.n for r in rules.select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()]
-    own = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
-    each = requests.withColumn("_row", F.monotonically_increasing_id()) if "req_id" not in requests.columns else requests.withColumn("_row", F.col("req_id"))
-    hits = each.select("_row", F.explode(own).alias("prefix")).where("prefix is not null").join(small(rules), "prefix").groupBy("_row").agg(F.min_by("route_id", "ordinal").alias("route_id"))
-    return each.join(hits, "_row", "left").drop("_row")
+    names = [c for c in requests.columns if c != "route_id"]
+    lengths = [r.n for r in rules.select(F.length("prefix").alias("n")).where("n is not null").distinct().orderBy("n").collect()]
+    if not lengths:
+        return requests.select(*names, F.lit(None).cast("string").alias("route_id"))
+    own = F.array(*[F.when(F.length("_path") >= n, F.substring("_path", 1, n)) for n in lengths])
+    paths = requests.select(F.col(path).alias("_path")).where("_path is not null").distinct()
+    hits = paths.select("_path", F.explode(own).alias("prefix")).where("prefix is not null").join(small(rules.select("prefix", "ordinal", "route_id")), "prefix")
+    hits = hits.groupBy("_path").agg(F.min_by("route_id", "ordinal").alias("_route"))
+    return requests.select(*names).join(hits, F.col(path) == F.col("_path"), "left").select(*names, F.col("_route").alias("route_id"))
 
 
 def _masked4(number: Column, bits: Column) -> Column:
@@ -116,16 +120,16 @@ def availability_join(requests: DataFrame, intervals: DataFrame, at: str = "ts",
     """requests with healthy: how many targets of the route are up at that time, and outcome.
 
     `intervals`: route, target, state, from_ts, to_ts (NULL: open). Intervals are cut at hours, so the
-    join is by equality on (route, hour). outcome: PROXY, FALLBACK (fallback_route_id is set) or 503.
+    join is by equality on (route, hour); it is made once for each distinct route and time. outcome: PROXY, FALLBACK (fallback_route_id is set) or 503.
     """
     ends = requests.agg(F.max(at).alias("_last"))
     up = intervals.where("state = 'UP'").crossJoin(F.broadcast(ends)).where(F.col("from_ts") <= F.col("_last"))
     hour = lambda c: F.floor(F.unix_timestamp(c) / 3600)
     cut = up.select(F.col(route).alias("_route"), "from_ts", "to_ts", F.explode(F.sequence(hour("from_ts"), hour(F.least(F.coalesce("to_ts", "_last"), "_last")))).alias("_hour"))
-    keyed = requests.withColumn("_row", F.monotonically_increasing_id() if "req_id" not in requests.columns else F.col("req_id")).withColumn("_hour", hour(at))
-    hit = (F.col("_route") == F.col(route)) & (cut["_hour"] == keyed["_hour"]) & (F.col(at) >= F.col("from_ts")) & (F.col("to_ts").isNull() | (F.col(at) < F.col("to_ts")))
-    counts = keyed.select("_row", route, at, "_hour").join(cut, hit).groupBy("_row").agg(F.count("*").alias("healthy"))
-    out = keyed.drop("_hour").join(counts, "_row", "left").withColumn("healthy", F.coalesce("healthy", F.lit(0))).drop("_row")
+    moments = requests.select(F.col(route).alias("_r"), F.col(at).alias("_at")).where("_r is not null and _at is not null").distinct().withColumn("_h", hour("_at"))
+    hit = (F.col("_route") == F.col("_r")) & (F.col("_hour") == F.col("_h")) & (F.col("_at") >= F.col("from_ts")) & (F.col("to_ts").isNull() | (F.col("_at") < F.col("to_ts")))
+    counts = moments.join(cut, hit).groupBy("_r", "_at").agg(F.count("*").alias("_n"))
+    out = requests.join(counts, (F.col(route) == F.col("_r")) & (F.col(at) == F.col("_at")), "left").withColumn("healthy", F.coalesce("_n", F.lit(0))).drop("_r", "_at", "_n")
     fallback = F.col("fallback_route_id").isNotNull() if "fallback_route_id" in requests.columns else F.lit(False)
     return out.withColumn("outcome", F.when(F.col("healthy") > 0, "PROXY").when(fallback, "FALLBACK").otherwise("503"))
 

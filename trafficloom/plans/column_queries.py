@@ -168,6 +168,8 @@ over_pages("i01_strip_path_prefix", lambda g: {"one": R.strip_path_prefix("path"
 over_pages("i02_rewrite_path", lambda g: {"path2": R.rewrite_path("path", "/([a-z]+)([0-9]*)", "/$2_$1")}, "regexp_replace(path, '/([a-z]+)([0-9]*)', '/\\2_\\1', 'g') AS path2")
 over_pages("i03_template_redirect", lambda g: {"location": R.template_redirect("path", "/([a-z]+)", "/new/{{1}}", 301)["location"], "status": R.template_redirect("path", "/([a-z]+)", "/new/{{1}}", 301)["status"]},
            "CASE WHEN regexp_matches(path, '/([a-z]+)') THEN regexp_replace(path, '/([a-z]+)', '/new/\\1') END AS location, CASE WHEN regexp_matches(path, '/([a-z]+)') THEN 301 END AS status")
+over_pages("i03_template_named", lambda g: {"location": R.template_redirect("path", r"/(?<section>\p{Lower}+)(/?)", "/new/{{section}}{{2}}", 301)["location"]},
+           "CASE WHEN regexp_matches(path, '/([a-z]+)(/?)') THEN regexp_replace(path, '/([a-z]+)(/?)', '/new/\\1\\2') END AS location")
 RESPONSE_SQL = "list_concat([{'name': 'Content-Type', 'value': 'text/plain'}], CASE WHEN k % 2 = 0 THEN [{'name': 'Server', 'value': 'edge'}] ELSE [] END)"
 
 

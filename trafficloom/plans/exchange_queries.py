@@ -209,6 +209,16 @@ def e01_assign_route_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.match_prefixes(t.select("event_id", "req_id", "path"), rules).select("event_id", F.col("route_id").alias("route"))
 
 
+@query(with_(TRAFFIC_SQL, ", pr AS (SELECT DISTINCT user_id % 50 AS ordinal, 'r' || (user_id % 50) AS name, '/' || route_id || '/' || (user_id % 50) AS prefix FROM t) "
+                          "SELECT t.event_id, 'req-' || (event_id % 100) AS req_id, arg_min(name, ordinal) AS route FROM t LEFT JOIN pr ON starts_with(path, prefix) GROUP BY ALL"))
+def e01_assign_route_reused_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As e01_assign_route_table, but requests share their ids."""
+    t = traffic(spark, sf_dir)
+    rules = t.select((F.col("user_id") % 50).alias("ordinal"), F.expr("concat('r', user_id % 50)").alias("route_id"), F.expr("concat('/', route_id, '/', user_id % 50)").alias("prefix")).distinct()
+    requests = t.select("event_id", F.expr("concat('req-', event_id % 100)").alias("req_id"), "path")
+    return joins.match_prefixes(requests, rules).select("event_id", "req_id", F.col("route_id").alias("route"))
+
+
 NETS = [("all10", "10.0.0.0/8"), ("one", "10.1.0.0/16"), ("low", "10.1.0.0/25"), ("host", "10.2.0.6/32"), ("six", "fd00::/8")]
 
 
@@ -274,6 +284,15 @@ def e06_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.availability_join(e, _route_intervals(spark, sf_dir)).select("event_id", "healthy", "outcome")
 
 
+@query(with_(MAPPED_SQL, """, q AS (SELECT event_id, event_type AS route_id, epoch_us(ts) AS us, CASE WHEN event_type IN ('click', 'error') THEN 'spare' END AS fb FROM events),
+  n AS (SELECT event_id, any_value(fb) AS fb, count(ri.target) AS healthy FROM q LEFT JOIN ri ON ri.route_id = q.route_id AND state = 'UP' AND us >= from_us AND (to_us IS NULL OR us < to_us) GROUP BY event_id)
+  SELECT 'req-' || (event_id % 100) AS req_id, event_id, healthy, CASE WHEN healthy > 0 THEN 'PROXY' WHEN fb IS NOT NULL THEN 'FALLBACK' ELSE '503' END AS outcome FROM n"""))
+def e06_availability_reused_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As e06_availability, but requests share their ids."""
+    e = read(spark, sf_dir, "events").select("event_id", F.expr("concat('req-', event_id % 100)").alias("req_id"), F.col("event_type").alias("route_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type").isin("click", "error"), "spare").alias("fallback_route_id"))
+    return joins.availability_join(e, _route_intervals(spark, sf_dir)).select("req_id", "event_id", "healthy", "outcome")
+
+
 ROUTE_TABLE_SQL = "rt AS (SELECT DISTINCT event_type AS route_id, CASE event_type WHEN 'click' THEN 'view' WHEN 'error' THEN 'error' WHEN 'view' THEN 'ghost' END AS fallback_route_id, ['http://' || event_type] AS targets FROM events)"
 
 

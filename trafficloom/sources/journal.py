@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exchange as X
 from ..functions import headers as H
+from ..operators.assemble import joined
 from ..schema import EVENT_SCHEMA
 
 
@@ -82,7 +84,7 @@ def to_flat_rows(exchanges: DataFrame) -> DataFrame:
         columns += [_headers(f"{side}_response").alias(f"{side}_response_headers"), _sparse(H.header_first(F.col(f"{side}_response.headers"), "Content-Type")).alias(f"{side}_content_type")]
     columns += [F.col("status"), X.is_error().cast("int").alias("is_error"), *map(_number, ("request_header_bytes", "request_body_bytes", "response_header_bytes", "response_body_bytes"))]
     columns += [F.nullif(F.col(f"{s}_crc"), F.lit(0).cast("bigint")).alias(f"{s}_crc32") for s in ("request", "response")]
-    body = lambda c: F.when(F.size(c) > 0, F.base64(F.expr(f"aggregate({c}, cast('' as binary), (a, x) -> concat(a, x))"))).alias(c)
+    body = lambda c: F.when(F.size(c) > 0, F.base64(joined(c))).alias(c)
     columns += [body("request_body"), body("response_body"), F.when(F.size(F.coalesce(F.col("attributes"), H.none())) > 0, H.pairs_to_map("attributes")).alias("attributes")]
     return e.select(*columns)
 
@@ -111,7 +113,7 @@ def _node(side: str) -> Column:
 def to_audit_rows(exchanges: DataFrame) -> DataFrame:
     """One nested row per exchange, with ISO times, six-decimal seconds, Base64 bodies and explicit nulls."""
     proxied = X.was_proxied()
-    body = lambda c: F.when(F.size(c) > 0, F.base64(F.expr(f"aggregate({c}, cast('' as binary), (a, x) -> concat(a, x))"))).alias(c)
+    body = lambda c: F.when(F.size(c) > 0, F.base64(joined(c))).alias(c)
     return exchanges.select(
         F.col("req_id").alias("gateway_request_id"), F.col("client_ip").alias("remote_address"), F.col("client_ip_source").alias("remote_address_source"),
         _iso("client_start_ns").alias("start"), _seconds(X.duration_s()).alias("duration"), _iso("client_end_ns").alias("end"), proxied.alias("was_proxied"),
@@ -125,17 +127,36 @@ def write_audit(exchanges: DataFrame, path: str) -> None:
     to_audit_rows(exchanges).write.option("ignoreNullFields", "false").json(path)
 
 
+POINTER = "number long, version string"
+
+
+def _newest(spark: SparkSession, path: str):
+    """The pointer's row of the greatest number, None before the first version."""
+    try:
+        rows = spark.read.schema(POINTER).parquet(f"{path}/pointer")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.orderBy(F.desc_nulls_last("number"), F.desc("version")).first()
+
+
 def write_snapshot(df: DataFrame, path: str) -> str:
-    """Write a new version, then point to it; readers see the old version or the new, never a part."""
-    version = uuid.uuid4().hex
+    """Write a new version, then point to it; readers see the old version or the new, never a part.
+
+    Versions are numbered one after the other (by one writer at a time), so no clock decides which is newest.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{path}/versions/{version}")
-    spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+    last = _newest(spark, path)
+    number = 1 + (last.number or 0) if last else 1
+    spark.createDataFrame([(number, version)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
     return version
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The version that the newest pointer names."""
-    newest = spark.read.schema("version string").parquet(f"{path}/pointer").select("version", "_metadata.file_modification_time", "_metadata.file_name")
-    version = newest.orderBy(F.desc("file_modification_time"), F.desc("file_name")).first().version
-    return spark.read.parquet(f"{path}/versions/{version}")
+    """The version that the pointer's greatest number names."""
+    newest = _newest(spark, path)
+    if newest is None:
+        raise ValueError(f"no snapshot under {path}")
+    return spark.read.parquet(f"{path}/versions/{newest.version}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -10,12 +11,18 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, a temporary folder is made and set."""
+    """A new path under spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) gets a temporary folder of its own; on a cluster, whose
+    machines share no such folder, it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
+        elif not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             base = Path(tempfile.mkdtemp(prefix="trafficloom-")).as_uri()
             spark.sparkContext.setCheckpointDir(base)
