@@ -302,10 +302,63 @@ def test_divergence_rules(docs, rows):
     assert [divergence_rules.measure(t)[:5] for t in texts] == [brute_measure(t) for t in texts]
     got = divergence_rules.judge(docs)
     assert got.count() == len(rows) and got.where("kept and base_failed").count() == 0
+    assert got.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     p = np.array([[1.0, 0.0], [1.0, 1.0]])
     assert np.allclose(divergence_rules.jensen_shannon(p, np.array([0.0, 1.0])), [1.0, 0.5579230452841438])
 
 
+def plain_distance(p, q):
+    """Jensen-Shannon distance of two Counters."""
+    a, b = sum(p.values()) or 1, sum(q.values()) or 1
+    total = 0.0
+    for x in p.keys() | q.keys():
+        m = (p[x] / a + q[x] / b) / 2
+        total += sum(y * math.log2(y / m) / 2 for y in (p[x] / a, q[x] / b) if y > 0)
+    return math.sqrt(max(0.0, total))
+
+
+def test_divergence_by_brute_force(spark):
+    """Distances and verdicts against plain counting: learnt words, sums without the document, no tiny references."""
+    g = random.Random(14)
+    vocabulary = {"en": [f"e{k}" for k in range(60)], "xx": [f"x{k}É" for k in range(60)]}
+    rows = []
+    for i in range(70):
+        lang = g.choice(["en", "xx"])
+        rows.append((i, " ".join(g.choices(vocabulary[lang], [1 / (k + 1) for k in range(60)], k=g.randrange(1, 260))), lang))
+    junk = " ".join("zq#%" for _ in range(30)) + " " + " ".join(f"q{k}" for k in range(200))
+    rows += [(100, junk, "zz"), (101, junk, None), (102, junk, "en"), (103, None, "en"), (104, rows[3][1], None), (3, rows[3][1], rows[3][2])]
+    got = {r.doc_id: r for r in divergence_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    kind = lambda c: next((k for k, x in enumerate((r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0d]", r"[.,;:!?'\"()-]", None, r"[#*$%&|<>@^_=~{}\[\]\\/+`]")) if x and re.match(x, c)), 7 if ord(c) > 127 else 5)
+    classes = [collections.Counter(map(kind, t or "")) for _, t, _ in rows]
+    words = [collections.Counter((t or "").translate(LOWER).split()) for _, t, _ in rows]
+    top = set()
+    for lang in ("en", "xx"):
+        counts = sum((w for w, r in zip(words, rows) if r[2] == lang), collections.Counter())
+        top |= {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[: divergence_rules.TOP]}
+    common = [collections.Counter({w if w in top else None: 0 for w in top}) for _ in rows]
+    for c, w in zip(common, words):
+        for x, n in w.items():
+            c[x if x in top else None] += n
+    for i, (doc_id, t, lang) in enumerate(rows):
+        best = None
+        for ref in ("en", "xx") if lang not in ("en", "xx") else (lang,):
+            sums = [collections.Counter(), collections.Counter()]
+            for j, r in enumerate(rows):
+                if r[2] == ref and j != i:
+                    sums[0].update(classes[j])
+                    sums[1].update(common[j])
+            d = (plain_distance(classes[i], sums[0]), plain_distance(common[i], sums[1]))
+            best = d if best is None or sum(d) < sum(best) else best
+        c, w = best if len(t or "") >= 300 else (0.0, best[1])
+        w = w if sum(words[i].values()) >= 120 else 0.0
+        r = got[doc_id]
+        assert abs(r.class_distance - c) < 1e-9 and abs(r.word_distance - w) < 1e-9, doc_id
+        assert r.kept == (not r.base_failed and c <= 0.32 and w <= 0.36)
+    assert not any(got[i].kept for i in (100, 101, 102)) and sum(r.kept for r in got.values()) > 40
+    with pytest.raises(ValueError):
+        divergence_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=1)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
