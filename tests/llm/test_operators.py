@@ -267,12 +267,81 @@ def test_language_spans(spark, sf_dir):
     x = langid.held_out_predictions(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     assert x.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
     assert langid.learn(docs.limit(0)) is None
+    with pytest.raises(ValueError):
+        langid.learn(docs, max_languages=1)
+
+
+def plain_viterbi(scores, penalty):
+    """The greatest total of a path, by trying every language at every word."""
+    best = list(scores[0])
+    for row in scores[1:]:
+        best = [max(best[j] - (penalty if j != k else 0) for j in range(len(row))) + row[k] for k in range(len(row))]
+    return max(best)
+
+
+def test_paths_by_brute_force():
+    g = np.random.default_rng(15)
+    model = langid.LanguageModel(["a", "b", "c"], np.ones((3, langid.BUCKETS)), np.ones((3, len(langid.SCRIPTS))), penalty=4.0)
+    docs = [np.repeat(-5 * g.random((1 + n // 9, 3)), 9, axis=0)[:n] - g.random((n, 3)) for n in g.integers(1, 70, 400)]
+    docs += [np.zeros((5, 3)), -np.eye(3)[[0, 0, 1, 1]]]  # ties
+    mixed = 0
+    for s, path in zip(docs, model.paths(docs)):
+        value = s[np.arange(len(s)), path].sum() - model.penalty * (path[1:] != path[:-1]).sum()
+        assert len(path) == len(s) and abs(value - plain_viterbi(s.tolist(), model.penalty)) < 1e-9
+        mixed += len(set(path.tolist())) > 1
+    assert mixed > 50
+
+
+def test_language_and_quality_of_edge_rows(spark, docs, rows, empty):
+    """Nulls, empties, repeated and very long texts, clashing names: one row each, the same twice."""
+    model = langid.learn(docs)
+    for df in (langid.held_out_predictions(docs), langid.detect(docs, model), quality_cnn.held_out_scores(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")))):
+        got = collections.Counter(tuple(map(str, r)) for r in df.collect())
+        assert sum(got.values()) == len(rows) and got[next(k for k in got if k[0] == "3")] == 2
+    none = langid.detect(docs.where("text is null or text = ''"), model).collect()
+    assert {(r.lang_pred, r.score, len(r.spans)) for r in none} == {("und", 0.0, 0)}
+    assert quality_cnn.held_out_scores(empty, empty.select("doc_id", F.lit(1).alias("quality"))).count() == 0
+    clash = docs.withColumn("_quality_score", F.lit("mine"))
+    kept = quality_cnn.keep_good(clash, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")), threshold=0.0)
+    assert kept.columns == clash.columns and kept.where("_quality_score = 'mine'").count() == len(rows)
+
+
+def naive_score(net, text):
+    """The forward pass with plain loops over chunks, places and filters."""
+    p, data, chunks = net.p, text.encode(), []
+    at = 0
+    while True:
+        chunks.append(data[at: at + quality_cnn.CHUNK].ljust(quality_cnn.CHUNK, b"\0"))
+        if at + quality_cnn.CHUNK >= len(data):
+            break
+        at += quality_cnn.HOP
+    hidden = []
+    for chunk in chunks:
+        maxima = np.full(quality_cnn.FILTERS, -np.inf)
+        for place in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STRIDE):
+            window = np.concatenate([p["emb"][b] for b in chunk[place: place + quality_cnn.WIDTH]]).astype(float)
+            for k in range(quality_cnn.FILTERS):
+                maxima[k] = max(maxima[k], float(window @ p["conv"][:, k].astype(float)) + p["cb"][k])
+        hidden.append(np.maximum(np.maximum(maxima, 0) @ p["w1"] + p["b1"], 0))
+    both = np.concatenate([np.mean(hidden, axis=0), np.max(hidden, axis=0)])
+    return 1 / (1 + math.exp(-(float(both @ p["w2"]) + float(p["b2"][0]))))
+
+
+def test_scores_equal_a_naive_forward_pass():
+    net, g = quality_cnn.ByteConvNet(3), random.Random(16)
+    texts = ["", "short", "é" * 256, "x" * 512, "y" * 513, "".join(g.choice("abc déß\n") for _ in range(1500))]
+    assert np.allclose(net.score(texts), [naive_score(net, t) for t in texts], atol=2e-5)
 
 
 def test_quality(spark, sf_dir, empty):
     docs, labels = queries.read_table(spark, sf_dir, "documents"), queries.read_table(spark, sf_dir, "labels")
-    x = queries.op3_byte_convolution(spark, sf_dir).join(labels, "doc_id").where("held_out")
-    assert x.select(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.7
+    ten = sf_dir.replace("sf0.001", "sf0.01")  # enough held-out rows of both labels
+    x = queries.op3_byte_convolution(spark, ten).join(queries.read_table(spark, ten, "labels"), "doc_id").where("held_out")
+    got = [(r.score, r.predicted, r.quality) for r in x.collect()]
+    good, bad = [s for s, _, q in got if q == 1], [s for s, _, q in got if q == 0]
+    auc = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))  # a constant answer has 0.5
+    balanced = (sum(p == 1 for _, p, q in got if q == 1) / len(good) + sum(p == 0 for _, p, q in got if q == 0) / len(bad)) / 2
+    assert auc > 0.8 and balanced > 0.65
     data = b"ab" * 3000
     rows = quality_cnn.chunks_of(data)
     assert rows.shape[1] == quality_cnn.CHUNK and sum(map(len, [data])) <= (len(rows) - 1) * quality_cnn.HOP + quality_cnn.CHUNK

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import hash_sample, join_ids, materialise, prepare
 
 FEW = 8  # members of a group whose pairs (at most 28) are made at once
+BROADCAST_GROUPS = 100_000  # groups (a few MB) whose rows may be broadcast
 SAMPLE = 9  # members whose majority is a group's reference
 
 ROWS_SQL = "grp long, node long, part long, lack long, tokens array<long>"
@@ -71,6 +72,11 @@ def _differences(members: DataFrame, documents: DataFrame, grams: Callable[[str]
     return materialise(both.mapInArrow(run, ROWS_SQL), "differences")
 
 
+def _beside(groups: DataFrame) -> DataFrame:
+    """A table of one row a group, to be joined with members: broadcast if a count shows it to be short, so no hot group is shuffled."""
+    return F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups
+
+
 def pairs_of_few(members: DataFrame, group: str) -> DataFrame:
     """All pairs (a, b) of different parts in groups of at most FEW members."""
     b = members.select(group, F.col("node").alias("b"), F.col("part").alias("y"))
@@ -86,14 +92,14 @@ def candidates(members: DataFrame, documents: DataFrame, grams: Callable[[str],
     prepare(documents.sparkSession)
     p, m = den + num, den - num
     sizes = members.groupBy("grp").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("grp", "size")
-    sized = materialise(members.join(sizes, "grp"), "open-groups")
+    sized = materialise(members.join(_beside(materialise(sizes, "open-sizes")), "grp"), "open-groups")
     few = pairs_of_few(sized.where(F.col("size") <= FEW), "grp")
     rows = _differences(sized.where(F.col("size") > FEW).select("grp", "node", "part"), documents, grams, p, m)
 
-    hubs = rows.groupBy("grp").agg(F.min(F.struct("lack", "node", "part")).alias("hub"))
+    hubs = _beside(materialise(rows.groupBy("grp").agg(F.min(F.struct("lack", "node", "part")).alias("hub")), "first-hubs"))
     least_out = F.min(F.when(F.col("lack") + F.col("hub.lack") > 0, F.col("lack"))).alias("least_out")
     plain = rows.select("grp", "node", "part", "lack")
-    hubs = materialise(hubs.join(plain.join(hubs, "grp").groupBy("grp").agg(least_out), "grp"), "hubs")
+    hubs = _beside(materialise(plain.join(hubs, "grp").groupBy("grp").agg(F.min("hub").alias("hub"), least_out), "hubs"))
     placed = plain.join(hubs, "grp").withColumn("outer", F.col("lack") + F.col("hub.lack") > 0)
     core = placed.where("not outer and part <> hub.part").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
 

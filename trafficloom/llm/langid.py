@@ -159,10 +159,16 @@ class LanguageModel:
         return self.langs[best], score, spans
 
 
-def learn(training: DataFrame, per_language: int = 1000) -> LanguageModel | None:
-    """A model from rows with text and lang; None if there is no usable row."""
+def learn(training: DataFrame, per_language: int = 1000, max_languages: int = 200) -> LanguageModel | None:
+    """A model from rows with text and lang; None if there is no usable row.
+
+    The model has 65,536 numbers for each language, on the driver and in every worker, so more than
+    `max_languages` different values of lang are an error.
+    """
     prepare(training.sparkSession)
     rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    if rows.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     chosen = hash_sample(rows.select("doc_id", "lang"), "lang", per_language).select("doc_id").distinct()
     sample = join_ids(rows.select("doc_id", "text", "lang"), chosen, "left_semi").select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
@@ -201,7 +207,7 @@ def detect(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, lang_pred, score and language spans (code points, end exclusive) of each whole text."""
     spark = documents.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(model)  # languages x 65,536 numbers
+    shared = spark.sparkContext.broadcast(model)  # 65,536 numbers for each of at most max_languages
 
     def run(it):
         own = shared.value

@@ -59,11 +59,12 @@ class ByteConvNet:
         return both @ self.p["w2"] + self.p["b2"][0], h, both, counts
 
     def score(self, texts: list[str], at_once: int = 512) -> np.ndarray:
+        """Probabilities to five decimals; the order of 32-bit sums, beyond that, depends on which texts come together."""
         rows = [chunks_of(t.encode("utf-8", "surrogatepass")) for t in texts]
         starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]).astype(np.int64)
         every = np.concatenate(rows)
         pooled = np.concatenate([self.pooled(every[a: a + at_once]) for a in range(0, len(every), at_once)])
-        return 1 / (1 + np.exp(-np.clip(self.logits(pooled, starts)[0].astype(np.float64), -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(self.logits(pooled, starts)[0].astype(np.float64), -30, 30))), 5)
 
     def pooled_parts(self, chunks: np.ndarray, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """pooled with places, a bounded number of chunks at a time."""
