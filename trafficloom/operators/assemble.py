@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,55 +22,68 @@ def sequence_events(events: DataFrame) -> DataFrame:
     return events.withColumn("generation", F.coalesce(F.sum((F.col("event_type") == "END").cast("int")).over(before), F.lit(0)))
 
 
-def _is(kind: str) -> Column:
-    return F.col("event_type") == kind
-
-
-def _grouped(events: DataFrame, bodies: bool = True) -> DataFrame:
-    """One row per id and generation, complete or not."""
-    def last(kind: str, *columns: str) -> Column:
-        return F.max_by(F.when(_is(kind), F.struct(*columns)), F.when(_is(kind), F.col("seq")))
+def _grouped(events: DataFrame, bodies: bool = True, slices: Sequence[str] = SLICES) -> DataFrame:
+    """One row per id and generation, complete or not.
 
-    request, response = ("journal_level", "start_line", "headers"), ("journal_level", "status", "start_line", "headers")
-    aggs = [last(k, *(request if k.endswith("REQUEST") else response)).alias(k.lower()) for k in SLICES]
-    aggs += [F.max_by(F.when(_is("CLIENT_REQUEST"), F.struct("client_ip", "client_ip_source")), F.when(_is("CLIENT_REQUEST"), F.col("seq"))).alias("_address")]
-    aggs += [last("END", "status", *END_COLUMNS).alias("_end")]
-    # whether there is a client request, so that a caller who doesn't read it doesn't carry it either
-    aggs += [F.max(_is("CLIENT_REQUEST")).alias("_has_client")]
+    Every aggregate stands alone, so Catalyst drops those that nobody reads, with their columns. A
+    generation has one END at most, so a maximum or first value over ENDs is that END's value.
+    """
+    def of(kind: str, aggregate: str) -> str:
+        return f"{aggregate} filter (where event_type = '{kind}')"
+
+    aggs = {k.lower(): of(k, f"max_by(struct(journal_level, {'status, ' if k.endswith('RESPONSE') else ''}start_line, headers), seq)") for k in slices}
+    aggs["_address"] = of("CLIENT_REQUEST", "max_by(struct(client_ip, client_ip_source), seq)")
+    aggs |= {f"_end_{c}": of("END", f"max({c})") for c in ("status", *END_COLUMNS) if c != "attributes"}
+    aggs["_end_attributes"] = of("END", "first(attributes)")
+    aggs |= {"_has_end": "bool_or(event_type = 'END')", "_has_client": "bool_or(event_type = 'CLIENT_REQUEST')"}
     # a fragment counts only after the first metadata event of its generation
-    aggs += [F.min(F.when(F.col("event_type").isin(*SLICES), F.col("seq"))).alias("_start"), F.min(F.when(F.col("event_type").endswith("_BODY"), F.col("seq"))).alias("_first_body"), F.count("*").alias("n_events")]
+    aggs["_start"] = f"min(seq) filter (where event_type in {SLICES})"
+    aggs["_first_body"] = "min(seq) filter (where event_type in ('REQUEST_BODY', 'RESPONSE_BODY'))"
     if bodies:
-        for side in ("REQUEST", "RESPONSE"):
-            aggs.append(F.array_sort(F.collect_list(F.when(_is(f"{side}_BODY"), F.struct("seq", "body")))).alias(f"_{side.lower()}_body"))
+        aggs |= {f"_{s.lower()}_body": f"array_sort({of(f'{s}_BODY', 'collect_list(struct(seq, body))')})" for s in ("REQUEST", "RESPONSE")}
+    aggs = [F.expr(text).alias(name) for name, text in aggs.items()]
     return sequence_events(events).groupBy("req_id", "generation").agg(*aggs)
 
 
-def reassemble(events: DataFrame, bodies: bool = True) -> DataFrame:
+def reassemble(events: DataFrame, bodies: bool = True, slices: Sequence[str] = SLICES) -> DataFrame:
     """Complete exchanges: an END, a client request and a status above 0. One shuffle, on req_id.
 
     Each slice is the last one written; fragments stay in order; END supplies status, times, bytes
-    and attributes. With bodies=False body bytes are dropped before the shuffle.
+    and attributes. With bodies=False fragments are left out by the scan. slices names the slices that
+    the result has; events of others are left out by the scan too, so metrics, which read what END
+    supplies alone, take slices=().
     """
-    g = _grouped(events if bodies else events.drop("body"), bodies)
-    g = g.where(F.col("_end").isNotNull() & F.col("_has_client") & (F.col("_end.status") > 0))
-    slices = []
-    for kind in SLICES:
+    if unknown := set(slices) - set(SLICES):
+        raise ValueError(f"unknown slices: {sorted(unknown)}")
+    first = set() if not bodies else set(SLICES)  # a fragment's place is judged by all slices
+    kinds = sorted({"CLIENT_REQUEST", "END", *slices, *first, *(("REQUEST_BODY", "RESPONSE_BODY") if bodies else ())})
+    events = events.where(F.col("event_type").isin(kinds))
+    g = _grouped(events if bodies else events.drop("body"), bodies, slices)
+    g = g.where(F.col("_has_end") & F.col("_has_client") & (F.col("_end_status") > 0))
+    made = []
+    for kind in (k for k in SLICES if k in slices):
         c = F.col(kind.lower())
-        fields = [c["journal_level"].alias("level"), *([c["status"].alias("status")] if kind.endswith("RESPONSE") else []), c["start_line"].alias("start_line"), c["headers"].alias("headers")]
-        slices.append(F.when(c.isNotNull(), F.struct(*fields)).alias(kind.lower()))
-    parts = [F.transform(F.filter(f"_{s}_body", lambda x: x["seq"] > F.col("_start")), lambda x: x["body"]).alias(f"{s}_body") for s in ("request", "response")] if bodies else []
-    ends = [F.col(f"_end.{c}").alias(c) for c in END_COLUMNS]
-    return g.select("req_id", "generation", *slices, F.col("_address.client_ip").alias("client_ip"), F.col("_address.client_ip_source").alias("client_ip_source"), *parts, F.col("_end.status").alias("status"), *ends)
+        status = [c["status"].alias("status")] if kind.endswith("RESPONSE") else []
+        fields = [c["journal_level"].alias("level"), *status, c["start_line"].alias("start_line"), c["headers"].alias("headers")]
+        made.append(F.when(c.isNotNull(), F.struct(*fields)).alias(kind.lower()))
+    made += [F.col(f"_address.{c}").alias(c) for c in ("client_ip", "client_ip_source")]
+    if bodies:
+        for s in ("request", "response"):
+            made.append(F.transform(F.filter(f"_{s}_body", lambda x: x["seq"] > F.col("_start")), lambda x: x["body"]).alias(f"{s}_body"))
+    return g.select("req_id", "generation", *made, *[F.col(f"_end_{c}").alias(c) for c in ("status", *END_COLUMNS)])
 
 
 def anomalies(events: DataFrame) -> DataFrame:
     """req_id, generation, anomaly of every group that reassemble leaves out or takes fragments from."""
-    g = _grouped(events.drop("body"), bodies=False)
-    end, start = F.col("_end").isNotNull(), F.col("_start").isNotNull()
+    g = _grouped(events.drop("body"), bodies=False, slices=())
+    end, start, client = F.col("_has_end"), F.col("_start").isNotNull(), F.col("_has_client")
     kinds = F.array(
-        F.when(end & ~start, "ORPHAN_END"), F.when(F.col("_first_body") < F.coalesce("_start", F.lit(2**62)), "BODY_WITHOUT_START"),
-        F.when(end & start & ~F.col("_has_client"), "NO_CLIENT_REQUEST"), F.when(end & F.col("_has_client") & ~F.coalesce(F.col("_end.status") > 0, F.lit(False)), "NO_STATUS"), F.when(~end, "IN_FLIGHT"),
-    )
+        F.when(end & ~start, "ORPHAN_END"),
+        F.when(F.col("_first_body") < F.coalesce("_start", F.lit(2**62)), "BODY_WITHOUT_START"),
+        F.when(end & start & ~client, "NO_CLIENT_REQUEST"),
+        F.when(end & client & ~F.coalesce(F.col("_end_status") > 0, F.lit(False)), "NO_STATUS"),
+        F.when(~end, "IN_FLIGHT"),
+    )
     return g.select("req_id", "generation", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("anomaly"))
 
 

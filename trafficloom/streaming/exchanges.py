@@ -63,7 +63,8 @@ def _advance(now: dict, row: dict) -> dict | None:
     status = int(row["status"])
     outcome = "ORPHAN_END" if not now["started"] else "NO_CLIENT_REQUEST" if now["request"] is None else "COMPLETE" if status > 0 else "NO_STATUS"
     line, ip = now["request"] or (None, None)
-    return {"generation": now["generation"], "outcome": outcome, "status": status, **{c: int(row[c]) for c in _NUMBERS}, "start_line": line, "client_ip": ip, "route_id": row["route_id"], "request_fragments": now["parts"][0], "response_fragments": now["parts"][1]}
+    made = {"generation": now["generation"], "outcome": outcome, "status": status, "start_line": line, "client_ip": ip, "route_id": row["route_id"]}
+    return made | {c: int(row[c]) for c in _NUMBERS} | {"request_fragments": now["parts"][0], "response_fragments": now["parts"][1]}
 
 
 def reassemble_stream(events: DataFrame, timeout: str = "10 minutes", watermark: str = "1 minute") -> DataFrame:
@@ -76,7 +77,10 @@ def reassemble_stream(events: DataFrame, timeout: str = "10 minutes", watermark:
     route = F.get(F.transform(F.filter("attributes", lambda a: a["name"] == "gateway.route.id"), lambda a: a["value"]), F.lit(0))
     # numbers that only END has are 0 elsewhere: with NULLs pandas would turn them into floats
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("status", *_NUMBERS)]
-    slim = events.select("req_id", "seq", "event_type", "event_time", "start_line", "client_ip", *numbers, route.alias("route_id")).withWatermark("event_time", watermark)
+    # milliseconds beside the time itself, which pandas would show in the session's time zone
+    slim = events.select(
+        "req_id", "seq", "event_type", "event_time", F.unix_millis("event_time").alias("at_ms"), "start_line", "client_ip", *numbers, route.alias("route_id")
+    ).withWatermark("event_time", watermark)
     columns = [c.split(" ")[0] for c in EXCHANGE_ROW.split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -89,13 +93,13 @@ def reassemble_stream(events: DataFrame, timeout: str = "10 minutes", watermark:
         out, last = [], None
         rows = pd.concat(list(frames)).sort_values("seq")
         for row in rows.to_dict("records"):
-            last = row["event_time"] if last is None or row["event_time"] > last else last
+            last = max(int(row["at_ms"]), last or 0)
             if (done := _advance(now, row)) is not None:
                 out.append({"req_id": key[0], **done})
                 now = _fresh(now["generation"] + 1)
         if now["seen"]:
             state.update((json.dumps(now),))
-            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + limit_ms)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + limit_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=columns)
