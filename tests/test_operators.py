@@ -1,5 +1,6 @@
 """Edge rows that the driver tables don't have."""
 
+import datetime
 import ipaddress
 import random
 
@@ -13,6 +14,7 @@ from trafficloom.functions import rewrite as R
 from trafficloom.operators import assemble, joins, metrics, policy, series, tagging
 from trafficloom.schema import EVENT_SCHEMA
 from trafficloom.sources import journal as J
+from trafficloom.streaming import exchanges as S
 
 
 def events(spark, rows):
@@ -210,3 +212,39 @@ def test_no_scratch_folder_of_its_own_on_a_cluster():
     for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
         with pytest.raises(ValueError):
             scratch(Made(conf=unset, sparkContext=Made(master=master, getConf=lambda: unset, _jsc=jsc)), "x")
+
+
+def test_tail_resumes_and_archives(spark, tmp_path):
+    """A second run on the same checkpoint reads the new files alone; files read whole are archived."""
+    path, out, state = (f"file://{tmp_path}/{n}" for n in ("journal", "out", "state"))
+
+    def tail():
+        tailed = S.tail_events(spark, path, max_files=1, clean="archive", archive=f"file://{tmp_path}/archive")
+        S.poll(tailed.select("req_id", "seq").writeStream.option("path", out), state, None).awaitTermination()
+        return sorted((r.req_id, r.seq) for r in spark.read.parquet(out).collect())
+
+    def write(*ids):
+        at = {"shard": 0, "event_time": datetime.datetime(2024, 1, 1)}
+        for i in ids:
+            J.write_events(events(spark, [(i, n, "REQUEST_BODY", at) for n in range(3)]), path, mode="append")
+
+    write("a", "b")
+    first = tail()
+    assert first == [(i, n) for i in "ab" for n in range(3)]
+    assert tail() == first  # nothing new
+    write("c", "d")
+    assert tail() == [(i, n) for i in "abcd" for n in range(3)]
+    assert list((tmp_path / "archive").rglob("*.parquet"))
+
+
+def test_reassembly_without_slices(spark):
+    """Leaving slices and bodies out changes nothing of what is left."""
+    rows = [
+        ("a", 1, "CLIENT_REQUEST", {"start_line": "A", "client_ip": "1.1.1.1"}), ("a", 2, "REQUEST_BODY", {"body": b"x"}), ("a", 3, "CLIENT_RESPONSE", {"status": 200}), ("a", 4, "END", END),
+        ("a", 5, "CLIENT_REQUEST", {"start_line": "B"}), ("a", 6, "END", END | {"status": 404}), ("b", 1, "UPSTREAM_REQUEST", {}), ("b", 2, "END", END),
+    ]
+    whole, slim = assemble.reassemble(events(spark, rows)), assemble.reassemble(events(spark, rows), bodies=False, slices=())
+    assert set(whole.columns) - set(slim.columns) == {k.lower() for k in assemble.SLICES} | {"request_body", "response_body"}
+    assert sorted(map(str, slim.collect())) == sorted(map(str, whole.select(slim.columns).collect())) and slim.count() == 2
+    with pytest.raises(ValueError):
+        assemble.reassemble(events(spark, rows), slices=("END",))

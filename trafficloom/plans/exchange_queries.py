@@ -150,12 +150,26 @@ def b03_body_before_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.reassemble(v).select("req_id", F.size("request_body").alias("request_fragments"))
 
 
-@query(with_(TRAFFIC_SQL, """, a AS (SELECT event_id, unnest(list_filter([CASE WHEN event_id % 97 = 0 AND proxy_start_ns = -1 THEN 'BODY_WITHOUT_START' END, CASE WHEN event_id % 89 <> 0 AND event_id % 97 = 0 THEN 'NO_CLIENT_REQUEST' END,
-  CASE WHEN event_id % 89 <> 0 AND event_id % 97 <> 0 AND event_id % 83 = 0 THEN 'NO_STATUS' END, CASE WHEN event_id % 89 = 0 THEN 'IN_FLIGHT' END], lambda q: q IS NOT NULL)) AS anomaly FROM t) SELECT 'req-' || event_id AS req_id, anomaly FROM a"""))
+ANOMALY_SQL = TRAFFIC_SQL + """, a AS (SELECT event_id, unnest(list_filter([
+  CASE WHEN event_id % 97 = 0 AND proxy_start_ns = -1 THEN 'BODY_WITHOUT_START' END,
+  CASE WHEN event_id % 89 <> 0 AND event_id % 97 = 0 THEN 'NO_CLIENT_REQUEST' END,
+  CASE WHEN event_id % 89 <> 0 AND event_id % 97 <> 0 AND event_id % 83 = 0 THEN 'NO_STATUS' END,
+  CASE WHEN event_id % 89 = 0 THEN 'IN_FLIGHT' END], lambda q: q IS NOT NULL)) AS anomaly FROM t)"""
+
+
+@query(with_(ANOMALY_SQL, "SELECT 'req-' || event_id AS req_id, anomaly FROM a"))
 def b04_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.anomalies(journal(spark, sf_dir)).select("req_id", "anomaly")
 
 
+@query(with_(ANOMALY_SQL, """SELECT 'req-' || event_id AS req_id, anomaly FROM a WHERE event_id % 7 <> 0
+  UNION ALL SELECT req_id, 'ORPHAN_END' FROM t WHERE event_id % 7 = 0 AND event_id % 89 <> 0"""))
+def b04_anomalies_lost_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As b04, over a journal that lost all but the END of every seventh exchange."""
+    lossy = journal(spark, sf_dir).where("(seq div 10) % 7 <> 0 or event_type = 'END'")
+    return assemble.anomalies(lossy).select("req_id", "anomaly")
+
+
 @query(with_(JOURNAL_SQL, "SELECT count(*) AS exchanges, CAST(sum(request_header_bytes + request_body_bytes) AS BIGINT) AS request_bytes FROM x"))
 def b05_journal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.journal_summary(assemble.reassemble(journal(spark, sf_dir), bodies=False, slices=()))
@@ -402,6 +416,18 @@ def f11_latency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("route_id", F.unix_micros("window_start").alias("window_us"), "requests", F.round("error_rate", 6).alias("error_rate"), F.round("p50_ns", 2).alias("p50_ns"), F.round("p99_ns", 2).alias("p99_ns"), "max_ns", "bytes")
 
 
+@query(with_(TRAFFIC_SQL, "SELECT route_id, count(*) AS requests, true AS p50_within, true AS p99_within FROM t GROUP BY route_id"))
+def f11_latency_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sketched percentiles stand within n / 10,000 ranks of the exact ones."""
+    t = traffic(spark, sf_dir).select("route_id", F.expr("client_end_ns - client_start_ns").alias("latency"))
+    found = metrics.latency_report(traffic(spark, sf_dir)).select("route_id", "requests", "p50_ns", "p99_ns")
+    ranks = [F.count_if(c).alias(n) for p in ("p50", "p99") for n, c in ((f"{p}_below", F.expr(f"latency < {p}_ns")), (f"{p}_upto", F.expr(f"latency <= {p}_ns")))]
+    ranked = t.join(found, "route_id").groupBy("route_id", "requests").agg(*ranks)
+    slack = F.col("requests") / 10_000 + 1
+    within = [((F.col(f"{p}_below") <= F.col("requests") * q + slack) & (F.col(f"{p}_upto") >= F.col("requests") * q - slack)).alias(f"{p}_within") for p, q in (("p50", 0.5), ("p99", 0.99))]
+    return ranked.select("route_id", "requests", *within)
+
+
 LAST_TICK = f"(SELECT max(client_start_ns // {DAY_NS}) FROM t)"
 TICKS_SQL = TRAFFIC_SQL + f""", tk AS (SELECT route_id, client_start_ns // {DAY_NS} AS tick, count(*) FILTER (WHERE status // 100 = 2) AS success, count(*) FILTER (WHERE status // 100 = 4) AS client_error, count(*) FILTER (WHERE status // 100 = 5) AS server_error FROM t GROUP BY ALL),
 sp AS (SELECT route_id, tick FROM (SELECT DISTINCT route_id FROM t), range(0, 30) r(i), (SELECT {LAST_TICK} - 29 AS lo), LATERAL (SELECT lo + i AS tick)), sk AS (SELECT route_id, tick, CAST(coalesce(success, 0) AS INTEGER) AS success, CAST(coalesce(client_error, 0) AS INTEGER) AS client_error, CAST(coalesce(server_error, 0) AS INTEGER) AS server_error FROM sp LEFT JOIN tk USING (route_id, tick))"""

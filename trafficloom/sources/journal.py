@@ -14,14 +14,14 @@ from ..operators.assemble import joined
 from ..schema import EVENT_SCHEMA
 
 
-def write_events(events: DataFrame, path: str) -> None:
+def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Partitioned by shard and day, so scans of either are pruned.
 
     Rows are rebalanced on both first: without that every task writes a file of its own for every shard
     and day. Adaptive execution splits a shard's day that is too large for one task.
     """
     dated = events.withColumn("date", F.to_date("event_time"))
-    dated.hint("rebalance", "shard", "date").write.partitionBy("shard", "date").parquet(path)
+    dated.hint("rebalance", "shard", "date").write.mode(mode).partitionBy("shard", "date").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
