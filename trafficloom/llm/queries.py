@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bloom_lm, bpe, divergence_rules, langid, mixing, pfor, pii_anchors, quality_cnn, setjoin, simhash
+from . import bloom_lm, bpe, divergence_rules, langid, mixing, oracles, pfor, pii_anchors, quality_cnn, setjoin, simhash
 from .common import read_table
 
 
@@ -48,8 +49,34 @@ def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.held_out_scores(read_table(spark, sf_dir, "documents"))
 
 
+# Columns of the queries above that SQL can express; each runs the same operator over the same table.
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_divergence_rules(spark, sf_dir).drop("kept", "class_distance", "word_distance")
+
+
+def personal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_anchor_expansion(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_simhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_log_frequency_bloom(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_spans, op2_pigeonhole_join, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op6_simhash, op7_hierarchical_mixing, op8_bpe_segment_tree, op9_token_files,
-    op10_log_frequency_bloom,
-)}
-ORACLE: dict[str, str] = {}
+    op1_language_spans, op2_pigeonhole_join, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op6_simhash,
+    op7_hierarchical_mixing, op8_bpe_segment_tree, op9_token_files, op10_log_frequency_bloom,
+    rule_counts, personal_counts, edited_texts, unigram_scores,
+)}
+ORACLE: dict[str, str] = {
+    "op2_pigeonhole_join": oracles.SHINGLE_LINKS,
+    "rule_counts": oracles.RULE_COUNTS,
+    "personal_counts": oracles.PERSONAL_COUNTS,
+    "edited_texts": oracles.EDITED_TEXTS,
+    "unigram_scores": oracles.UNIGRAM_SCORES,
+}
