@@ -411,9 +411,10 @@ def _classes(sets: DataFrame, documents: DataFrame, like: Likeness) -> tuple[Dat
 
 def _stars(sets: DataFrame, stands: DataFrame) -> DataFrame:
     """Distinct (key, node, pivot): under each key, its members' classes, tied together through pivots."""
-    along = Window.partitionBy("key")
     keyed = sets.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    over_all = keyed.withColumn("pivot", F.min("node").over(along)).where("node <> pivot")
+    pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
+    pivots = materialise(pivots.select("key", "pivot"), "pivots")  # a join of its own exchanges, so a hot key can be split
+    over_all = keyed.join(pivots, "key").where("node <> pivot")
     in_task = sets.select(F.explode(F.arrays_zip("star_keys", "star_pivots")).alias("s"), F.col("doc_id").alias("node"))
     in_task = in_task.select(F.col("s.star_keys").alias("key"), "node", F.col("s.star_pivots").alias("pivot"))
     stars = materialise(over_all.unionByName(in_task), "stars")
