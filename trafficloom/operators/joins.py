@@ -37,6 +37,23 @@ def assign_route(requests: DataFrame, routes: Sequence[tuple[str, object]] | Dat
     return requests.withColumn(column, route_of(routes))
 
 
+def rule_problems(routes: DataFrame) -> DataFrame:
+    """(route_id, problem) of rules (JSON) that `condition` refuses, found before any request is read.
+
+    Rules are configuration, so they are read to the driver; more than SMALL are an error.
+    """
+    rules = routes.select("route_id", "rule").where("rule is not null").limit(SMALL + 1).collect()
+    if len(rules) > SMALL:
+        raise ValueError(f"more than {SMALL} route rules")
+    found = []
+    for r in rules:
+        try:
+            condition(json.loads(r.rule), r.route_id)
+        except ValueError as refused:
+            found.append((r.route_id, str(refused)))
+    return routes.sparkSession.createDataFrame(found, "route_id string, problem string")
+
+
 def match_prefixes(requests: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """For rule tables too long for a CASE: first of (ordinal, route_id, prefix) whose prefix starts the path.
 

@@ -155,6 +155,20 @@ over_pages("d03_path_starts_with", lambda g: {"hit": P.path_starts_with("/p"), "
 over_pages("d04_regex_path", lambda g: {"hit": P.regex_path("/[a-z]+/[0-9]*[02468]|/"), "part": P.regex_path("/[a-z]+")}, "regexp_full_match(path, '/[a-z]+/[0-9]*[02468]|/') AS hit, regexp_full_match(path, '/[a-z]+') AS part")
 over_traffic("d05_remote_addr", lambda t: {"in8": P.remote_addr("10.2.0.0/15"), "part": P.remote_addr("10.1/16"), "one": P.remote_addr("10.0.0.4"), "other_family": P.remote_addr("fe80::/10"), "all4": P.remote_addr("0.0.0.0/0")},
              "user_id % 4 IN (2, 3) AS in8, user_id % 4 = 1 AS part, client_ip = '10.0.0.4' AS one, false AS other_family, true AS all4")
+def _address6():
+    """An IPv6 address of the user; the digits of its groups stand for themselves."""
+    return F.expr("concat('fd00:', user_id % 4, '::', user_id % 1000)")
+
+
+over_traffic(
+    "d05_remote_addr_v6",
+    lambda t: {
+        "in31": P.remote_addr("fd00:2::/31", _address6()), "low": P.remote_addr("fd00::/120", _address6()), "one": P.remote_addr("fd00:1::17", _address6()),
+        "other_family": P.remote_addr("10.0.0.0/8", _address6()), "all6": P.remote_addr("::/0", _address6()),
+    },
+    "user_id % 4 IN (2, 3) AS in31, user_id % 4 = 0 AND user_id % 1000 < 100 AS low, user_id % 4 = 1 AND user_id % 1000 = 17 AS one, "
+    "false AS other_family, true AS all6",
+)
 over_traffic("d06_boolean", lambda t: {"both": P.method(["GET"]) & P.path_starts_with("/view"), "either": P.method(["GET"]) | P.path_starts_with("/view"), "negated": ~P.path_starts_with("RateLimiter", "short_circuit")},
              "method = 'GET' AND starts_with(path, '/view') AS both, method = 'GET' OR starts_with(path, '/view') AS either, short_circuit IS NULL AS negated")
 MATRIX = [{"PathStartsWith": {"prefix": "/view"}}, {"Method": {"include": ["GET", "POST"]}}, {"not": {"RemoteAddr": {"source": "10.3.0.0/16"}}}]

@@ -42,6 +42,15 @@ def a01_read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("event_type", "shard").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"), F.min(F.unix_micros("event_time")).alias("first_us"))
 
 
+@query(with_(JOURNAL_SQL, "SELECT event_type, shard, count(*) AS n, sum(seq) AS seqs, CAST(min(event_us) AS BIGINT) AS first_us FROM v GROUP BY ALL"))
+def a01_read_events_all_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "journal")
+    J.write_events(journal(spark, sf_dir), path)
+    return J.read_events(spark, path).groupBy("event_type", "shard").agg(
+        F.count("*").alias("n"), F.sum("seq").alias("seqs"), F.min(F.unix_micros("event_time")).alias("first_us")
+    )
+
+
 @query(with_(JOURNAL_SQL, "SELECT event_type, count(*) AS n, sum(seq) AS seqs FROM v GROUP BY ALL"))
 def a02_tail_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, out = scratch(spark, "journal"), scratch(spark, "tailed")
@@ -245,6 +254,17 @@ def e02_match_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.match_networks(traffic(spark, sf_dir), nets).select("event_id", "network_id")
 
 
+NETS6 = [("six", "fd00::/8"), ("two", "fd00:2::/31"), ("low", "fd00::/120"), ("host", "fd00:1::17/128")]
+
+
+@query(with_(TRAFFIC_SQL, """SELECT event_id, CASE WHEN user_id % 4 = 0 AND user_id % 1000 < 100 THEN 'low' WHEN user_id % 4 IN (2, 3) THEN 'two'
+  WHEN user_id % 4 = 1 AND user_id % 1000 = 17 THEN 'host' ELSE 'six' END AS network_id FROM t"""))
+def e02_match_networks_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nets = spark.createDataFrame(NETS6, "network_id string, cidr string")
+    requests = traffic(spark, sf_dir).select("event_id", F.expr("concat('fd00:', user_id % 4, '::', user_id % 1000)").alias("ip6"))
+    return joins.match_networks(requests, nets, "ip6").select("event_id", "network_id")
+
+
 POLICY_ROWS = [("error", "request", "HEADERS", 1, "5xx", "FULL"), ("error", "request", "HEADERS", 2, "502", "NONE"), ("error", "response", "NONE", 1, "404,429", "METADATA"), ("error", "response", "NONE", 2, "500", "FULL"),
                ("view", "request", "FULL", 1, "2xx", "METADATA"), ("view", "response", "FULL", 1, None, None), ("click", "request", "NONE", 1, None, None), ("click", "response", "NONE", 1, "304", "HEADERS"), ("signup", "request", "METADATA", 1, "42", "HEADERS"), ("signup", "response", "FULL", 1, "201", "FULL")]
 POLICY_SQL = "pol(route_id, direction, base_level, ordinal, override_key, override_level) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in POLICY_ROWS) + ")"
@@ -271,6 +291,35 @@ def e04_expand_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.expand_overrides(policies(spark, sf_dir))
 
 
+#: A policy of every user's routes: the statuses that their traffic had decide the overrides.
+USER_POLICY_SQL = TRAFFIC_SQL + """, pol AS (
+  SELECT route_id || '-' || user_id AS route_id, CASE WHEN k % 2 = 0 THEN 'request' ELSE 'response' END AS direction,
+    CASE WHEN user_id % 2 = 0 THEN 'FULL' ELSE 'HEADERS' END AS base_level, status AS ordinal,
+    CASE WHEN status % 4 = 0 THEN (status // 100) || 'xx' ELSE status || ', ' || (status // 10) END AS override_key,
+    CASE min(k) % 3 WHEN 0 THEN 'FULL' WHEN 1 THEN 'METADATA' ELSE 'HEADERS' END AS override_level
+  FROM t GROUP BY route_id, user_id, k % 2, status),
+""" + EXPANDED_SQL.removeprefix(POLICY_SQL + ", ")
+
+
+def user_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    direction = F.when(F.col("k") % 2 == 0, "request").otherwise("response")
+    seen = traffic(spark, sf_dir).groupBy("route_id", "user_id", direction.alias("direction"), "status").agg(F.min("k").alias("k"))
+    return seen.select(
+        F.concat("route_id", F.lit("-"), "user_id").alias("route_id"), "direction",
+        F.expr("if(user_id % 2 = 0, 'FULL', 'HEADERS')").alias("base_level"), F.col("status").alias("ordinal"),
+        F.expr("if(status % 4 = 0, concat(status div 100, 'xx'), concat(status, ', ', status div 10))").alias("override_key"),
+        F.expr("case k % 3 when 0 then 'FULL' when 1 then 'METADATA' else 'HEADERS' end").alias("override_level"),
+    )
+
+
+@query(with_(USER_POLICY_SQL, "SELECT direction, level, count(*) AS n, CAST(sum(status) AS BIGINT) AS statuses, count(DISTINCT route_id) AS routes FROM ov GROUP BY ALL"))
+def e04_expand_user_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides of a policy that grows with the traffic, summed up by level."""
+    return joins.expand_overrides(user_policies(spark, sf_dir)).groupBy("direction", "level").agg(
+        F.count("*").alias("n"), F.sum("status").alias("statuses"), F.count_distinct("route_id").alias("routes")
+    )
+
+
 @query("WITH vs AS (SELECT 'v' || i AS version, (SELECT min(ts) FROM events) + i * INTERVAL 61 HOUR + INTERVAL 13 MINUTE AS valid_from FROM range(0, 9) r(i)) SELECT event_id, (SELECT arg_max(version, valid_from) FROM vs WHERE valid_from <= e.ts) AS version FROM events e")
 def e05_config_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -327,6 +376,45 @@ def e07_validate_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.validate_fallbacks(route_table(spark, sf_dir))
 
 
+USER_ROUTES_SQL = """rt AS (SELECT DISTINCT event_type || '-' || user_id AS route_id, CASE user_id % 4 WHEN 0 THEN event_type || '-' || user_id
+  WHEN 1 THEN event_type || '-' || (user_id + 1) WHEN 2 THEN 'view-' || user_id END AS fallback_route_id, ['http://' || event_type || '/' || user_id] AS targets FROM events)"""
+
+
+def user_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A route for every user and kind of event, with fallbacks to itself, the next user's, the user's view, or none."""
+    seen = read(spark, sf_dir, "events").select("event_type", "user_id").distinct()
+    fallback = "case user_id % 4 when 0 then concat(event_type, '-', user_id) when 1 then concat(event_type, '-', user_id + 1) when 2 then concat('view-', user_id) end"
+    return seen.select(
+        F.concat("event_type", F.lit("-"), "user_id").alias("route_id"), F.expr(fallback).alias("fallback_route_id"),
+        F.array(F.concat(F.lit("http://"), "event_type", F.lit("/"), "user_id")).alias("targets"),
+    )
+
+
+@query(with_(USER_ROUTES_SQL, "SELECT a.route_id, a.fallback_route_id, b.targets[1] AS fallback_target FROM rt a LEFT JOIN rt b ON a.fallback_route_id = b.route_id"))
+def e07_resolve_user_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.resolve_fallback(user_routes(spark, sf_dir)).select("route_id", "fallback_route_id", F.get("fallback_targets", F.lit(0)).alias("fallback_target"))
+
+
+@query(with_(USER_ROUTES_SQL, """SELECT route_id, fallback_route_id, CASE WHEN route_id = fallback_route_id THEN 'SELF_REFERENCE' ELSE 'MISSING_TARGET' END AS problem
+  FROM rt WHERE fallback_route_id = route_id OR fallback_route_id NOT IN (SELECT route_id FROM rt)"""))
+def e07_validate_user_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.validate_fallbacks(user_routes(spark, sf_dir))
+
+
+RULES = {"view": '{"PathPrefix": {"prefix": "/view"}}', "error": '{"and": [{"Method": {"includes": ["GET"]}}]}', "signup": '{"not": {"Host": {}}}'}
+RULE_CASES = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RULES.items()) + """ ELSE '{"PathStartsWith": {"prefix": "/"}}' END"""
+
+
+@query("""SELECT DISTINCT event_type AS route_id, CASE event_type WHEN 'view' THEN 'view.PathPrefix: unknown predicate ''PathPrefix'''
+  WHEN 'error' THEN 'error.and[0].Method: unknown property [''includes''] of Method' ELSE 'signup.not.Host: Host lacks [''hosts'']' END AS problem
+  FROM events WHERE event_type IN ('view', 'error', 'signup')""")
+def d08_rule_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems without the list of what is known, which grows with every registered predicate."""
+    seen = read(spark, sf_dir, "events").select("event_type").distinct()
+    found = joins.rule_problems(seen.select(F.col("event_type").alias("route_id"), F.expr(RULE_CASES).alias("rule")))
+    return found.withColumn("problem", F.substring_index("problem", ";", 1))
+
+
 METRICS_SQL = """SELECT route_id, count(*) AS total, count(*) FILTER (WHERE proxy_start_ns <> -1) AS upstream, count(*) FILTER (WHERE status = 101) AS websocket, CAST(sum(request_header_bytes) AS BIGINT) AS request_header_bytes, CAST(sum(request_body_bytes) AS BIGINT) AS request_body_bytes,
   CAST(sum(response_header_bytes) AS BIGINT) AS response_header_bytes, CAST(sum(response_body_bytes) AS BIGINT) AS response_body_bytes, CAST(sum(duration_ns) AS BIGINT) AS duration_ns_sum, max(client_end_ns) // 1000 AS last_us"""
 
@@ -359,6 +447,13 @@ def f01_route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(metrics.route_metrics(e))
 
 
+@query(with_(TRAFFIC_SQL, METRICS_SQL + " FROM (SELECT * REPLACE (CASE WHEN k % 10 = 1 THEN 101 ELSE status END AS status) FROM t) GROUP BY route_id"))
+def f01_route_metrics_websocket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As f01_route_metrics, over exchanges of which some switch protocols."""
+    upgraded = F.when(F.col("k") % 10 == 1, 101).otherwise(F.col("status"))
+    return _shown(metrics.route_metrics(traffic(spark, sf_dir).withColumn("status", upgraded)))
+
+
 @query(with_(TRAFFIC_SQL, "SELECT route_id, CAST(sum(duration_ns) // count(*) AS BIGINT) AS avg_latency_ns FROM t GROUP BY route_id"))
 def f02_avg_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.avg_latency_ns(traffic(spark, sf_dir))
@@ -569,6 +664,16 @@ def j06_validate_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.validate_policy(policies(spark, sf_dir))
 
 
+@query(with_(USER_POLICY_SQL, """, bs AS (SELECT route_id, direction, max(base_level) AS base FROM pol GROUP BY ALL), pr AS (
+  SELECT direction, 'STATUS_BELOW_100' AS problem, status FROM ov WHERE status < 100 UNION ALL
+  SELECT direction, 'FULL_OVER_LOWER_BASE', status FROM ov JOIN bs USING (route_id, direction) WHERE level = 'FULL' AND base <> 'FULL')
+  SELECT direction, problem, count(*) AS n, CAST(sum(status) AS BIGINT) AS statuses FROM pr GROUP BY ALL"""))
+def j06_validate_user_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of a policy that grows with the traffic, summed up by kind."""
+    found = policy.validate_policy(user_policies(spark, sf_dir))
+    return found.groupBy("direction", "problem").agg(F.count("*").alias("n"), F.sum("status").alias("statuses"))
+
+
 # --- sorts and sets ---
 @query(with_(SEGMENTS_SQL, "SELECT file_name, CAST(string_split(file_name, '-')[2] AS BIGINT) AS shard, row_number() OVER (ORDER BY CAST(string_split(file_name, '-')[2] AS BIGINT), CAST(string_split(file_name, '-')[3] AS BIGINT)) AS place FROM sg"))
 def k01_order_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
