@@ -104,3 +104,63 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_t
 FROM tokens LEFT JOIN counts USING (token), totals
 GROUP BY doc_id, held_out, n
 """
+
+
+def _tree_levels(name: str, tree: str, levels: int) -> str:
+    """CTEs {name}1 to {name}{levels} over {name}0 (tree, pos, n, h): each node with the digests beside it, then its parents."""
+    made = []
+    for k in range(levels):
+        run = f"PARTITION BY {tree}, pos // 16 ORDER BY pos"
+        made.append(
+            f"{name}{k}s AS (SELECT *, coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+            f"coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})"
+        )
+        made.append(
+            f"{name}{k + 1} AS (SELECT {tree}, pos // 16 AS pos, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE min(h) END AS h "
+            f"FROM {name}{k} GROUP BY {tree}, pos // 16, n)"
+        )
+    return ",\n".join(made)
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_DOCUMENT_LEVELS, _SOURCE_LEVELS = 6, 4  # trees of up to 16 ** 6 documents, 16 ** 4 sources
+
+
+def _merkle_proofs() -> str:
+    steps = [("a", k) for k in range(_DOCUMENT_LEVELS)] + [("b", k) for k in range(_SOURCE_LEVELS)]
+    joins, beside, columns = [], [], []
+    for i, (name, k) in enumerate(steps):
+        node = f"{name}{k}s"
+        tree, place = (f"{node}.source IS NOT DISTINCT FROM t.source", "t.pos") if name == "a" else ("true", "u.pos")
+        joins.append(f"JOIN {node} ON {tree} AND {node}.pos = {place} // {16 ** k}")
+        beside.append(f"CASE WHEN {node}.n > 1 THEN {node}.l || {node}.r ELSE '' END")
+        columns.append(f"{node}.n AS n{i}, {node}.l AS l{i}, {node}.r AS r{i}")
+    # one fold a CTE, so that no expression holds another one twice
+    folds = [f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN n{i} > 1 THEN sha256(l{i} || x || r{i}) ELSE x END AS x) FROM f{i})" for i in range(len(steps))]
+    lowered = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+    return f"""
+WITH a0 AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+    {_leaf("text")} AS h, CASE WHEN {CRC32} % 5 = 0 THEN {_leaf(lowered)} END AS altered
+  FROM documents
+),
+{_tree_levels("a", "source", _DOCUMENT_LEVELS)},
+b0 AS (SELECT 1 AS one, source, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, h FROM a{_DOCUMENT_LEVELS}),
+{_tree_levels("b", "one", _SOURCE_LEVELS)},
+f0 AS (
+  SELECT t.doc_id, t.h AS leaf, sub.h AS subroot, root.h AS root, sha256({" || ".join(beside)}) AS proof_sha256, coalesce(t.altered, t.h) AS x, {", ".join(columns)}
+  FROM a0 t
+  JOIN b0 u ON u.source IS NOT DISTINCT FROM t.source
+  JOIN a{_DOCUMENT_LEVELS} sub ON sub.source IS NOT DISTINCT FROM t.source
+  JOIN b{_SOURCE_LEVELS} root ON true
+  {" ".join(joins)}
+),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, x AS folded_root, x = root AS verified FROM f{len(steps)}
+"""
+
+
+MERKLE_PROOFS = _merkle_proofs()
