@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, bpe, divergence_rules, langid, merkle, mixing, oracles, pfor, pii_anchors, quality_cnn, setjoin, simhash
+from . import angle_mining, bloom_lm, bpe, divergence_rules, impact_search, langid, merkle, mixing, oracles, pfor, pii_anchors, quality_cnn, setjoin, simhash
 from .common import read_table
 
 
@@ -49,10 +49,18 @@ def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.held_out_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op11_angle_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return angle_mining.noisy_report(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(read_table(spark, sf_dir, "documents"))
 
 
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.nearest_report(read_table(spark, sf_dir, "embeddings"))
+
+
 # Columns of the queries above that SQL can express; each runs the same operator over the same table.
 
 
@@ -75,12 +83,14 @@ def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_spans, op2_pigeonhole_join, op3_byte_convolution, op4_divergence_rules, op5_anchor_expansion, op6_simhash,
     op7_hierarchical_mixing, op8_bpe_segment_tree, op9_token_files, op10_log_frequency_bloom,
-    op12_merkle_manifest,
+    op11_angle_mining, op12_merkle_manifest, op13_impact_search,
     rule_counts, personal_counts, edited_texts, unigram_scores,
 )}
 ORACLE: dict[str, str] = {
     "op2_pigeonhole_join": oracles.SHINGLE_LINKS,
+    "op11_angle_mining": oracles.HARD_NEGATIVES,
     "op12_merkle_manifest": oracles.MERKLE_PROOFS,
+    "op13_impact_search": oracles.NEAREST,
     "rule_counts": oracles.RULE_COUNTS,
     "personal_counts": oracles.PERSONAL_COUNTS,
     "edited_texts": oracles.EDITED_TEXTS,
