@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import headers as H
 from ..operators import assemble, joins, metrics, policy, series, tagging
+from ..schema import EVENT_SCHEMA
 from ..sources import journal as J
 from ..sources.scratch import scratch
+from ..streaming import batches as BT
 from ..streaming import exchanges as S
 from ..traffic import JOURNAL_SQL, PROBES_SQL, TRAFFIC_SQL, event_stream, headers_text, journal, journal_of, probes, read, traffic, traffic_of
 
@@ -134,10 +136,17 @@ def a07_segment_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- reassembly ---
-@query(with_(JOURNAL_SQL, """SELECT req_id, status, client_ip, CASE WHEN k % 3 = 0 THEN 'X_FORWARDED_FOR' ELSE 'SOCKET' END AS client_ip_source, method || ' ' || path || ' HTTP/1.1' AS line, proxy_start_ns <> -1 AS has_upstream, client_start_ns, client_end_ns, response_body_bytes,
-  CAST((request_body_bytes > 0)::INT + (request_body_bytes > 300)::INT AS INTEGER) AS request_fragments, 1 AS response_fragments, status AS response_status FROM x"""))
+B01_SQL = """SELECT req_id, status, client_ip, CASE WHEN k % 3 = 0 THEN 'X_FORWARDED_FOR' ELSE 'SOCKET' END AS client_ip_source, method || ' ' || path || ' HTTP/1.1' AS line, proxy_start_ns <> -1 AS has_upstream, client_start_ns, client_end_ns, response_body_bytes,
+  CAST((request_body_bytes > 0)::INT + (request_body_bytes > 300)::INT AS INTEGER) AS request_fragments, 1 AS response_fragments, status AS response_status FROM x"""
+
+
+@query(with_(JOURNAL_SQL, B01_SQL))
 def b01_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exchanges(spark, sf_dir).select("req_id", "status", "client_ip", "client_ip_source", F.col("client_request.start_line").alias("line"), F.col("upstream_response").isNotNull().alias("has_upstream"), "client_start_ns", "client_end_ns", "response_body_bytes",
+    return _b01_columns(exchanges(spark, sf_dir))
+
+
+def _b01_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("req_id", "status", "client_ip", "client_ip_source", F.col("client_request.start_line").alias("line"), F.col("upstream_response").isNotNull().alias("has_upstream"), "client_start_ns", "client_end_ns", "response_body_bytes",
                                            F.size("request_body").alias("request_fragments"), F.size("response_body").alias("response_fragments"), F.col("client_response.status").alias("response_status"))
 
 
@@ -701,6 +710,19 @@ def k04_dedupe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.dedupe_events(v.unionByName(v.where("seq % 3 = 0"))).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
+@query(with_(JOURNAL_SQL, B01_SQL))
+def k04_dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal as a tailer reads it that crashed halfway: a tenth of the time is read again, each event stays once."""
+    path, out, state = (scratch(spark, n) for n in ("re-read", "read-once", "re-read-state"))
+    v, at = journal(spark, sf_dir), F.unix_millis("event_time")
+    span = v.agg(F.min(at).alias("first"), F.max(at).alias("last")).first()
+    half, overlap = (span.first + span.last) // 2, (span.last - span.first) // 10
+    for part in (v.where(at < half), v.where(at >= half - overlap)):
+        J.write_events(part, path, mode="append")
+        S.poll(BT.dedupe_stream(S.tail_events(spark, path), f"{overlap + 1000} milliseconds").writeStream.option("path", out), state, None).awaitTermination()
+    return _b01_columns(assemble.reassemble(spark.read.schema(EVENT_SCHEMA).parquet(out)))
+
+
 # --- streaming ---
 @query(with_(TRAFFIC_SQL, "SELECT event_id, status FROM t"))
 def l01_polling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -743,12 +765,29 @@ def l04_flush_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(TRAFFIC_SQL, f", z AS ({STREAMED_SQL}) SELECT outcome, count(*) AS n FROM z WHERE outcome <> 'COMPLETE' GROUP BY ALL"))
 def l05_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "split")
-    S.late_events(_stream_rows(spark, sf_dir), path, scratch(spark, "split-state")).awaitTermination()
-    return spark.read.parquet(f"{path}/anomalies").groupBy("outcome").agg(F.count("*").alias("n"))
+    BT.split_outcomes(_stream_rows(spark, sf_dir), path, scratch(spark, "split-state")).awaitTermination()
+    return BT.read_batches(spark, f"{path}/anomalies", S.EXCHANGE_ROW).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query(with_(TRAFFIC_SQL, f", z AS ({STREAMED_SQL}) SELECT route_id, count(*) AS n FROM z WHERE outcome = 'COMPLETE' GROUP BY ALL"))
 def u03_on_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "listened")
-    S.on_complete(_stream_rows(spark, sf_dir), lambda df, _: df.select("route_id").write.mode("append").parquet(path), scratch(spark, "listen-state")).awaitTermination()
-    return spark.read.schema("route_id string").parquet(path).groupBy("route_id").agg(F.count("*").alias("n"))
+    BT.on_complete(_stream_rows(spark, sf_dir), lambda df, n: BT.write_batch(df.select("route_id"), path, n), scratch(spark, "listen-state")).awaitTermination()
+    return BT.read_batches(spark, path, "route_id string").groupBy("route_id").agg(F.count("*").alias("n"))
+
+
+LATE_DELAY_MS = 5 * DAY * 1000
+
+
+@query(with_(JOURNAL_SQL, f""", sets AS (SELECT *, (seq // 10) * 7919 % 4 AS batch, event_us // 1000 AS ms FROM v), newest AS (SELECT batch, max(ms) AS ms FROM sets GROUP BY batch),
+  marks AS (SELECT batch, max(ms) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {LATE_DELAY_MS} AS mark FROM newest)
+  SELECT CAST(batch AS BIGINT) AS batch, event_type, count(*) FILTER (WHERE ms < mark) AS late, count(*) FILTER (WHERE mark IS NULL OR ms >= mark) AS on_time, CAST(coalesce(sum(seq) FILTER (WHERE ms < mark), 0) AS BIGINT) AS late_seqs
+  FROM sets JOIN marks USING (batch) GROUP BY batch, event_type"""))
+def l05_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal in four shuffled deliveries; what comes behind the watermark is kept apart."""
+    path, out, state = (scratch(spark, n) for n in ("delivered", "gated", "gate-state"))
+    for k in range(4):
+        J.write_events(journal(spark, sf_dir).where(F.expr(f"(seq div 10) * 7919 % 4 = {k}")), path, mode="append")
+        BT.late_gate(S.tail_events(spark, path).drop("date"), out, state, LATE_DELAY_MS).awaitTermination()
+    rows, late = BT.gated(spark, out, EVENT_SCHEMA), F.col("late")
+    return rows.groupBy("batch", "event_type").agg(F.count_if(late).alias("late"), F.count_if(~late).alias("on_time"), F.coalesce(F.sum(F.when(late, F.col("seq"))), F.lit(0)).alias("late_seqs"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,36 +129,51 @@ def write_audit(exchanges: DataFrame, path: str) -> None:
     to_audit_rows(exchanges).write.option("ignoreNullFields", "false").json(path)
 
 
-POINTER = "number long, version string"
+KEEP = 8  # versions of a snapshot that stay readable
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of a path, as Spark's own readers find them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _files(spark, path)
+    return fs.exists(where)
 
 
-def _newest(spark: SparkSession, path: str):
-    """The pointer's row of the greatest number, None before the first version."""
-    try:
-        rows = spark.read.schema(POINTER).parquet(f"{path}/pointer")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return rows.orderBy(F.desc_nulls_last("number"), F.desc("version")).first()
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers that name the entries of a folder, ascending; none where there is no such folder."""
+    fs, where = _files(spark, path)
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(where)) if fs.exists(where) else []
 
 
-def write_snapshot(df: DataFrame, path: str) -> str:
+def write_snapshot(df: DataFrame, path: str, keep: int = KEEP) -> int:
     """Write a new version, then point to it; readers see the old version or the new, never a part.
 
-    Versions are numbered one after the other (by one writer at a time), so no clock decides which is newest.
+    Versions are numbered one after the other. A pointer is an empty file named by its version, so the newest
+    is found by name alone; versions and pointers before the last `keep` are removed, so neither grows and a
+    flush lists at most keep + 1 names. One writer at a time: two that take one number are an error for the
+    second. A version that a crash left without a pointer is never read, and goes with the others.
     """
-    spark, version = df.sparkSession, uuid.uuid4().hex
-    df.write.parquet(f"{path}/versions/{version}")
-    last = _newest(spark, path)
-    number = 1 + (last.number or 0) if last else 1
-    spark.createDataFrame([(number, version)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
-    return version
+    spark = df.sparkSession
+    versions = _numbers(spark, f"{path}/versions")
+    number = max([0, *versions[-1:], *_numbers(spark, f"{path}/pointer")[-1:]]) + 1
+    df.write.parquet(f"{path}/versions/{number:012d}")
+    fs, pointer = _files(spark, f"{path}/pointer/{number:012d}")
+    fs.create(pointer, False).close()
+    for old in _numbers(spark, f"{path}/pointer")[:-keep]:  # pointers first: none may outlive its version
+        fs.delete(_files(spark, f"{path}/pointer/{old:012d}")[1], False)
+    for old in versions:
+        if old <= number - keep:
+            fs.delete(_files(spark, f"{path}/versions/{old:012d}")[1], True)
+    return number
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The version that the pointer's greatest number names."""
-    newest = _newest(spark, path)
-    if newest is None:
+    """The newest version that has a pointer."""
+    found = _numbers(spark, f"{path}/pointer")
+    if not found:
         raise ValueError(f"no snapshot under {path}")
-    return spark.read.parquet(f"{path}/versions/{newest.version}")
+    return spark.read.parquet(f"{path}/versions/{found[-1]:012d}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -164,20 +164,3 @@ def flush_metrics(metrics: DataFrame, path: str, checkpoint: str, every: str | N
     """Replace the snapshot at `path` with each batch's complete metrics."""
     writer = metrics.writeStream.outputMode("complete").foreachBatch(lambda df, _: write_snapshot(df, path) and None)
     return poll(writer, checkpoint, every)
-
-
-def late_events(exchange_rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Split reassembled rows: complete ones to path/exchanges, others to path/anomalies."""
-
-    def split(df: DataFrame, _: int) -> None:
-        df = df.persist()
-        df.where("outcome = 'COMPLETE'").write.mode("append").parquet(f"{path}/exchanges")
-        df.where("outcome <> 'COMPLETE'").write.mode("append").parquet(f"{path}/anomalies")
-        df.unpersist()
-
-    return poll(exchange_rows.writeStream.foreachBatch(split), checkpoint, every)
-
-
-def on_complete(exchange_rows: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Call fn(batch of complete exchanges, batch id) for each micro-batch."""
-    return poll(exchange_rows.writeStream.foreachBatch(lambda df, n: fn(df.where("outcome = 'COMPLETE'"), n)), checkpoint, every)
