@@ -12,7 +12,8 @@ from ..sources import journal as J
 from ..sources.scratch import scratch
 from ..streaming import batches as BT
 from ..streaming import exchanges as S
-from ..traffic import JOURNAL_SQL, PROBES_SQL, TRAFFIC_SQL, event_stream, headers_text, journal, journal_of, probes, read, traffic, traffic_of
+from ..streaming import reassembly as RS
+from ..traffic import HEADERS_TEXT_SQL, JOURNAL_SQL, PROBES_SQL, TRAFFIC_SQL, event_stream, headers_text, journal, journal_of, probes, read, traffic, traffic_of
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -205,7 +206,7 @@ def b06_body_integrity_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.reassemble_stream(journal_of(traffic_of(event_stream(spark, sf_dir))))
+    return RS.reassemble_stream(journal_of(traffic_of(event_stream(spark, sf_dir))))
 
 
 # What has no END ends as IN_FLIGHT once the watermark (a minute behind the last event) is past its ten minutes.
@@ -222,6 +223,32 @@ def b07_reassemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("req_id", "outcome", "status", "client_start_ns", "request_fragments", "route_id")
 
 
+def _side_sql(kind: str) -> str:
+    request = kind.endswith("REQUEST")
+    line = "method || ' ' || path || ' HTTP/1.1'" if request else "'HTTP/1.1 ' || status"
+    headers = HEADERS_TEXT_SQL.format("headers") if request else "'Content-Type=text/plain' || CASE WHEN k % 2 = 0 THEN ';Server=edge' ELSE '' END"
+    text = f"CASE WHEN k % 2 = 0 THEN 'FULL' ELSE 'HEADERS' END || ' ' || {line} || ' ' || {'' if request else 'status || ' + chr(39) + ' ' + chr(39) + ' || '}{headers}"
+    return (f"CASE WHEN proxy_start_ns <> -1 THEN {text} END" if kind.startswith("UPSTREAM") else text) + f" AS {kind.lower()}"
+
+
+@query(with_(JOURNAL_SQL, f"""SELECT req_id, {", ".join(map(_side_sql, assemble.SLICES))}, client_ip, CASE WHEN k % 3 = 0 THEN 'X_FORWARDED_FOR' ELSE 'SOCKET' END AS client_ip_source, status,
+  CASE WHEN request_body_bytes > 0 THEN {BODY_SQL} ELSE '' END AS request_body, 'RESPONSE_BODY:' || event_id || ':5' AS response_body, client_start_ns, client_end_ns, proxy_start_ns, proxy_end_ns, request_header_bytes, request_body_bytes,
+  response_header_bytes, response_body_bytes, 'gateway.route.id=' || route_id || CASE WHEN proxy_start_ns <> -1 THEN array_to_string(list_transform(targets, lambda x: ';gateway.target=' || x), '') ELSE '' END
+  || CASE WHEN short_circuit IS NOT NULL THEN ';gateway.shortcircuit.name=' || short_circuit ELSE '' END AS attributes FROM x"""))
+def b07_whole_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slice with its headers, the bodies and what END says, from the stream; the journal comes in two deliveries that cut exchanges apart."""
+    path, out, state = (scratch(spark, n) for n in ("cut-journal", "whole", "whole-state"))
+    for k in range(2):
+        J.write_events(journal(spark, sf_dir).where(F.expr(f"if(pmod(seq div 10, 3) = 0, seq % 10 >= 4, pmod(seq div 10, 3) = 2) = {bool(k)}")), path, mode="append")
+        rows = RS.reassemble_stream(S.tail_events(spark, path), watermark=f"{10 * 365} days")
+        S.poll(rows.writeStream.option("path", out), state, None).awaitTermination()
+    side = lambda k: F.concat_ws(" ", F.col(k.lower())["level"], F.col(k.lower())["start_line"], *([F.col(k.lower())["status"]] if k.endswith("RESPONSE") else []), headers_text(F.col(k.lower())["headers"]))
+    body = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "").alias(c)
+    found = spark.read.schema(RS.EXCHANGE_ROW).parquet(out).where("outcome = 'COMPLETE'")
+    return found.select("req_id", *[F.when(F.col(k.lower()).isNotNull(), side(k)).alias(k.lower()) for k in assemble.SLICES], "client_ip", "client_ip_source", "status", body("request_body"), body("response_body"), "client_start_ns", "client_end_ns",
+                        "proxy_start_ns", "proxy_end_ns", "request_header_bytes", "request_body_bytes", "response_header_bytes", "response_body_bytes", headers_text(F.col("attributes")).alias("attributes"))
+
+
 @query(with_(JOURNAL_SQL, "SELECT req_id, route_id, CASE WHEN proxy_start_ns <> -1 THEN array_to_string(targets, '|') ELSE '' END AS targets, short_circuit FROM x"))
 def c18_gateway_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = H.with_gateway_attributes(assemble.reassemble(journal(spark, sf_dir), bodies=False, slices=()))
@@ -766,7 +793,7 @@ def l04_flush_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l05_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "split")
     BT.split_outcomes(_stream_rows(spark, sf_dir), path, scratch(spark, "split-state")).awaitTermination()
-    return BT.read_batches(spark, f"{path}/anomalies", S.EXCHANGE_ROW).groupBy("outcome").agg(F.count("*").alias("n"))
+    return BT.read_batches(spark, f"{path}/anomalies", RS.EXCHANGE_ROW).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query(with_(TRAFFIC_SQL, f", z AS ({STREAMED_SQL}) SELECT route_id, count(*) AS n FROM z WHERE outcome = 'COMPLETE' GROUP BY ALL"))

@@ -1,4 +1,4 @@
-"""Streaming forms: tailing, reassembly with bounded state, metrics, tags, flushes."""
+"""Streaming forms: tailing, metrics, tags, flushes (A2, L1-L4)."""
 
 from __future__ import annotations
 
@@ -33,80 +33,6 @@ def poll(writer: DataStreamWriter, checkpoint: str, every: str | None = "1 secon
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-EXCHANGE_ROW = (
-    "req_id string, generation bigint, outcome string, status int, client_start_ns bigint, client_end_ns bigint, proxy_start_ns bigint, "
-    "request_header_bytes bigint, request_body_bytes bigint, response_header_bytes bigint, response_body_bytes bigint, "
-    "start_line string, client_ip string, route_id string, request_fragments int, response_fragments int"
-)
-_NUMBERS = ("client_start_ns", "client_end_ns", "proxy_start_ns", "request_header_bytes", "request_body_bytes", "response_header_bytes", "response_body_bytes")
-
-
-def _fresh(generation: int) -> dict:
-    return {"generation": generation, "started": False, "request": None, "parts": [0, 0], "body_first": False, "seen": 0}
-
-
-def _advance(now: dict, row: dict) -> dict | None:
-    """Take one event into the open exchange; an END gives the finished row."""
-    kind = row["event_type"]
-    now["seen"] += 1
-    if kind.endswith("_BODY"):
-        if now["started"]:
-            now["parts"][kind == "RESPONSE_BODY"] += 1
-        else:
-            now["body_first"] = True
-        return None
-    if kind != "END":
-        now["started"] = True
-        if kind == "CLIENT_REQUEST":
-            now["request"] = [row["start_line"], row["client_ip"]]
-        return None
-    status = int(row["status"])
-    outcome = "ORPHAN_END" if not now["started"] else "NO_CLIENT_REQUEST" if now["request"] is None else "COMPLETE" if status > 0 else "NO_STATUS"
-    line, ip = now["request"] or (None, None)
-    made = {"generation": now["generation"], "outcome": outcome, "status": status, "start_line": line, "client_ip": ip, "route_id": row["route_id"]}
-    return made | {c: int(row[c]) for c in _NUMBERS} | {"request_fragments": now["parts"][0], "response_fragments": now["parts"][1]}
-
-
-def reassemble_stream(events: DataFrame, timeout: str = "10 minutes", watermark: str = "1 minute") -> DataFrame:
-    """One row per exchange as its END arrives; what stays open for `timeout` ends as IN_FLIGHT.
-
-    State per id is the open exchange's counters and request line, never its bodies.
-    """
-    prepare(events.sparkSession)
-    limit_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    route = F.get(F.transform(F.filter("attributes", lambda a: a["name"] == "gateway.route.id"), lambda a: a["value"]), F.lit(0))
-    # numbers that only END has are 0 elsewhere: with NULLs pandas would turn them into floats
-    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("status", *_NUMBERS)]
-    # milliseconds beside the time itself, which pandas would show in the session's time zone
-    slim = events.select(
-        "req_id", "seq", "event_type", "event_time", F.unix_millis("event_time").alias("at_ms"), "start_line", "client_ip", *numbers, route.alias("route_id")
-    ).withWatermark("event_time", watermark)
-    columns = [c.split(" ")[0] for c in EXCHANGE_ROW.split(", ")]
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else _fresh(0)
-        if state.hasTimedOut:
-            state.remove()
-            row = dict.fromkeys(columns) | {"req_id": key[0], "generation": now["generation"], "outcome": "IN_FLIGHT", "request_fragments": now["parts"][0], "response_fragments": now["parts"][1]}
-            yield pd.DataFrame([row], columns=columns)
-            return
-        out, last = [], None
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for row in rows.to_dict("records"):
-            last = max(int(row["at_ms"]), last or 0)
-            if (done := _advance(now, row)) is not None:
-                out.append({"req_id": key[0], **done})
-                now = _fresh(now["generation"] + 1)
-        if now["seen"]:
-            state.update((json.dumps(now),))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + limit_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=columns)
-
-    return slim.groupBy("req_id").applyInPandasWithState(run, EXCHANGE_ROW, "open string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def stream_metrics(exchanges: DataFrame, interval: str = "1 second", watermark: str = "10 seconds", at: str = "ts") -> DataFrame:
     """Counts, class counts, byte and duration sums per route and tumbling tick."""
     s = F.col("status")
