@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import segments
+
 KINDS = (("success", 2), ("client_error", 4), ("server_error", 5))
 
 
@@ -65,12 +67,14 @@ def resume_sparkline(old: DataFrame, new: DataFrame, capacity: int, by: Sequence
     return both.select(*by, F.lit(capacity).alias("capacity"), *[c.alias(n) for n, c in kept.items()])
 
 
-def streaks(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
-    """df with `streak`: how many rows in a row, up to this one, have had this flag."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    changed = df.withColumn("_new", F.coalesce((F.col(flag) != F.lag(flag).over(w)).cast("int"), F.lit(1)))
-    grouped = changed.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.withColumn("streak", F.row_number().over(Window.partitionBy(*by, "_run").orderBy(*order))).drop("_new", "_run")
+def streaks(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: str, bucket: Column | None = None) -> DataFrame:
+    """df with `streak`: how many rows in a row, up to this one, have had this flag.
+
+    Rows are cut at buckets of the order (hours of its first column, a time, unless another is given), so a key's
+    history is spread over tasks.
+    """
+    found = segments.runs(df, by, order, flag, segments.hours(order[0]) if bucket is None else bucket)
+    return found.select(*df.columns, "streak")
 
 
 def order_segments(segments: DataFrame) -> DataFrame:

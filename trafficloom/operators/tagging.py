@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import prepare
-from .series import streaks
+from . import segments
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,11 @@ class Allowance:
     def expiry_ns(self) -> int:
         return self.ttl_ns if self.ttl_ns is not None else max(10 * self.period_ns, 30_000_000_000)
 
+    @property
+    def pause_ns(self) -> int:
+        """After such a pause the bucket is full, whatever it held."""
+        return min(self.expiry_ns + 1, -(-self.capacity * self.period_ns // self.refill))
+
     def take(self, state: tuple[int, int] | None, at: int) -> tuple[tuple[int, int], bool, int, int]:
         """(new state, allowed, remaining tokens, seconds to wait or 0). Tokens count in units of 1/period_ns."""
         full = self.capacity * self.period_ns
@@ -75,9 +80,15 @@ class Breaker:
                 self.state, self.opened = "OPEN", at
 
 
-def _fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, schema: str) -> DataFrame:
+def _same(a: tuple, b: tuple) -> bool:
+    return a == b or all(x == y or (x != x and y != y) for x, y in zip(a, b))  # pandas shows nulls among numbers as NaN
+
+
+def _fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, schema: str, shown: int | None = None) -> DataFrame:
     """Run `start()(row values) -> output or None` over each key's rows in order; state outlives batches.
 
+    The first `shown` keys (all, unless given) come before what a step gives.
+
     Rows of a key are in one partition, sorted; batches stream through, so a hot key costs time, never
     memory.
     """
@@ -88,11 +99,11 @@ def _fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, sch
             out = []
             n = len(keys)
             for row in pdf.itertuples(index=False, name=None):
-                if row[:n] != key or step is None:
+                if step is None or not _same(row[:n], key):
                     key, step = row[:n], start()
                 made = step(*row[n:])
                 if made is not None:
-                    out.append((*key, *made))
+                    out.append((*key[:shown], *made))
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in schema.split(", ")])
 
     prepare(df.sparkSession)
@@ -102,8 +113,16 @@ def _fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, sch
 THROTTLE_SCHEMA = "route_id string, key string, id bigint, allowed boolean, remaining bigint, retry_after bigint, limit bigint"
 
 
-def throttle_tag(df: DataFrame, allowance: Allowance, key: Column | str = "client_ip", route: str = "route_id", at: str = "client_start_ns", id_: str = "event_id") -> DataFrame:
-    """(route_id, key, id, allowed, remaining, retry_after, limit) for each row; join on the id for more."""
+HOT_ROWS = 200_000  # rows of a key above which its history is cut into pieces
+
+
+def throttle_tag(df: DataFrame, allowance: Allowance, key: Column | str = "client_ip", route: str = "route_id", at: str = "client_start_ns", id_: str = "event_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(route_id, key, id, allowed, remaining, retry_after, limit) for each row; join on the id for more.
+
+    A pause that fills the bucket, or outlives it, makes what follows independent of what came before. Where a
+    count shows keys of more than hot_rows rows, these are cut at such pauses, and the pieces run apart; the
+    result is the same. A key that never pauses stays one piece, whose rows stream through one task.
+    """
     rows = df.select(F.col(route).alias("route_id"), (F.col(key) if isinstance(key, str) else key).alias("key"), F.col(at).alias("at"), F.col(id_).alias("id"))
 
     def start():
@@ -116,7 +135,15 @@ def throttle_tag(df: DataFrame, allowance: Allowance, key: Column | str = "clien
 
         return step
 
-    return _fold(rows, ["route_id", "key"], ["at", "id"], start, THROTTLE_SCHEMA)
+    keys, order = ["route_id", "key"], ["at", "id"]
+    busy = rows.groupBy(*keys).count().where(F.col("count") > hot_rows)
+    if busy.isEmpty():
+        return _fold(rows, keys, order, start, THROTTLE_SCHEMA)
+    rows = rows.join(busy.select(F.struct(*keys).alias("_hot")), F.struct(*keys) == F.col("_hot"), "left")
+    hot = segments.pieces(rows.where("_hot is not null").drop("_hot"), keys, "at", allowance.pause_ns, segments.hours("at", ns=True))
+    calm = rows.where("_hot is null").drop("_hot").withColumn("_piece", F.lit(None).cast(hot.schema["_piece"].dataType))
+    pieces = hot.unionByName(calm).select(*keys, "_piece.bucket", "_piece.number", *order)
+    return _fold(pieces, [*keys, "bucket", "number"], order, start, THROTTLE_SCHEMA, shown=2)
 
 
 OUTAGE_SCHEMA = "route_id string, id bigint, state string, rejected boolean"
@@ -145,29 +172,33 @@ def outage_state(df: DataFrame, failure_threshold: int, cooldown_ns: int, route:
     return _fold(outage_events(df, route, id_), ["route_id"], ["at", "is_start", "id"], start, OUTAGE_SCHEMA)
 
 
-def target_health(probes: DataFrame, rise: int = 2, fall: int = 2, overrides: Mapping[str, str] | None = None, by: str = "target", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """probes with streak and state UP or DOWN after each; targets start UP; FORCE_UP / FORCE_DOWN override."""
-    runs = streaks(probes, [by], list(order), "ok")
-    changed = F.when(F.col("ok") & (F.col("streak") >= rise), "UP").when(~F.col("ok") & (F.col("streak") >= fall), "DOWN")
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    state = F.coalesce(F.last(changed, ignorenulls=True).over(w), F.lit("UP"))
+def target_health(probes: DataFrame, rise: int = 2, fall: int = 2, overrides: Mapping[str, str] | None = None, by: str = "target", order: tuple[str, ...] = ("ts", "event_id"), bucket: Column | None = None) -> DataFrame:
+    """probes with streak, state (UP or DOWN after each) and was (the state before, null for a target's first).
+
+    Targets start UP; FORCE_UP / FORCE_DOWN override. A target's history is cut at buckets of time (hours unless
+    another is given), so it is no single task.
+    """
+    found = segments.runs(probes, [by], order, "ok", segments.hours(order[0]) if bucket is None else bucket, rise, fall)
+    named = lambda c: F.when(F.col(c), "UP").when(~F.col(c), "DOWN").otherwise("UP")
+    state, was = named("state"), named("was")
     for target, how in (overrides or {}).items():
         if how in ("FORCE_UP", "FORCE_DOWN"):
-            state = F.when(F.col(by) == target, how.removeprefix("FORCE_")).otherwise(state)
-    return runs.withColumn("state", state)
+            state, was = (F.when(F.col(by) == target, how.removeprefix("FORCE_")).otherwise(x) for x in (state, was))
+    return found.withColumns({"state": state, "was": F.when(~F.col("_head"), was)}).drop("_head")
 
 
-def health_transitions(health: DataFrame, by: str = "target", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Rows where the state differs from the one before (UP before the first)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return health.withColumn("_was", F.coalesce(F.lag("state").over(w), F.lit("UP"))).where("state <> _was").drop("_was")
+def health_transitions(health: DataFrame) -> DataFrame:
+    """Rows of target_health where the state differs from the one before (UP before the first)."""
+    return health.where(F.col("state") != F.coalesce("was", F.lit("UP")))
 
 
 def health_intervals(health: DataFrame, by: str = "target", at: str = "ts", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """(target, state, from_ts, to_ts) from the first observation on; the last interval is open."""
-    w = Window.partitionBy(by).orderBy(*order)
-    cuts = health.withColumn("_was", F.lag("state").over(w)).where("_was is null or state <> _was")
-    return cuts.select(by, "state", F.col(at).alias("from_ts"), F.lead(at).over(w).alias("to_ts"))
+    """(target, state, from_ts, to_ts) from the first observation on; the last interval is open.
+
+    Only the rows that change a state are brought together by target.
+    """
+    cuts = health.where("was is null or state <> was")
+    return cuts.select(by, "state", F.col(at).alias("from_ts"), F.lead(at).over(Window.partitionBy(by).orderBy(*order)).alias("to_ts"))
 
 
 def route_availability(intervals: DataFrame, route: str = "route_id") -> DataFrame:
