@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import batches, prepare, record_batch, vocabulary_file
+from .common import append_in_arrow, batches, prepare, record_batch, vocabulary_file
 from .units import PRE_TOKEN, SPECIAL, UnitMemo
 
 NONE = np.int32(2**31 - 1)  # rank of what can't be merged
@@ -225,38 +225,32 @@ def tokenizer(path: str | None = None) -> SegmentTreeTokenizer:
     return SegmentTreeTokenizer(path)
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
-
-
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """df with a column of token ids (array<int>); null and empty texts get an empty array."""
     prepare(df.sparkSession)
-    at, keep = df.columns.index(text), [c for c in df.columns if c != ids]
+    at = df.columns.index(text)
 
     def run(it):
         own = tokenizer(path)
         for part, texts in batches(it, at):
             got = own.encode(texts)
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*keep, ids])
+            yield part, [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32)))]
 
-    return df.mapInArrow(run, _with_column(df, ids, T.ArrayType(T.IntegerType())))
+    return append_in_arrow(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], run)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "text", path: str | None = None) -> DataFrame:
     """df with the text that its ids spell; a null list gives an empty text."""
     prepare(df.sparkSession)
-    at, keep = df.columns.index(ids), [c for c in df.columns if c != text]
+    at = df.columns.index(ids)
 
     def run(it):
         own = tokenizer(path)
         for batch in it:
-            texts = [own.decode(np.array(x or [], dtype="<u4").tobytes()) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, text])
+            yield batch, [pa.array([own.decode(np.array(x or [], dtype="<u4").tobytes()) for x in batch.column(at).to_pylist()], pa.string())]
 
-    return df.mapInArrow(run, _with_column(df, text, T.StringType()))
+    return append_in_arrow(df, [T.StructField(text, T.StringType())], run)
 
 
 def encode_checked(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -265,8 +259,6 @@ def encode_checked(df: DataFrame, text: str = "text", path: str | None = None) -
     Columns of these names are replaced; null texts count as empty.
     """
     prepare(df.sparkSession)
-    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    keep = [c for c in df.columns if c not in made.names]
     at = df.columns.index(text)
 
     def run(it):
@@ -276,10 +268,10 @@ def encode_checked(df: DataFrame, text: str = "text", path: str | None = None) -
             sizes = np.fromiter((len(x) // 4 for x in got), np.int64, len(got))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32)))
-            same = pa.array([own.decode(x) == t for x, t in zip(got, texts)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(sizes), same, ids], names=[*keep, *made.names])
+            yield part, [pa.array(sizes), pa.array([own.decode(x) == t for x, t in zip(got, texts)], pa.bool_()), ids]
 
-    return df.mapInArrow(run, T.StructType([*(f for f in df.schema.fields if f.name in keep), *made.fields]))
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    return append_in_arrow(df, made, run)
 
 
 ROUND_TRIP = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

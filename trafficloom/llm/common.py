@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import scratch
 from ..workers import prepare as prepare_workers
@@ -83,6 +86,30 @@ def byte_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def quoted(names: list[str]) -> list[F.Column]:
+    """Columns of these names, dots and backticks and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def by_position(df: DataFrame) -> DataFrame:
+    """df with its columns named by position: names with dots don't pass mapInArrow. Give them back by toDF."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def append_in_arrow(df: DataFrame, made: list[T.StructField], compute: Callable[[Iterator], Iterator]) -> DataFrame:
+    """df with the columns `made`, for which compute(batches) yields (batch, arrays); it replaces columns of these names."""
+    names = [f.name for f in made]
+    keep = [k for k, c in enumerate(df.columns) if c not in names]
+    plain = by_position(df)
+
+    def run(it):
+        for part, arrays in compute(it):
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *arrays], names=[*(f"c{k}" for k in keep), *names])
+
+    found = plain.mapInArrow(run, T.StructType([*(plain.schema.fields[k] for k in keep), *made]))
+    return found.toDF(*[df.columns[k] for k in keep], *names)
+
+
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import batches, materialise, prepare, record_batch
 
 TOP = 25  # common words of a language
+MIN_SHARE = 0.01  # of all different texts that a reference language has
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "sign", "beyond ASCII")
 SIGNS = b"#*$%&|<>"
 
@@ -105,13 +106,17 @@ FEATURES_SQL = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in BAS
 FEATURES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in BASE), *((c, pa.list_(pa.int64())) for c in LISTS)])
 
 
-def reference_languages(documents: DataFrame, min_documents: int, max_languages: int) -> list[str]:
-    """Languages with enough documents, by name."""
-    sizes = documents.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
-    found = sorted(r.lang for r in sizes.select("lang").limit(max_languages + 1).collect())
-    if len(found) > max_languages:
-        raise ValueError(f"more than {max_languages} languages have {min_documents} documents")
-    return found
+def reference_languages(documents: DataFrame, min_documents: int, max_languages: int, min_share: float = MIN_SHARE) -> list[str]:
+    """Languages by name that have enough different texts: at least min_documents, and min_share of all different texts.
+
+    Copies count once, so a text that is repeated doesn't vouch for itself. Of more than max_languages those with most
+    different texts are taken.
+    """
+    texts = documents.groupBy("lang", F.xxhash64("text").alias("text")).agg(F.lit(1).alias("one"))
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(float(min_documents)), min_share * F.col("whole"))
+    enough = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("whole")))).where(F.col("lang").isNotNull() & (F.col("n") >= least))  # one row
+    return sorted(r.lang for r in enough.orderBy(F.desc("n"), "lang").limit(max_languages).collect())
 
 
 def common_words(documents: DataFrame, langs: list[str]) -> list[bytes]:

@@ -162,13 +162,14 @@ class LanguageModel:
 def learn(training: DataFrame, per_language: int = 1000, max_languages: int = 200) -> LanguageModel | None:
     """A model from rows with text and lang; None if there is no usable row.
 
-    The model has 65,536 numbers for each language, on the driver and in every worker, so more than
-    `max_languages` different values of lang are an error.
+    The model has 65,536 numbers for each language, on the driver and in every worker, so it knows the
+    `max_languages` values of lang that have most documents (of equal ones the first by name); texts of all
+    others are labelled as the known language that they are nearest to.
     """
     prepare(training.sparkSession)
     rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    if rows.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    rows = rows.where(F.col("lang").isin([r.lang for r in sizes.collect()]))
     chosen = hash_sample(rows.select("doc_id", "lang"), "lang", per_language).select("doc_id").distinct()
     sample = join_ids(rows.select("doc_id", "text", "lang"), chosen, "left_semi").select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])

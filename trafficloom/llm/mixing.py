@@ -26,6 +26,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 DEFAULT_LEVELS = ("domain", "lang", "source")
 DEFAULT_WEIGHTS: dict[str, dict[str, float]] = {
     "domain": {"web": 0.4, "forum": 0.2, "books": 0.2, "reference": 0.2},
@@ -90,7 +92,7 @@ def _drawn(
     """row (a struct of the drawn row's columns), n_tokens, epoch. The levels' columns come from `documents`."""
     spark, places = documents.sparkSession, [f"l{k}" for k in range(len(levels))]
     # The row travels as one struct, so that no column of it can clash with those of the plan.
-    row, node = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), [c.alias(p) for p, c in zip(places, levels.values())]
+    row, node = F.struct(*quoted(documents.columns)).alias("row"), [c.alias(p) for p, c in zip(places, levels.values())]
     docs = documents.select(row, *node, count_tokens(F.col("text")).alias("n_tokens"))
     sums = docs.groupBy(*places).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).limit(max_leaves + 1).collect()
     if len(sums) > max_leaves:

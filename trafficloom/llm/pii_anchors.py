@@ -29,9 +29,8 @@ from itertools import accumulate
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from .common import batches, prepare, record_batch
+from .common import batches, by_position, prepare, record_batch
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account", "secret")
@@ -335,6 +334,7 @@ def redact(df: DataFrame) -> DataFrame:
             if sizes is not None:
                 i = names.index("n_chars")
                 cols[i] = pa.array([old if t is None else len(t) for t, old in zip(new, cols[i].to_pylist())], cols[i].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
-    return df.mapInArrow(run, T.StructType(df.schema.fields))
+    plain = by_position(df)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

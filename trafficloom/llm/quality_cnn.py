@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, hash_sample, prepare, record_batch, split_residue
+from .common import append_in_arrow, batches, by_position, hash_sample, prepare, record_batch, split_residue
 
 CHUNK, HOP = 512, 448
 WIDTH, STRIDE = 8, 4
@@ -127,16 +127,14 @@ def _scored(df: DataFrame, net: ByteConvNet | None, name: str = "score") -> Data
     spark = df.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(net)  # a few thousand numbers
-    at, keep = df.columns.index("text"), [c for c in df.columns if c != name]
+    at = df.columns.index("text")
 
     def run(it):
         own = shared.value
         for part, texts in batches(it, at, 2_000_000):
-            got = own.score(texts) if own else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got)], names=[*keep, name])
+            yield part, [pa.array(own.score(texts) if own else np.full(len(texts), 0.5))]
 
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, T.DoubleType())])
-    return df.mapInArrow(run, schema)
+    return append_in_arrow(df, [T.StructField(name, T.DoubleType())], run)
 
 
 def score(documents: DataFrame, net: ByteConvNet | None) -> DataFrame:
@@ -164,4 +162,5 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -
         for part, texts in batches(it, at, 2_000_000):
             yield part.filter(pa.array(own.score(texts) >= threshold)) if own else part
 
-    return documents.mapInArrow(run, documents.schema)
+    plain = by_position(documents)
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, join_ids, materialise, prepare, record_batch
+from .common import batches, join_ids, materialise, prepare, quoted, record_batch
 from .components import components
 from .differences import FEW, candidates, pairs_of_few
 
@@ -492,7 +492,7 @@ def keep_one(documents: DataFrame, like: Likeness = Likeness()) -> DataFrame:  #
     kept = join_ids(documents, materialise(gone, "linked-away"), "left_anti")
     repeated = materialise(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     if not repeated.limit(1).count():
-        return kept.select(*documents.columns)
+        return kept.select(*quoted(documents.columns))
     once = join_ids(kept, repeated, "left_anti")
     again = join_ids(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).select(*documents.columns)
+    return once.select(*quoted(documents.columns)).union(again.select(*quoted(documents.columns)))
