@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trafficloom.functions import crc as C
 from trafficloom.functions import exchange as X
 from trafficloom.functions import headers as H
 from trafficloom.functions import predicates as P
@@ -52,8 +53,31 @@ def test_interleaved_exchanges(spark):
     assert e.count() == 400 and e.where("size(request_body) = 4 and status = 201").count() == 400
 
 
+def plain_crc32c(raw):
+    crc = 0xFFFFFFFF
+    for byte in raw:
+        crc ^= byte
+        for _ in range(8):
+            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+    return crc ^ 0xFFFFFFFF
+
+
+def test_crc32c_of_parts(spark):
+    """Sums of concatenations from the parts' sums, of any lengths, with nulls, against one pass over the whole."""
+    g = random.Random(6)
+    rows = [[], [b""], [b"12345", b"6789"], [b"1", b"", b"23456789"], [None, b"123456789"], None, [b"\0" * 700, b"\0"], [g.randbytes(5000), g.randbytes(1), g.randbytes(513)]]
+    rows += [[g.randbytes(g.choice([0, 1, 15, 16, 17, 300])) for _ in range(g.randrange(6))] for _ in range(60)]
+    df = spark.createDataFrame([(i, parts) for i, parts in enumerate(rows)], "i int, parts array<binary>").repartition(3)
+    got = {r.i: r.c for r in df.select("i", C.crc32c_of_parts("parts").alias("c")).collect()}
+    assert got == {i: None if parts is None else plain_crc32c(b"".join(x or b"" for x in parts)) for i, parts in enumerate(rows)}
+    assert got[2] == got[3] == got[4] == 0xE3069283 and got[0] == 0
+    whole = df.where("parts is not null").select("i", C.crc32c(assemble.joined("parts")).alias("c")).collect()
+    assert {r.i: r.c for r in whole} == {i: c for i, c in got.items() if c is not None}
+    assert df.where("i < 0").select(C.crc32c_of_parts("parts")).collect() == []
+
+
 def test_crc32c(spark):
-    got = spark.createDataFrame([(b"123456789",), (b"",), (None,)], "d binary").select(assemble.crc32c("d").alias("c")).collect()
+    got = spark.createDataFrame([(b"123456789",), (b"",), (None,)], "d binary").select(C.crc32c("d").alias("c")).collect()
     assert [r.c for r in got] == [0xE3069283, 0, None]
 
 

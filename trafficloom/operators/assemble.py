@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.crc import crc32c_of_parts
 from ..schema import END_COLUMNS
 from ..workers import prepare
 
@@ -96,34 +95,6 @@ def dedupe_events(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["req_id", "seq"])
 
 
-def crc32c_table() -> list[int]:
-    """Remainders of all bytes for the Castagnoli polynomial, reflected."""
-    table = []
-    for byte in range(256):
-        for _ in range(8):
-            byte = byte >> 1 ^ (0x82F63B78 if byte & 1 else 0)
-        table.append(byte)
-    return table
-
-
-_CRC32C = crc32c_table()
-
-
-@F.pandas_udf(T.LongType())
-def crc32c(data: pd.Series) -> pd.Series:
-    """CRC-32C of binary values; Spark itself has CRC-32 only."""
-
-    def one(raw: bytes | None) -> int | None:
-        if raw is None:
-            return None
-        crc = 0xFFFFFFFF
-        for b in raw:
-            crc = _CRC32C[(crc ^ b) & 0xFF] ^ crc >> 8
-        return crc ^ 0xFFFFFFFF
-
-    return data.map(one)
-
-
 def joined(parts: str) -> Column:
     """The binary values of an array, one after the other, in time that follows their length."""
     return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
@@ -137,8 +108,7 @@ def body_integrity(exchanges: DataFrame, algo: str = "crc32") -> DataFrame:
     prepare(exchanges.sparkSession)
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_body").alias("parts"), F.col(f"{s}_body_bytes").alias("declared"), F.col(f"{s}_crc").alias("crc")) for s in ("request", "response")])).alias("s")
     each = exchanges.select("req_id", sides).select("req_id", "s.*")
-    each = each.withColumn("whole", joined("parts")).withColumn("captured", F.length("whole").cast("bigint"))
-    checksum = F.crc32("whole") if algo == "crc32" else crc32c("whole")
-    each = each.withColumn("checksum", checksum)
+    captured = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, part: n + F.coalesce(F.octet_length(part), F.lit(0)))
+    each = each.withColumn("captured", captured).withColumn("checksum", F.crc32(joined("parts")) if algo == "crc32" else crc32c_of_parts("parts"))
     verdict = F.when(F.size("parts") == 0, F.when(F.col("declared") == 0, "OK").otherwise("NOT_CAPTURED")).when(F.col("captured") != F.col("declared"), "LENGTH").when(F.col("checksum") != F.col("crc"), "CHECKSUM").otherwise("OK")
     return each.select("req_id", "side", "captured", "declared", verdict.alias("verdict"))

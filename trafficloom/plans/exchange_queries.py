@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import crc as C
 from ..functions import headers as H
 from ..operators import assemble, joins, metrics, policy, series, tagging
 from ..schema import EVENT_SCHEMA
@@ -205,6 +206,18 @@ def b06_body_integrity_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.body_integrity(exchanges(spark, sf_dir), "crc32c")
 
 
+CRC32C_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(body) + 1), lambda i: ascii(body[i])::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 2197175160) ELSE x >> 1 END)), 4294967295)"""
+
+
+@query(with_(JOURNAL_SQL, f""", b AS (SELECT req_id, 'request' AS side, coalesce({BODY_SQL}, '') AS body FROM x UNION ALL SELECT req_id, 'response', 'RESPONSE_BODY:' || event_id || ':5' FROM x)
+  SELECT req_id, side, CAST({CRC32C_SQL} AS BIGINT) AS crc FROM b"""))
+def b06_crc32c_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checksum of each side's whole body, put together from its fragments' sums."""
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_body").alias("parts")) for s in ("request", "response")])).alias("s")
+    return exchanges(spark, sf_dir).select("req_id", sides).select("req_id", "s.side", C.crc32c_of_parts("s.parts").alias("crc"))
+
+
 def _stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RS.reassemble_stream(journal_of(traffic_of(event_stream(spark, sf_dir))))
 
@@ -559,6 +572,23 @@ def f11_latency_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("route_id", "requests", *within)
 
 
+@query(with_(TRAFFIC_SQL, f"""SELECT route_id, client_start_ns // {7 * DAY_NS} AS week, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors, CAST(sum(duration_ns) AS BIGINT) AS duration_ns_sum, max(duration_ns) AS max_ns,
+  true AS p50_within, true AS p99_within FROM t GROUP BY ALL"""))
+def f11_merged_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly rollups of two halves of the traffic, stored with their sketches and merged to weeks; percentiles are within 1 % of their rank."""
+    t, path = traffic(spark, sf_dir), scratch(spark, "latency-ticks")
+    for half in (0, 1):
+        metrics.latency_ticks(t.where(F.col("event_id") % 2 == half), 3600).write.mode("append").parquet(path)
+    week = F.expr("tick div 168").alias("week")
+    found = metrics.latency_quantiles(metrics.merge_latency(spark.read.parquet(path), ["route_id", week]))
+    each = t.select("route_id", F.expr(f"client_start_ns div {7 * DAY_NS}").alias("week"), F.col("duration_ns").alias("latency"))
+    ranks = [F.count_if(c).alias(n) for p in ("p50", "p99") for n, c in ((f"{p}_below", F.expr(f"latency < {p}_ns")), (f"{p}_upto", F.expr(f"latency <= {p}_ns")))]
+    ranked = each.join(found, ["route_id", "week"]).groupBy("route_id", "week", "requests", "errors", "duration_ns_sum", "max_ns").agg(*ranks)
+    slack = F.col("requests") / 100 + 1
+    within = [((F.col(f"{p}_below") <= F.col("requests") * q + slack) & (F.col(f"{p}_upto") >= F.col("requests") * q - slack)).alias(f"{p}_within") for p, q in (("p50", 0.5), ("p99", 0.99))]
+    return ranked.select("route_id", "week", "requests", "errors", "duration_ns_sum", "max_ns", *within)
+
+
 LAST_TICK = f"(SELECT max(client_start_ns // {DAY_NS}) FROM t)"
 TICKS_SQL = TRAFFIC_SQL + f""", tk AS (SELECT route_id, client_start_ns // {DAY_NS} AS tick, count(*) FILTER (WHERE status // 100 = 2) AS success, count(*) FILTER (WHERE status // 100 = 4) AS client_error, count(*) FILTER (WHERE status // 100 = 5) AS server_error FROM t GROUP BY ALL),
 sp AS (SELECT route_id, tick FROM (SELECT DISTINCT route_id FROM t), range(0, 30) r(i), (SELECT {LAST_TICK} - 29 AS lo), LATERAL (SELECT lo + i AS tick)), sk AS (SELECT route_id, tick, CAST(coalesce(success, 0) AS INTEGER) AS success, CAST(coalesce(client_error, 0) AS INTEGER) AS client_error, CAST(coalesce(server_error, 0) AS INTEGER) AS server_error FROM sp LEFT JOIN tk USING (route_id, tick))"""
