@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trafficloom.operators import segments, series, tagging
+from trafficloom.operators import joins, segments, series, tagging
 
 PROBES = "target string, ts timestamp_ntz, event_id bigint, ok boolean, streak_of string"
 
@@ -89,3 +89,29 @@ def test_a_hot_key_becomes_several_pieces(spark):
     assert sorted(r["count"] for r in cut.groupBy("_piece").count().collect()) == [20] * 40
     apart = segments.pieces(df, ["route_id", "key"], "at", 10**15, segments.hours("at", ns=True))
     assert [r["count"] for r in apart.groupBy("_piece").count().collect()] == [800]
+
+
+@pytest.mark.parametrize("size", [3600, 50, 10**9])
+def test_versions_and_health_on_one_timeline(spark, size):
+    """As-of versions and targets up at a time, by trying every change, with ties, nulls and open intervals."""
+    g = random.Random(size)
+    moment = lambda: g.choice([None, *range(0, 20_000, 250)])
+    requests = [(i, moment(), g.choice(["a", "b", None]), g.choice(["spare", None]), "clash") for i in range(300)]
+    versions = [(f"v{k}", g.randrange(0, 20_000, 250)) for k in range(30)]
+    spans = []
+    for _ in range(60):
+        a = g.randrange(0, 20_000, 250)
+        spans.append((g.choice(["a", "b"]), g.choice("xyz"), g.choice(["UP", "UP", "DOWN"]), a, g.choice([None, a, a + 250, a + g.randrange(0, 9000, 250)])))
+    time = lambda c: F.timestamp_seconds(c).alias(c)
+    asked = spark.createDataFrame(requests, "id int, ts bigint, route_id string, fallback_route_id string, _version string").select("id", time("ts"), "route_id", "fallback_route_id", "_version")
+    reloads = spark.createDataFrame(versions, "version string, valid_from bigint").select("version", time("valid_from"))
+    intervals = spark.createDataFrame(spans, "route_id string, target string, state string, from_ts bigint, to_ts bigint").select("route_id", "target", "state", time("from_ts"), time("to_ts"))
+    bucket = F.floor(F.unix_seconds("_at") / size)
+    found = joins.config_as_of(asked, reloads, bucket=bucket)
+    assert found.columns == [*asked.columns, "version"]
+    active = {i: max(((b, v) for v, b in versions if t is not None and b <= t), default=(0, None))[1] for i, t, *_ in requests}
+    assert {r.id: r.version for r in found.collect()} == active
+    up = {i: sum(route == r and s == "UP" and t is not None and a <= t and (b is None or t < b) for r, _, s, a, b in spans) for i, t, route, *_ in requests}
+    got = joins.availability_join(asked, intervals, bucket=bucket).collect()
+    assert {r.id: r.healthy for r in got} == up and len(got) == 300
+    assert all(r.outcome == ("PROXY" if r.healthy else "FALLBACK" if r.fallback_route_id else "503") for r in got)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import condition, ipv4_number, ipv6_groups
+from . import segments
 
 #: Rule or network tables up to this many rows may be broadcast; larger ones are joined by shuffling.
 SMALL = 100_000
@@ -117,36 +118,31 @@ def resolve_level(exchanges: DataFrame, policy: DataFrame) -> DataFrame:
     return out
 
 
-def config_as_of(requests: DataFrame, versions: DataFrame, at: str = "ts") -> DataFrame:
+def config_as_of(requests: DataFrame, versions: DataFrame, at: str = "ts", bucket: Column | None = None) -> DataFrame:
     """requests with the config version active at `at` (NULL before the first one).
 
-    Versions are day-bucketed and carried forward, so the join is by equality on the day; within a day
-    the last start not after the request wins.
+    Requests and reloads stand on one timeline, cut at buckets of time (hours unless another is given, of the column
+    _at); each bucket hands its last version to the next. At equal times reloads come first, of several the greatest.
     """
-    starts = versions.select("version", "valid_from").distinct()
-    order = Window.orderBy("valid_from", "version")  # one row per reload
-    spans = starts.select("version", F.col("valid_from").alias("_from"), F.lead("valid_from").over(order).alias("_to"))
-    span_of = requests.agg(F.max(F.to_date(at)).alias("last"))
-    days = spans.crossJoin(F.broadcast(span_of)).withColumn("_day", F.explode(F.expr("case when to_date(_from) <= coalesce(to_date(_to), last) then sequence(to_date(_from), coalesce(to_date(_to), last)) end"))).drop("last")
-    keyed = requests.withColumn("_day", F.to_date(at)).alias("r")
-    hit = (F.col(f"r.{at}") >= F.col("d._from")) & (F.col("d._to").isNull() | (F.col(f"r.{at}") < F.col("d._to")))
-    return keyed.join(small(days).alias("d"), (F.col("r._day") == F.col("d._day")) & hit, "left").select("r.*", "d.version").drop("_day")
+    starts = versions.select(F.lit(None).cast(requests.schema).alias("_row"), F.col("valid_from").alias("_at"), F.lit(0).alias("_kind"), F.col("version").alias("_version"))
+    asked = requests.select(F.struct("*").alias("_row"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(versions.schema["version"].dataType).alias("_version"))
+    line = segments.latest(asked.union(starts), [], ["_at", "_kind", "_version"], "_version", segments.hours("_at") if bucket is None else bucket, "_active")
+    return line.where("_kind = 1").select("_row.*", F.col("_active").alias("version"))
 
 
-def availability_join(requests: DataFrame, intervals: DataFrame, at: str = "ts", route: str = "route_id") -> DataFrame:
+def availability_join(requests: DataFrame, intervals: DataFrame, at: str = "ts", route: str = "route_id", bucket: Column | None = None) -> DataFrame:
     """requests with healthy: how many targets of the route are up at that time, and outcome.
 
-    `intervals`: route, target, state, from_ts, to_ts (NULL: open). Intervals are cut at hours, so the
-    join is by equality on (route, hour); it is made once for each distinct route and time. outcome: PROXY, FALLBACK (fallback_route_id is set) or 503.
+    `intervals`: route, target, state, from_ts, to_ts (NULL: open). A route's requests and the beginnings and ends of
+    its UP intervals stand on one timeline, cut at buckets of time (hours unless another is given, of the column _at);
+    each bucket hands the number of targets that are up to the next. outcome: PROXY, FALLBACK (fallback_route_id is
+    set) or 503.
     """
-    ends = requests.agg(F.max(at).alias("_last"))
-    up = intervals.where("state = 'UP'").crossJoin(F.broadcast(ends)).where(F.col("from_ts") <= F.col("_last"))
-    hour = lambda c: F.floor(F.unix_timestamp(c) / 3600)
-    cut = up.select(F.col(route).alias("_route"), "from_ts", "to_ts", F.explode(F.sequence(hour("from_ts"), hour(F.least(F.coalesce("to_ts", "_last"), "_last")))).alias("_hour"))
-    moments = requests.select(F.col(route).alias("_r"), F.col(at).alias("_at")).where("_r is not null and _at is not null").distinct().withColumn("_h", hour("_at"))
-    hit = (F.col("_route") == F.col("_r")) & (F.col("_hour") == F.col("_h")) & (F.col("_at") >= F.col("from_ts")) & (F.col("to_ts").isNull() | (F.col("_at") < F.col("to_ts")))
-    counts = moments.join(cut, hit).groupBy("_r", "_at").agg(F.count("*").alias("_n"))
-    out = requests.join(counts, (F.col(route) == F.col("_r")) & (F.col(at) == F.col("_at")), "left").withColumn("healthy", F.coalesce("_n", F.lit(0))).drop("_r", "_at", "_n")
+    up, none = intervals.where(F.col("state") == "UP").where(F.col(route).isNotNull()), F.lit(None).cast(requests.schema).alias("_row")
+    ends = [up.where(F.col(c).isNotNull()).select(none, F.col(route).alias("_route"), F.col(c).alias("_at"), F.lit(0).alias("_kind"), F.lit(n).alias("_step")) for c, n in (("from_ts", 1), ("to_ts", -1))]
+    asked = requests.select(F.struct("*").alias("_row"), F.col(route).alias("_route"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_step"))
+    line = segments.running_sum(asked.union(ends[0]).union(ends[1]), ["_route"], ["_at", "_kind"], "_step", segments.hours("_at") if bucket is None else bucket, "_up")
+    out = line.where("_kind = 1").select("_row.*", F.when(F.col("_at").isNull(), 0).otherwise(F.col("_up")).alias("healthy"))
     fallback = F.col("fallback_route_id").isNotNull() if "fallback_route_id" in requests.columns else F.lit(False)
     return out.withColumn("outcome", F.when(F.col("healthy") > 0, "PROXY").when(fallback, "FALLBACK").otherwise("503"))
 

@@ -94,3 +94,21 @@ def pieces(df: DataFrame, by: Sequence[str], at: str, gap: int, bucket: Column)
     rows = rows.join(summary, "_seg")
     here = F.struct(F.col("_seg.bucket").alias("bucket"), F.col("_cuts").alias("number"))
     return rows.withColumn("_piece", F.when(F.col("begins") | (F.col("_cuts") > 0), here).otherwise(F.col("_open"))).drop("_seg", "_cut", "_cuts", "begins", "_open")
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], step: str, bucket: Column, name: str) -> DataFrame:
+    """df with the sum of `step` over the key's rows up to each row."""
+    rows = _cut(df, by, bucket)
+    summary, v = _summary(rows, by, F.sum(step).alias("net"))
+    base = F.coalesce(F.sum("net").over(v.rowsBetween(*BEFORE)), F.lit(0))
+    within = F.sum(step).over(Window.partitionBy("_seg").orderBy(*order).rowsBetween(*SO_FAR))
+    return rows.join(summary.select("_seg", base.alias("_base")), "_seg").withColumn(name, F.col("_base") + within).drop("_seg", "_base")
+
+
+def latest(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, bucket: Column, name: str) -> DataFrame:
+    """df with the key's last value that isn't null, up to each row; nulls come first in the order."""
+    rows = _cut(df, by, bucket)
+    summary, v = _summary(rows, by, F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("last"))
+    before = F.last("last", ignorenulls=True).over(v.rowsBetween(*BEFORE))
+    within = F.last(value, ignorenulls=True).over(Window.partitionBy("_seg").orderBy(*order).rowsBetween(*SO_FAR))
+    return rows.join(summary.select("_seg", before.alias("_before")), "_seg").withColumn(name, F.coalesce(within, F.col("_before"))).drop("_seg", "_before")
