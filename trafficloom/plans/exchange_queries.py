@@ -9,6 +9,7 @@ from ..functions import crc as C
 from ..functions import headers as H
 from ..operators import assemble, joins, metrics, policy, series, tagging
 from ..schema import EVENT_SCHEMA
+from ..sources import growing
 from ..sources import journal as J
 from ..sources.scratch import scratch
 from ..streaming import batches as BT
@@ -63,6 +64,20 @@ def a02_tail_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
+@query(with_(JOURNAL_SQL, "SELECT event_type, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs, CAST(sum(len(coalesce(body, ''))) AS BIGINT) AS body_bytes, count(headers) FILTER (WHERE event_type LIKE '%REQUEST') AS with_headers FROM v GROUP BY event_type"))
+def a02_growing_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal as JSON lines in two deliveries, read by byte offsets; ranges of 1 MB."""
+    path, out, state = (scratch(spark, n) for n in ("segments", "segments-read", "segments-state"))
+    for part in range(2):
+        journal(spark, sf_dir).where(F.col("seq") % 2 == part).write.mode("append").json(path)
+        rows = growing.tail_growing_events(spark, path, suffix=".json", range_bytes=1 << 20)
+        S.poll(rows.where("_bad is null").select("event_type", "seq", "body", "headers").writeStream.option("path", out), state, None).awaitTermination()
+    requests = F.col("headers").isNotNull() & F.col("event_type").endswith("REQUEST")
+    return spark.read.parquet(out).groupBy("event_type").agg(
+        F.count("*").alias("n"), F.sum("seq").alias("seqs"), F.sum(F.coalesce(F.octet_length("body"), F.lit(0))).alias("body_bytes"), F.count_if(requests).alias("with_headers"),
+    )
+
+
 SEGMENTS_SQL = """sg AS (SELECT 'shard-' || (event_id % 4) || '-' || (epoch_ms(date_trunc('day', ts))) || '-0.seg' AS file_name, max(epoch_us(ts)) AS modified_us, count(*) * 100 AS size,
   count(*) * 100 - CASE WHEN (epoch_ms(date_trunc('day', ts)) // 86400000) % 3 = 0 THEN 1 ELSE 0 END AS read_bytes FROM events GROUP BY event_id % 4, date_trunc('day', ts))"""
 
