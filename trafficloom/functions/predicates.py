@@ -96,7 +96,8 @@ def predicate(name: str, **config) -> Column:
     return _leaf(name, config, name)
 
 
-def _leaf(name: str, config: Mapping, where: str) -> Column:
+def check_leaf(name: str, config: Mapping, where: str) -> Callable[..., Column]:
+    """The predicate's function; ValueError if its name or a property is unknown, or one is missing."""
     if name not in _REGISTRY:
         raise ValueError(f"{where}: unknown predicate {name!r}; known: {', '.join(sorted(_REGISTRY))}")
     fn, known = _REGISTRY[name]
@@ -104,7 +105,11 @@ def _leaf(name: str, config: Mapping, where: str) -> Column:
         raise ValueError(f"{where}: unknown property {sorted(unknown)} of {name}; known: {sorted(known)}")
     if missing := known - set(config):
         raise ValueError(f"{where}: {name} lacks {sorted(missing)}")
-    return fn(**config)
+    return fn
+
+
+def _leaf(name: str, config: Mapping, where: str) -> Column:
+    return check_leaf(name, config, where)(**config)
 
 
 def condition(spec: Spec | None, where: str = "condition") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crc as C
 from ..functions import headers as H
-from ..operators import assemble, joins, metrics, policy, series, tagging
+from ..operators import assemble, joins, metrics, policy, rulebook, series, tagging
 from ..schema import EVENT_SCHEMA
 from ..sources import growing
 from ..sources import journal as J
@@ -309,6 +309,38 @@ def e01_assign_route_reused_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.match_prefixes(requests, rules).select("event_id", "req_id", F.col("route_id").alias("route"))
 
 
+MIXED_RULES_SQL = TRAFFIC_SQL + """, rules AS (
+    SELECT row_number() OVER (ORDER BY d, u, route) AS ordinal, 'r-' || route || '-' || u || '-' || d AS name, u, route, d, (u + d) % 5 AS kind, '/' || route || '/' || u || '/' || d AS p
+    FROM (SELECT DISTINCT user_id AS u, route_id AS route FROM t), range(0, 7) AS digits(d))"""
+MIXED_RULE_HOLDS_SQL = """CASE kind
+    WHEN 0 THEN starts_with(path, p) AND method = 'GET'
+    WHEN 1 THEN starts_with(path, p) AND method <> 'OPTIONS' AND user_id % 4 <> 1
+    WHEN 2 THEN route_id = route AND user_id = u AND (starts_with(path, p || '1') OR starts_with(path, p || '2'))
+    WHEN 3 THEN method IN ('POST', 'PUT') AND (starts_with(path, p || '3') OR starts_with(path, p || '4'))
+    ELSE CASE WHEN u % 50 = 4 THEN regexp_full_match(path, p || '[5-9]?') ELSE starts_with(path, p) AND user_id % 4 = 2 END
+  END"""
+
+
+def _mixed_rule(route: str, u: int, d: int) -> object:
+    p, prefix = f"/{route}/{u}/{d}", lambda x: {"PathStartsWith": {"prefix": x}}
+    return [
+        {**prefix(p), "Method": {"include": ["GET"]}},
+        [prefix(p), {"not": {"or": [{"Method": {"include": ["OPTIONS"]}}, {"RemoteAddr": {"source": "10.1.0.0/16"}}]}}],
+        [{"Host": {"hosts": [f"{route.upper()}.EXAMPLE.com"]}}, {"RemoteAddr": {"source": f"10.{u % 4}.{u // 256}.{u % 256}"}}, {"or": [prefix(p + "1"), prefix(p + "2")]}],
+        [{"Method": {"include": ["POST", "PUT"]}}, {"or": [prefix(p + "3"), prefix(p + "4")]}],
+        {"RegexPath": {"regexp": p + "[5-9]?"}} if u % 50 == 4 else [prefix(p), {"RemoteAddr": {"source": "10.2.0.0/16"}}],
+    ][(u + d) % 5]
+
+
+@query(with_(MIXED_RULES_SQL, f"SELECT event_id, arg_min(name, ordinal) AS route FROM t LEFT JOIN rules ON {MIXED_RULE_HOLDS_SQL} GROUP BY event_id"))
+def e01_mixed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven rules for every user and route: hosts, methods, prefixes, patterns, networks and negations; the first that holds."""
+    t = traffic(spark, sf_dir)
+    users = sorted(map(tuple, t.select("user_id", "route_id").distinct().collect()))  # the rules are configuration
+    routes = [(f"r-{route}-{u}-{d}", _mixed_rule(route, u, d)) for d in range(7) for u, route in users]
+    return rulebook.assign_by_rules(t.select("event_id", "headers", "method", "path", "client_ip"), routes, "route").select("event_id", "route")
+
+
 NETS = [("all10", "10.0.0.0/8"), ("one", "10.1.0.0/16"), ("low", "10.1.0.0/25"), ("host", "10.2.0.6/32"), ("six", "fd00::/8")]
 
 
