@@ -11,6 +11,7 @@ REASONS = {
     403: "Forbidden", 404: "Not Found", 405: "Method Not Allowed", 409: "Conflict", 429: "Too Many Requests", 500: "Internal Server Error", 501: "Not Implemented",
     502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout",
 }
+# The alphabet of Base58, in the order of its digits.
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 IPV6 = (

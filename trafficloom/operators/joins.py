@@ -97,24 +97,36 @@ def match_networks(requests: DataFrame, networks: DataFrame, ip: str = "client_i
     return requests.join(hits, ip, "left")
 
 
-def expand_overrides(policy: DataFrame) -> DataFrame:
-    """(route_id, direction, status, level): '5xx', '401,403' and '429' as one row per status; later keys win."""
+def _statuses() -> Column:
     text = F.lower(F.trim("override_key"))
     family = F.substring(text, 1, 1).try_cast("int") * 100
-    statuses = F.when(text.rlike("^[0-9]xx$"), F.sequence(family, family + 99)).otherwise(F.transform(F.split(text, ","), lambda c: F.trim(c).try_cast("int")))
-    rows = policy.where("override_key is not null").select("route_id", "direction", "ordinal", "override_level", F.explode(statuses).alias("status")).where("status is not null")
+    return F.when(text.rlike("^[0-9]xx$"), F.sequence(family, family + 99)).otherwise(F.transform(F.split(text, ","), lambda c: F.trim(c).try_cast("int")))
+
+
+def expand_overrides(policy: DataFrame) -> DataFrame:
+    """(route_id, direction, status, level): '5xx', '401,403' and '429' as one row per status; later keys win."""
+    rows = policy.where("override_key is not null").select("route_id", "direction", "ordinal", "override_level", F.explode(_statuses()).alias("status")).where("status is not null")
     return rows.groupBy("route_id", "direction", "status").agg(F.max_by("override_level", "ordinal").alias("level"))
 
 
+def route_policies(policy: DataFrame) -> DataFrame:
+    """One row per route: request_base, response_base, and the overridden statuses of each direction as a map."""
+    rows = policy.select("route_id", "direction", "base_level", "ordinal", "override_level", F.explode_outer(_statuses()).alias("status"))
+    each = rows.groupBy("route_id", "direction", "status").agg(F.max("base_level").alias("base"), F.max_by("override_level", "ordinal").alias("level"))
+    own = lambda d, c: F.when(F.col("direction") == d, c)
+    changed = F.when(F.col("status").isNotNull(), F.struct("status", "level"))
+    return each.groupBy("route_id").agg(
+        *[F.max(own(d, F.col("base"))).alias(f"{d}_base") for d in ("request", "response")],
+        *[F.map_from_entries(F.collect_list(own(d, changed))).alias(f"_{d}") for d in ("request", "response")],
+    )
+
+
 def resolve_level(exchanges: DataFrame, policy: DataFrame) -> DataFrame:
-    """exchanges with request_base, response_base, request_level, response_level (NONE without a policy)."""
-    bases = policy.groupBy("route_id").agg(*[F.max(F.when(F.col("direction") == d, F.col("base_level"))).alias(f"{d}_base") for d in ("request", "response")])
-    out = exchanges.join(small(bases), "route_id", "left")
-    overrides = small(expand_overrides(policy))
+    """exchanges with request_base, response_base, request_level, response_level (NONE without a policy), by one join."""
+    out = exchanges.join(small(route_policies(policy)), "route_id", "left")
     for d in ("request", "response"):
-        own = overrides.where(F.col("direction") == d).select("route_id", "status", F.col("level").alias(f"_{d}"))
-        out = out.join(own, ["route_id", "status"], "left")
-        out = out.withColumn(f"{d}_base", F.coalesce(f"{d}_base", F.lit("NONE"))).withColumn(f"{d}_level", F.coalesce(f"_{d}", f"{d}_base")).drop(f"_{d}")
+        out = out.withColumn(f"{d}_base", F.coalesce(f"{d}_base", F.lit("NONE")))
+        out = out.withColumn(f"{d}_level", F.coalesce(F.try_element_at(f"_{d}", F.col("status").cast("int")), F.col(f"{d}_base"))).drop(f"_{d}")
     return out
 
 

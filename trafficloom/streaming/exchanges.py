@@ -52,7 +52,7 @@ def throttle_stream(rows: DataFrame, allowance: Allowance, watermark: str = "1 m
             state.remove()
             return
         bucket, out = (tuple(state.get) if state.exists else None), []
-        for at, request in pd.concat(list(frames)).sort_values(["at", "id"])[["at", "id"]].itertuples(index=False):
+        for at, request in pd.concat([f[["at", "id"]] for f in frames]).sort_values(["at", "id"]).itertuples(index=False):
             bucket, ok, left, wait = allowance.take(bucket, int(at))
             out.append((*key, int(request), ok, left, wait, allowance.capacity))
         state.update(bucket)
