@@ -15,10 +15,50 @@ SCHEMA = "doc_id long, text string"
 def test_slices_keep_bits_and_hashes():
     for n in (1_000, 300_000):
         keys, counts = bloom_lm.mix(np.arange(n).astype(np.uint64)), 1 + np.arange(n) % 9
-        hashes, bits = bloom_lm.build_slice(keys, counts, 4)
-        assert hashes == 4 and len(bits) * 8 >= 5.8 * bloom_lm.levels(counts).sum()
+        made = bloom_lm.FilterSlice(keys, counts, 4)
+        assert made.hashes == 4 and len(made.data) * 8 >= 5.8 * bloom_lm.levels(counts).sum()
+        assert (made.levels(keys) >= bloom_lm.levels(counts)).all()
         with pytest.raises(ValueError):  # never a thinner slice
-            bloom_lm.build_slice(keys, counts, 4, 1 << 10)
+            bloom_lm.FilterSlice(keys, counts, 4, 1 << 10)
+
+
+def test_answers_do_not_depend_on_the_shard():
+    g = np.random.default_rng(3)
+    keys, counts = np.unique(bloom_lm.mix(np.arange(50_000).astype(np.uint64))), g.integers(1, 30, 50_000)
+    asked = np.concatenate([keys, bloom_lm.mix(np.arange(50_000, 100_000).astype(np.uint64))])
+    found = []
+    for shards in (1, 16, 64):
+        of, level = bloom_lm._shard_of(keys, shards), np.zeros(len(asked), np.int64)
+        for k in range(shards):
+            mine = bloom_lm._shard_of(asked, shards) == k
+            level[mine] = bloom_lm.FilterSlice(keys[of == k], counts[of == k], 6).levels(asked[mine])
+        found.append(level)
+    assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
+    assert 0.001 < (found[0][50_000:] > 0).mean() < 0.06  # 2 ** -6, and cuts of few entries
+
+
+def exact(monkeypatch):
+    """Levels as they are counted, without the filter."""
+    class Known:
+        def __init__(self, keys, counts, hashes):
+            self.known = dict(zip(keys.tolist(), bloom_lm.levels(counts).tolist()))
+
+        def levels(self, keys):
+            return np.array([self.known.get(k, 0) for k in keys.tolist()], np.int64)
+
+    monkeypatch.setattr(bloom_lm, "FilterSlice", Known)
+
+
+def test_shards_and_files_change_no_score(spark, sf_dir, monkeypatch):
+    """Equal scores for 16 and 64 shards and other files; the filter's mistakes move a score by less than 0.01 a token."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    train = F.col("doc_id") % 5 != 1
+    few, many = ({r.doc_id: r for r in bloom_lm.score(d, train, shards=n).collect()} for d, n in ((docs, 16), (docs.repartition(7), 64)))
+    assert few == many or all(abs(few[i].score - many[i].score) < 1e-6 * abs(few[i].score) for i in few)
+    exact(monkeypatch)
+    true = {r.doc_id: r for r in bloom_lm.score(docs, train).collect()}
+    off = [abs(few[i].score - true[i].score) / few[i].n_tokens for i in few]
+    assert np.mean(off) < 0.01 and max(off) < 0.1
 
 
 def test_scores_equal_the_model(spark):

@@ -8,8 +8,10 @@ counts to shards by hash range, packed as arrays. A shard adds up all chunks, so
 entry a chunk however often, and in however many documents, it occurs.
 
 Filter. A count c is kept as level q = 1 + floor(log_b c): the n-gram is set with the levels 1 to q.
-Every shard builds the slice of its own hash range, with the same bits and hashes for each entry at
-every size of the input. A count is read back by probing levels until one is missing.
+The filter is cut by a fixed number of leading hash bits, and a cut's bits follow from its own n-grams, so
+neither shards nor files nor their sizes change an answer. Every shard builds the cuts of its hash range.
+A count is read back by probing levels until one is missing; with 12 hashes and half of the bits set, a
+missing level is found by mistake about once in 4,000 probes.
 
 Answers. A slice is probed where it was built: a shard reads back each n-gram that any chunk sent and
 returns levels (for words also exact counts) in the order in which they came. Shards multiply with the
@@ -19,19 +21,18 @@ Score. P(w | v) = (c(v,w) + mu * P(w)) / (c(v) + mu) with P(w) = (c(w) + 0.5) /
 all counts read from the filter; the score is the sum of log10 P over a text's tokens. The base score
 is the sum of log10 P(w) by exact counts. Both are made chunk by chunk from the answers.
 
-Defined cases: null and empty texts are one end token; each row has its own result; without training
-rows all counts are 0; further columns are ignored.
+Defined cases: null and empty texts are one end token; each row has its own result, repeated rows and rows
+with a null id too (those are learnt from); without training rows all counts are 0; an empty table gives no
+rows; very long texts are chunks of their own; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, materialise, prepare, record_batch, size_in_bytes, split_residue
@@ -40,6 +41,8 @@ END = 0x5EED5EED5EED5EED  # hash of the end token; START context is the end toke
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 BASE = 1.6  # of the count levels
+CUT_BITS = 18  # leading bits of a hash that name its cut of the filter, at every size of the input
+HASH_BITS = 1.45  # of a cut for each hash of an entry: half of the bits are set
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -85,8 +88,13 @@ ANSWERS_SQL = "chunk long, shard int, pairs boolean, levels binary, totals binar
 ANSWERS = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("pairs", pa.bool_()), ("levels", pa.binary()), ("totals", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
 
+def _cut_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - CUT_BITS)).astype(np.int64)
+
+
 def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    """Shards are runs of whole cuts."""
+    return _cut_of(keys) * shards >> CUT_BITS
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -184,27 +192,52 @@ def level_count(level: np.ndarray) -> np.ndarray:
     return np.where(level <= 1, level, (BASE ** (level - 1) + BASE ** np.maximum(level, 1)) / 2 - 0.5)
 
 
-def places(keys: np.ndarray, level: int, hashes: int, bits: np.ndarray) -> list[np.ndarray]:
-    """Bit numbers of (key, level) in a slice of `bits` bits."""
-    h = mix(keys + np.uint64(level * int(GOLD) & MASK))
-    first, step = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    return [(first + np.uint64(k) * step) % bits for k in range(hashes)]
+class FilterSlice:
+    """The filter over some whole cuts of the hash range, read by membership probes.
 
+    A cut is what shares its leading CUT_BITS of hash. It has bits of its own, HASH_BITS for each hash of an entry,
+    whatever shard or file it is in, so a probe's answer depends on the n-grams alone. A slice above max_bytes is
+    an error, never a thinner slice.
+    """
 
-def build_slice(keys: np.ndarray, counts: np.ndarray, hashes: int, max_bytes: int = 1 << 29) -> tuple[int, bytes]:
-    """(bits set for each entry, bit array) of one shard's n-grams: 1.45 bits for each hash of an entry at any size.
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, hashes: int, max_bytes: int = 1 << 29):
+        level, cut = levels(counts), _cut_of(keys)
+        self.hashes, self.low = hashes, int(cut.min(initial=1 << CUT_BITS))
+        entries = np.bincount(cut - self.low, level, 1)
+        self.bits = (64 * np.maximum(1, np.ceil(entries * hashes * HASH_BITS / 64))).astype(np.uint64)
+        ends = np.cumsum(self.bits).astype(np.int64)
+        self.first = ends - self.bits.astype(np.int64)
+        if ends[-1] > 8 * max_bytes:
+            raise ValueError(f"a slice of the filter needs {ends[-1] // 8} bytes, more than {max_bytes}: use more shards (a smaller entries_mb)")
+        data = np.zeros(ends[-1], bool)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            some = level >= q
+            for k in range(hashes):
+                data[self._place(keys[some], cut[some] - self.low, q, k)] = True
+        self.data = np.packbits(data, bitorder="little")
+
+    def _place(self, keys: np.ndarray, cut: np.ndarray, level: int, k: int) -> np.ndarray:
+        """Bit of (key, level) under the k-th hash."""
+        h = mix(keys + np.uint64(level * int(GOLD) & MASK))
+        spread = (h >> np.uint64(32)) + np.uint64(k) * ((h & np.uint64(0xFFFFFFFF)) | np.uint64(1))
+        return self.first[cut] + (spread % self.bits[cut]).astype(np.int64)
+
+    def has(self, keys: np.ndarray, level: int) -> np.ndarray:
+        cut = _cut_of(keys) - self.low
+        out = (cut >= 0) & (cut < len(self.bits))
+        for k in range(self.hashes):
+            live = np.flatnonzero(out)
+            at = self._place(keys[live], cut[live], level, k)
+            out[live] = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
 
-    A slice above max_bytes, to which places of 32 bits reach, is an error, never a thinner slice.
-    """
-    level = levels(counts)
-    size = max(64, -(-int(int(level.sum()) * hashes * 1.45) // 64) * 8)
-    if size > max_bytes:
-        raise ValueError(f"a slice of the filter needs {size} bytes, more than {max_bytes}: use more shards (a smaller entries_mb)")
-    bits = np.zeros(size * 8, bool)
-    for q in range(1, int(level.max(initial=0)) + 1):
-        for at in places(keys[level >= q], q, hashes, np.uint64(size * 8)):
-            bits[at.astype(np.int64)] = True
-    return hashes, np.packbits(bits, bitorder="little").tobytes()
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        level, live, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+        while len(live) and q < 64:
+            live = live[self.has(keys[live], q)]
+            level[live] = q
+            q += 1
+        return level
 
 
 def _add_shard(hashes: int):
@@ -215,8 +248,7 @@ def _add_shard(hashes: int):
         unique, number = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(number, np.concatenate([expand(x.as_py()) for x in group.column("counts")]), len(unique)).astype(np.int64)
         seen = total > 0
-        k, bits = build_slice(unique[seen], total[seen], hashes)
-        level = FrequencyFilter([Row(shard=0, hashes=k, bits=bits, n_words=0, n_tokens=0)], 1, 1).levels(unique)
+        level = FilterSlice(unique[seen], total[seen], hashes).levels(unique)
         parts = np.split(number, np.cumsum([len(x) for x in keys])[:-1])
         none, n = [None], len(parts)
         return pa.table({
@@ -227,46 +259,6 @@ def _add_shard(hashes: int):
     return add
 
 
-class FrequencyFilter:
-    """Slices of the filter, read by membership probes."""
-
-    def __init__(self, slices: Iterable[Row], shards: int, pair_shards: int):
-        """slices: rows of shard, hashes, bits, n_words, n_tokens, taken one after the other."""
-        self.shards, self.pair_shards, self.n_words, self.n_tokens = shards, pair_shards, 0, 0
-        self.first, self.bits, self.hashes = np.zeros(shards + pair_shards, np.int64), np.full(shards + pair_shards, 8, np.uint64), np.ones(shards + pair_shards, np.int64)
-        data = bytearray(1)
-        for r in slices:
-            self.first[r.shard], self.bits[r.shard], self.hashes[r.shard] = len(data) * 8, len(r.bits) * 8, r.hashes
-            self.n_words, self.n_tokens = self.n_words + r.n_words, self.n_tokens + r.n_tokens
-            data += r.bits
-        self.data = np.frombuffer(data, np.uint8)
-
-    def has(self, keys: np.ndarray, level: int, pairs: bool) -> np.ndarray:
-        shard = self.shards + _shard_of(keys, self.pair_shards) if pairs else _shard_of(keys, self.shards)
-        out = self.bits[shard] > 8
-        for k in range(int(self.hashes.max())):
-            live = np.nonzero(out & (self.hashes[shard] > k))[0]
-            if not len(live):
-                break
-            s = shard[live]
-            h = mix(keys[live] + np.uint64(level * int(GOLD) & MASK))
-            bit = ((h >> np.uint64(32)) + np.uint64(k) * ((h & np.uint64(0xFFFFFFFF)) | np.uint64(1))) % self.bits[s]
-            at = self.first[s] + bit.astype(np.int64)
-            out[live] = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return out
-
-    def levels(self, keys: np.ndarray, pairs: bool = False) -> np.ndarray:
-        level, live, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(live) and q < 64:
-            live = live[self.has(keys[live], q, pairs)]
-            level[live] = q
-            q += 1
-        return level
-
-    def counts(self, keys: np.ndarray, pairs: bool = False) -> np.ndarray:
-        return level_count(self.levels(keys, pairs)).astype(np.float64)
-
-
 SCORES_SQL = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -293,12 +285,14 @@ def _score_chunk(n_words: int, n_tokens: int, mu: float):
     return run
 
 
-def score(documents: DataFrame, train: F.Column, mu: float = 2000.0, hashes: int = 4, entries_mb: int = 16) -> DataFrame:
+def score(documents: DataFrame, train: F.Column, mu: float = 2000.0, hashes: int = 12, entries_mb: int = 16, shards: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
-    `train` marks the rows to learn from. Counting is dealt to shards of about `entries_mb` of input.
+    `train` marks the rows to learn from. Counting is dealt to `shards`, else to as many as make about `entries_mb` of
+    input; their number changes no score. A probe for a level that isn't there succeeds once in 2 ** hashes.
     """
-    shards = int(max(16, min(100_000, size_in_bytes(documents) // (entries_mb << 20))))
+    shards = shards or max(16, size_in_bytes(documents) // (entries_mb << 20))
+    shards = int(min(1 << CUT_BITS - 2, shards))
     chunks = _chunks(documents, train)
     answers = materialise(_entries(chunks, shards, 4 * shards).groupBy("shard").applyInArrow(_add_shard(hashes), ANSWERS_SQL), "lm-answers")
     sums = answers.where("chunk is null").agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens")).first()
