@@ -8,8 +8,8 @@ Search: a fingerprint is cut into blocks. Two fingerprints within the radius agr
 `radius` blocks at least, so for each choice of blocks a table keyed by them holds both under one key;
 candidates are checked with the exact Hamming distance. Equal fingerprints are one entry.
 
-Defined cases: null and empty texts have no votes and the fingerprint 0; null ids come before all
-others; rows of equal doc_id are ordered by their text's hash; the document after the last is the
+Defined cases: null and empty texts have one empty term, so all of them share one fingerprint; a bit
+whose votes tie is 0; very long texts are taken whole, as rows of terms; null ids come before all others; rows of equal doc_id are ordered by their text's hash; the document after the last is the
 first, so a single document follows itself; an empty table gives an empty result; further columns are
 ignored.
 """
