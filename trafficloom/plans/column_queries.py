@@ -32,7 +32,9 @@ def htext(sql: str) -> str:
     return HEADERS_TEXT_SQL.format(sql)
 
 
-REASON_SQL = "CASE status " + " ".join(f"WHEN {c} THEN '{r}'" for c, r in X.REASONS.items()) + " ELSE 'Unknown' END"
+# Fixed values, of the oracle's own: reason phrases of the statuses that the traffic has.
+REASON_SQL = """CASE status WHEN 200 THEN 'OK' WHEN 201 THEN 'Created' WHEN 304 THEN 'Not Modified' WHEN 404 THEN 'Not Found' WHEN 429 THEN 'Too Many Requests'
+  WHEN 500 THEN 'Internal Server Error' WHEN 502 THEN 'Bad Gateway' ELSE 'Unknown' END"""
 over_traffic("c01_duration", lambda t: {"duration_s": F.round(X.duration_s(), 6)}, "round((client_end_ns - client_start_ns) / 1e9, 6) AS duration_s")
 over_traffic("c02_proxied", lambda t: {"was_proxied": X.was_proxied(), "proxy_duration_s": F.round(X.proxy_duration_s(), 6)},
              "proxy_start_ns <> -1 AS was_proxied, CASE WHEN proxy_start_ns <> -1 THEN round((proxy_end_ns - proxy_start_ns) / 1e9, 6) END AS proxy_duration_s")
@@ -97,7 +99,7 @@ def _forwarded(t):
 over_traffic("c17_client_ip", lambda t: {"ip": H.client_ip(_forwarded(t), F.when(F.col("k") % 4 != 3, F.lit("192.0.2.7")))["ip"], "ip_source": H.client_ip(_forwarded(t), F.when(F.col("k") % 4 != 3, F.lit("192.0.2.7")))["source"]},
              "CASE WHEN k % 3 = 0 THEN client_ip WHEN k % 3 = 1 AND k % 2 = 0 THEN '::1' WHEN k % 4 <> 3 THEN '192.0.2.7' END AS ip, "
              "CASE WHEN k % 3 = 0 THEN 'X_FORWARDED_FOR' WHEN k % 3 = 1 AND k % 2 = 0 THEN 'X_REAL_IP' WHEN k % 4 <> 3 THEN 'SOCKET' ELSE 'UNKNOWN' END AS ip_source")
-B58 = X.BASE58
+B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"  # fixed value, of the oracle's own
 MILLIS, SALT = "(client_start_ns // 1000000)", "(event_id * 7919)"
 ID_SQL = " || ".join(f"substr('{B58}', CAST(({n} // {58**i}) % 58 + 1 AS INTEGER), 1)" for n in (MILLIS, SALT) for i in range(7, -1, -1))
 
