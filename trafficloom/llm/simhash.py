@@ -6,12 +6,20 @@ are counted two bits to a long, so the aggregation has 32 sums.
 
 Search: a fingerprint is cut into blocks. Two fingerprints within the radius agree in all but
 `radius` blocks at least, so for each choice of blocks a table keyed by them holds both under one key;
-candidates are checked with the exact Hamming distance. Equal fingerprints are one entry.
+candidates are checked with the exact Hamming distance. Equal fingerprints are one entry. Where many
+fingerprints share a key their pairs are not made: two of them within the radius have a fingerprint between
+them, at most half the radius from the one and the rest from the other, so each is entered under all
+fingerprints that near and linked with the smallest of those at most half the radius off. All members of such
+an entry are within the radius of that one, so the classes are the same and the work is linear in members.
+
+Classes: documents whose fingerprints are reached from each other by steps within the radius are one class,
+named by its smallest doc_id.
 
 Defined cases: null and empty texts have one empty term, so all of them share one fingerprint; a bit
-whose votes tie is 0; very long texts are taken whole, as rows of terms; null ids come before all others; rows of equal doc_id are ordered by their text's hash; the document after the last is the
-first, so a single document follows itself; an empty table gives an empty result; further columns are
-ignored.
+whose votes tie is 0; very long texts are taken whole, as rows of terms; null ids come before all others,
+and a class of null ids alone has a null name; rows of equal doc_id are ordered by their text's hash; the
+document after the last is the first, so a single document follows itself; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +29,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions_for
+from .common import BROADCAST_IDS, materialise, partitions_for
+from .components import components
 
 LANES = 0x0000000100000001
+CROWD = 128  # members of a key above which they are linked through the fingerprints between them: no link depends on it
 
 
 def terms(text: Column) -> Column:
@@ -77,7 +87,7 @@ def _id_ranges(ids: DataFrame, parts: int) -> tuple[list[int], bool]:
 
 
 def with_next(documents: DataFrame) -> DataFrame:
-    """Columns range, place, doc_id, text, next_id, next_text; place numbers the rows of a range.
+    """Columns range, place, doc_id, text, next_range, next_place, next_id, next_text; place numbers the rows of a range.
 
     Rows are dealt to ranges of doc_id; the first document of a range is also put after the range
     before it (of all: after the last range), so each range finds its followers by itself.
@@ -99,10 +109,16 @@ def with_next(documents: DataFrame) -> DataFrame:
     place = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
     guest = F.struct(before.alias("range"), F.lit(True).alias("guest"))
     dealt = rows.withColumn("range", own).withColumn("place", F.explode(F.when(begins, F.array(place, guest)).otherwise(F.array(place))))
-    dealt = dealt.select(F.col("place.range").alias("range"), F.col("place.guest").alias("guest"), "doc_id", "text")
+    dealt = dealt.select(F.col("place.range").alias("range"), F.col("place.guest").alias("guest"), F.col("range").alias("home"), "doc_id", "text")
     order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    found = dealt.select("*", F.row_number().over(order).alias("place"), F.lead("doc_id").over(order).alias("next_id"), F.lead("text").over(order).alias("next_text"))
-    return found.where(~F.col("guest")).drop("guest")
+    place = F.row_number().over(order)
+    follower = [F.lead(c).over(order).alias(f"next_{c}") for c in ("doc_id", "text", "guest", "home")]
+    found = dealt.select("*", place.alias("place"), *follower).where(~F.col("guest"))
+    return found.select(
+        "range", "place", "doc_id", "text", F.col("next_home").alias("next_range"),
+        F.when(F.col("next_guest"), 1).otherwise(F.col("place") + 1).alias("next_place"),  # a guest is the first of its own range
+        F.col("next_doc_id").alias("next_id"), "next_text",
+    )
 
 
 def edited(documents: DataFrame) -> DataFrame:
@@ -125,9 +141,10 @@ def block_tables(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFra
 
 
 def near(prints: DataFrame, others: DataFrame, radius: int = 3, blocks: int = 6, how: str = "inner") -> DataFrame:
-    """Pairs (fingerprint, other) of different fingerprints within the radius, each once.
+    """Pairs (fingerprint, other) of different fingerprints within the radius, each once: a stated set against others.
 
-    Both inputs have distinct fingerprints. With how="left_semi" the fingerprints that have a partner.
+    Both inputs have distinct fingerprints. With how="left_semi" the fingerprints that have a partner. The pairs of
+    a whole table grow with the square of its groups; `classes` is for these.
     """
     a, b = block_tables(prints, radius, blocks).alias("a"), block_tables(others, radius, blocks).withColumnRenamed("fingerprint", "other").alias("b")
     close = (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (F.col("fingerprint") != F.col("other")) & (F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) <= radius)
@@ -135,21 +152,68 @@ def near(prints: DataFrame, others: DataFrame, radius: int = 3, blocks: int = 6,
     return joined.select("fingerprint").distinct() if how == "left_semi" else joined.select("fingerprint", "other").distinct()
 
 
+def _wide(masks: list[int]) -> Column:
+    return F.lit([m - (1 << 64) if m >> 63 else m for m in masks])
+
+
+def _between(radius: int) -> tuple[list[int], list[int]]:
+    """Bits to flip towards fingerprints at most half the radius off, and at most the rest of it off."""
+    def within(reach: int) -> list[int]:
+        return [sum(1 << b for b in bits) for n in range(reach + 1) for bits in combinations(range(64), n)]
+
+    return within(radius // 2), within(radius - radius // 2)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast if a count shows that it has at most BROADCAST_IDS rows (of two or three longs)."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
+def links(prints: DataFrame, radius: int = 3, blocks: int = 6, crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b) of the distinct fingerprints `prints` that are within the radius and connect all that are.
+
+    Keys of at most `crowd` members give each of their pairs within the radius; members of other keys are
+    linked through the fingerprints between them.
+    """
+    table = block_tables(prints, radius, blocks)
+    shared = table.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(table.join(shared, ["table", "key"]), "fingerprint-keys")
+    lists = members.where(F.col("n") <= crowd).groupBy("table", "key").agg(F.collect_list("fingerprint").alias("of"))
+    pairs = lists.select("of", F.explode("of").alias("a")).select("a", F.explode("of").alias("b"))
+    direct = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+
+    hot = materialise(members.where(F.col("n") > crowd).select("fingerprint").distinct(), "fingerprint-crowds")
+    near, far = _between(radius)
+    entered = [hot.select("fingerprint", F.explode(_wide(m)).alias("flip")).select("fingerprint", F.col("fingerprint").bitwiseXOR(F.col("flip")).alias("middle")) for m in (near, far)]
+    heads = materialise(entered[0].groupBy("middle").agg(F.min("fingerprint").alias("head")), "fingerprint-heads")
+    around = entered[1].join(_small(heads), "middle").where(F.col("head") != F.col("fingerprint"))
+    starred = around.select(F.least("head", "fingerprint").alias("a"), F.greatest("head", "fingerprint").alias("b"))
+    return direct.unionByName(starred).distinct()
+
+
+def classes(table: DataFrame, radius: int = 3, blocks: int = 6, crowd: int = CROWD) -> DataFrame:
+    """fingerprint, class_id, class_size of each fingerprint of `table` (doc_id, fingerprint) that more than one document is near."""
+    distinct = materialise(table.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "fingerprints-distinct")
+    linked = components(links(distinct.select("fingerprint"), radius, blocks, crowd)).withColumnRenamed("node", "fingerprint")
+    placed = materialise(distinct.join(linked, "fingerprint", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "fingerprint")), "fingerprint-classes")
+    named = placed.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
+    return placed.select("fingerprint", "component").join(_small(named), "component").select("fingerprint", "class_id", "class_size")
+
+
 def edit_report(documents: DataFrame, radius: int = 3) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, both fingerprints, likenesses, and whether another document is near."""
-    rows = edited(documents).select(
-        "range", "place", "doc_id", "next_id", "n_chars", F.xxhash64("text").alias("own"), F.xxhash64("next_text").alias("after"), F.unhex(F.sha2(F.col("edited"), 256)).alias("sha"),
-        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("version"),
-    )
-    key = ["range", "place", "doc_id", "next_id", "n_chars", "own", "after", "sha", "which"]
-    prints = fingerprints(rows.select(*key[:-1], "version.which", "version.text"), key)
-    both = prints.groupBy(*key[:-1]).agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    table = materialise(both.drop("range", "place"), "fingerprints")
-    texts = table.groupBy(F.col("own").alias("after")).agg(F.any_value("fingerprint").alias("next_fingerprint"))
-    distinct = table.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    partners = near(distinct.select("fingerprint"), distinct.select("fingerprint"), radius, how="left_semi").withColumn("partner", F.lit(True))
-    marked = distinct.join(partners, "fingerprint", "left").select("fingerprint", ((F.col("n") > 1) | F.coalesce("partner", F.lit(False))).alias("has_near"))
-    return table.join(texts, "after").join(marked, "fingerprint").select(
-        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), hex_of(F.col("fingerprint")).alias("fingerprint"), hex_of(F.col("edited_fingerprint")).alias("edited_fingerprint"),
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "has_near",
+    """doc_id, n_chars, edited_sha256, both fingerprints, likenesses, whether another document is near, class and its size."""
+    key = ["range", "place", "doc_id", "next_range", "next_place", "n_chars", "sha"]
+    versions = F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).alias("text")) for k, c in enumerate(("text", "edited"))])
+    rows = edited(documents).withColumn("sha", F.unhex(F.sha2(F.col("edited"), 256))).select(*key, F.explode(versions).alias("version"))
+    prints = fingerprints(rows.select(*key, "version.which", "version.text"), [*key, "which"])
+    of = [F.max(F.when(F.col("which") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))]
+    table = materialise(prints.groupBy(*key).agg(*of), "fingerprints")
+    after = table.select(F.col("range").alias("next_range"), F.col("place").alias("next_place"), F.col("fingerprint").alias("next_fingerprint"))
+    grouped = materialise(classes(table.select("doc_id", "fingerprint"), radius, 6), "classes")
+    found = table.join(after, ["next_range", "next_place"]).join(_small(grouped), "fingerprint", "left")
+    return found.select(
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
+        hex_of(F.col("fingerprint")).alias("fingerprint"), hex_of(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.col("class_size").isNotNull().alias("has_near"), F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
     )
