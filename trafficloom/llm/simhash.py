@@ -172,15 +172,21 @@ def _small(df: DataFrame) -> DataFrame:
 def links(prints: DataFrame, radius: int = 3, blocks: int = 6, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b) of the distinct fingerprints `prints` that are within the radius and connect all that are.
 
-    Keys of at most `crowd` members give each of their pairs within the radius; members of other keys are
-    linked through the fingerprints between them.
+    Keys of at most `crowd` members give their pairs within the radius, but for those that a smaller member is near
+    on both sides (that one's own pairs connect them). Members of other keys are linked through the fingerprints
+    between them.
     """
+    def close(x: Column, y: Column) -> Column:
+        return F.bit_count(x.bitwiseXOR(y)) <= radius
+
     table = block_tables(prints, radius, blocks)
     shared = table.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(table.join(shared, ["table", "key"]), "fingerprint-keys")
     lists = members.where(F.col("n") <= crowd).groupBy("table", "key").agg(F.collect_list("fingerprint").alias("of"))
-    pairs = lists.select("of", F.explode("of").alias("a")).select("a", F.explode("of").alias("b"))
-    direct = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    each = lists.select("of", F.explode("of").alias("a"))
+    below = each.withColumn("below", F.filter("of", lambda z: (z < F.col("a")) & close(z, F.col("a"))))
+    above = F.filter("of", lambda b: (b > F.col("a")) & close(b, F.col("a")) & ~F.exists("below", lambda z: close(z, b)))
+    direct = below.select("a", F.explode(above).alias("b"))
 
     hot = materialise(members.where(F.col("n") > crowd).select("fingerprint").distinct(), "fingerprint-crowds")
     near, far = _between(radius)
