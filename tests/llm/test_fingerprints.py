@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trafficloom.llm import simhash
+from trafficloom.llm import queries, simhash
 
 SCHEMA = "doc_id long, text string, fingerprint string, range int"
 ALL = (1 << 64) - 1
@@ -113,3 +113,11 @@ def test_dense_groups_make_fewer_links_than_pairs(spark, bits):
     linked = simhash.components(spark.createDataFrame(links))
     assert linked.agg(F.count_distinct("node"), F.count_distinct("component")).first() == (n, 1)
     assert len(links) < n * (bits + math.comb(bits, 2) + math.comb(bits, 3)) / 4
+
+
+def test_edited_texts_need_no_classes(spark, sf_dir, monkeypatch):
+    """The query of the edited texts alone makes no fingerprints, and gives what the whole report gives."""
+    whole = simhash.edit_report(queries.read_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256").collect()
+    monkeypatch.setattr(simhash, "fingerprints", None)
+    monkeypatch.setattr(simhash, "classes", None)
+    assert sorted(queries.edited_texts(spark, sf_dir).collect()) == sorted(whole)

@@ -29,10 +29,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, materialise, partitions_for
+from .common import materialise, partitions_for
 from .components import components
 
 LANES = 0x0000000100000001
+FEW = 100_000  # rows of two or three longs (some MB on the driver) that may be broadcast
 CROWD = 128  # members of a key above which they are linked through the fingerprints between them: no link depends on it
 
 
@@ -122,11 +123,20 @@ def with_next(documents: DataFrame) -> DataFrame:
 
 
 def edited(documents: DataFrame) -> DataFrame:
-    """with_next, and the text whose last half the next document's beginning replaces."""
+    """with_next, and the text whose last half the next document's beginning replaces, with its SHA-256."""
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     text = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half))
-    return with_next(documents).withColumn("edited", text).withColumn("n_chars", n.cast("long"))
+    return with_next(documents).withColumn("edited", text).withColumn("n_chars", n.cast("long")).withColumn("sha", F.unhex(F.sha2(F.col("edited"), 256)))
+
+
+def digest() -> Column:
+    return F.lower(F.hex("sha")).alias("edited_sha256")
+
+
+def edit_digests(documents: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256 of edit_report by its own editing step, without fingerprints and classes."""
+    return edited(documents).select("doc_id", "n_chars", digest())
 
 
 def block_tables(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -165,8 +175,8 @@ def _between(radius: int) -> tuple[list[int], list[int]]:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df, broadcast if a count shows that it has at most BROADCAST_IDS rows (of two or three longs)."""
-    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+    """df, broadcast if a count shows that it has at most FEW rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def links(prints: DataFrame, radius: int = 3, blocks: int = 6, crowd: int = CROWD) -> DataFrame:
@@ -210,7 +220,7 @@ def edit_report(documents: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, likenesses, whether another document is near, class and its size."""
     key = ["range", "place", "doc_id", "next_range", "next_place", "n_chars", "sha"]
     versions = F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).alias("text")) for k, c in enumerate(("text", "edited"))])
-    rows = edited(documents).withColumn("sha", F.unhex(F.sha2(F.col("edited"), 256))).select(*key, F.explode(versions).alias("version"))
+    rows = edited(documents).select(*key, F.explode(versions).alias("version"))
     prints = fingerprints(rows.select(*key, "version.which", "version.text"), [*key, "which"])
     of = [F.max(F.when(F.col("which") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))]
     table = materialise(prints.groupBy(*key).agg(*of), "fingerprints")
@@ -218,7 +228,7 @@ def edit_report(documents: DataFrame, radius: int = 3) -> DataFrame:
     grouped = materialise(classes(table.select("doc_id", "fingerprint"), radius, 6), "classes")
     found = table.join(after, ["next_range", "next_place"]).join(_small(grouped), "fingerprint", "left")
     return found.select(
-        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
+        "doc_id", "n_chars", digest(),
         hex_of(F.col("fingerprint")).alias("fingerprint"), hex_of(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
         F.col("class_size").isNotNull().alias("has_near"), F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
