@@ -159,3 +159,17 @@ def test_snapshots_keep_few_versions(spark, tmp_path):
 def test_snapshot_of_an_empty_stream_batch(spark, tmp_path):
     J.write_snapshot(spark.range(0).withColumn("x", F.lit("a")), f"file://{tmp_path}/e")
     assert J.read_snapshot(spark, f"file://{tmp_path}/e").columns == ["id", "x"]
+
+
+def test_python_sees_six_values_of_an_event(spark, places):
+    """Headers and times pass the stateful processor as one text; what an odd slice says comes back whole."""
+    path, out, state = places
+    rows = [("a", 1, "CLIENT_REQUEST", at(0, start_line='GET /"\\\né', headers=[("X", None), ("Y", "")])), ("a", 2, "CLIENT_RESPONSE", at(0)), ("a", 3, "END", at(0) | END | {"attributes": []}), ("b", 1, "STRANGE", at(0)), ("b", 2, "REQUEST_BODY", at(0, body=b"\xff")), ("b", 3, "END", at(0) | END)]
+    assert RS._packed(events(spark, rows), True).columns == ["req_id", "seq", "code", "event_time", "text", "body"]
+    deliver(spark, path, rows)
+    S.poll(RS.reassemble_stream(S.tail_events(spark, path)).writeStream.option("path", out), state, None).awaitTermination()
+    found = spark.read.schema(RS.EXCHANGE_ROW).parquet(out)
+    whole = assemble.reassemble(events(spark, rows))
+    assert found.where("outcome = 'COMPLETE'").select(whole.columns).collect() == whole.collect() != []
+    odd = found.where("req_id = 'b'").first()
+    assert (odd.outcome, odd.request_body) == ("NO_CLIENT_REQUEST", [b"\xff"])

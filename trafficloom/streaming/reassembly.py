@@ -1,13 +1,15 @@
 """Whole exchanges from a stream of journal events, with keyed state.
 
-The state of an id is a value (counters, address, deadline), a map of its slices and a list of its body
-fragments, so an event adds to what is stored and rewrites none of it. An exchange whose events arrive in
-one micro-batch never enters the state. A timer in event time ends what stays open.
+The state of an id is a value (counters, address, deadline, its four slices at most) and a list of its body
+fragments, so a fragment adds to what is stored and rewrites none of the others. An exchange whose events arrive
+in one micro-batch never enters the state. A timer in event time ends what stays open. What a slice or an END
+says passes Python as one JSON text that is taken apart afterwards: Python pays for each value of a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -23,7 +25,16 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 NUMBERS = tuple(c for c in END_COLUMNS if c != "attributes")
 SLICE = f"level string, status int, start_line string, headers {PAIRS}"
 SIDES = ("REQUEST_BODY", "RESPONSE_BODY")
-HEAD = "generation bigint, started boolean, seen bigint, request_parts int, response_parts int, client_ip string, client_ip_source string, deadline bigint"
+HEAD = "generation bigint, started boolean, seen bigint, request_parts int, response_parts int, deadline bigint, slices array<string>"
+#: What Python sees of an event and makes of an exchange. A slice is a JSON text with its address, an END one with its status.
+CODES = {kind: code for code, kind in enumerate((*SLICES, *SIDES, "END"))}
+PACKED_SLICE = f"{SLICE}, client_ip string, client_ip_source string"
+PACKED_END = "status int, " + ", ".join(f"{c} bigint" for c in NUMBERS) + f", attributes {PAIRS}"
+PACKED_ROW = (
+    "req_id string, generation bigint, outcome string, " + ", ".join(f"{k.lower()} string" for k in SLICES)
+    + ", request_body array<binary>, response_body array<binary>, ended string, request_fragments int, response_fragments int"
+)
+PACKED = Row("req_id", "generation", "outcome", *[k.lower() for k in SLICES], "request_body", "response_body", "ended", "request_fragments", "response_fragments")
 
 
 def _slice_type(kind: str) -> str:
@@ -37,24 +48,19 @@ EXCHANGE_ROW = (
     + ", ".join(f"{c} bigint" for c in NUMBERS)
     + f", attributes {PAIRS}, start_line string, route_id string, request_fragments int, response_fragments int"
 )
-NAMED = Row(
-    "req_id", "generation", "outcome", *[k.lower() for k in SLICES], "client_ip", "client_ip_source", "request_body", "response_body", "status", *NUMBERS,
-    "attributes", "start_line", "route_id", "request_fragments", "response_fragments",
-)
 
 
 class _Open:
-    """An open exchange: what the state holds of it, read when it is needed, and what this batch adds."""
+    """An open exchange: what the state holds of it, fragments apart, and what this batch adds."""
 
-    def __init__(self, generation: int = 0, started: bool = False, seen: int = 0, request_parts: int = 0, response_parts: int = 0, client_ip: str | None = None, client_ip_source: str | None = None, deadline: int | None = None):
+    def __init__(self, generation: int = 0, started: bool = False, seen: int = 0, request_parts: int = 0, response_parts: int = 0, deadline: int | None = None, slices: Sequence[str | None] = (None,) * len(SLICES)):
         self.generation, self.started, self.seen, self.deadline = generation, started, seen, deadline
         self.parts = [request_parts, response_parts]
-        self.address = client_ip, client_ip_source
-        self.slices: dict[str, tuple] = {}
+        self.slices = list(slices)
         self.bodies: list[tuple] = []
 
     def head(self) -> tuple:
-        return self.generation, self.started, self.seen, *self.parts, *self.address, self.deadline
+        return self.generation, self.started, self.seen, *self.parts, self.deadline, self.slices
 
 
 class ExchangeProcessor(StatefulProcessor):
@@ -64,82 +70,114 @@ class ExchangeProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.head = handle.getValueState("head", HEAD)
-        self.slices = handle.getMapState("slices", "kind string", SLICE)
-        self.parts = handle.getListState("parts", "side string, seq bigint, body binary")
+        self.parts = handle.getListState("parts", "side int, seq bigint, body binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803  (names that Spark calls)
-        stored = self.head.exists()
-        now = _Open(*self.head.get()) if stored else _Open()
-        timer, last, made = now.deadline, 0, []
-        for row in sorted(rows, key=lambda r: r["seq"]):
-            last = max(last, row["at_ms"] or 0)
+        held = self.head.get()
+        stored = held is not None
+        now = _Open(*held) if stored else _Open()
+        kept = sum(now.parts)  # fragments of `now` that the state holds
+        timer, last, made = now.deadline, None, []
+        for row in sorted(rows, key=_seq):
+            _, seq, code, moment, text, body = row
+            last = moment if last is None or moment is not None and moment > last else last
             now.seen += 1
-            kind = row["event_type"]
-            if kind in SIDES:
+            if code < len(SLICES):
+                now.started = True
+                now.slices[code] = text
+            elif code < END:
                 if now.started:  # a fragment counts only after the first slice of its generation
-                    now.parts[kind == "RESPONSE_BODY"] += 1
+                    now.parts[code - len(SLICES)] += 1
                     if self.bodies:
-                        now.bodies.append((kind, row["seq"], row["body"]))
-            elif kind != "END":
+                        now.bodies.append((code, seq, body))
+            elif code != END:  # a slice of a kind that no row shows
                 now.started = True
-                now.slices[kind] = (row["journal_level"], row["status"], row["start_line"], row["headers"])
-                if kind == "CLIENT_REQUEST":
-                    now.address = row["client_ip"], row["client_ip_source"]
             else:
-                made.append(self._row(key[0], now, stored, row))
+                made.append(self._row(key[0], now, kept, text))
                 if stored:
-                    self._clear()
-                stored, now = False, _Open(now.generation + 1)
+                    self._clear(kept)
+                stored, kept, now = False, 0, _Open(now.generation + 1)
         if timer is not None:
             self.handle.deleteTimer(timer)
         if now.seen:
-            now.deadline = max(last, timerValues.getCurrentWatermarkInMs()) + self.limit_ms
+            now.deadline = max(_millis(last), timerValues.getCurrentWatermarkInMs()) + self.limit_ms
             self.head.update(now.head())
-            for kind, value in now.slices.items():
-                self.slices.updateValue((kind,), value)
             if now.bodies:
                 self.parts.appendList(now.bodies)
             self.handle.registerTimer(now.deadline)
         return iter(made)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if not self.head.exists():
+        held = self.head.get()
+        if held is None:
             return iter(())
-        made = self._row(key[0], _Open(*self.head.get()), True, None)
-        self._clear()
+        now = _Open(*held)
+        made = self._row(key[0], now, sum(now.parts), None)
+        self._clear(sum(now.parts))
         return iter((made,))
 
     def close(self) -> None:
         pass
 
-    def _clear(self) -> None:
-        for state in (self.head, self.slices, self.parts):
-            state.clear()
+    def _clear(self, kept: int) -> None:
+        self.head.clear()
+        if kept and self.bodies:
+            self.parts.clear()
 
-    def _row(self, req_id: str, now: _Open, stored: bool, end: Row | None) -> Row:
-        slices, bodies = dict(now.slices), list(now.bodies)
-        if stored:
-            slices = {k[0]: tuple(v) for k, v in self.slices.iterator()} | slices
+    def _row(self, req_id: str, now: _Open, kept: int, end: str | None) -> Row:
+        bodies = now.bodies
+        if kept and self.bodies:
             bodies = sorted([tuple(x) for x in self.parts.get()] + bodies, key=lambda x: x[1])
-        status = None if end is None else end["status"] or 0
         if end is None:
             outcome = "IN_FLIGHT"
         elif not now.started:
             outcome = "ORPHAN_END"
-        elif "CLIENT_REQUEST" not in slices:
+        elif now.slices[0] is None:
             outcome = "NO_CLIENT_REQUEST"
         else:
-            outcome = "COMPLETE" if status > 0 else "NO_STATUS"
-        shown = []
-        for kind in SLICES:
-            value = slices.get(kind)
-            shown.append(value if value is None or kind.endswith("RESPONSE") else (value[0], *value[2:]))
-        given = [None if end is None else end[c] for c in NUMBERS]
-        attributes = None if end is None else end["attributes"]
-        route = next((a["value"] for a in attributes or () if a["name"] == "gateway.route.id"), None)
-        line = slices["CLIENT_REQUEST"][2] if "CLIENT_REQUEST" in slices else None
-        texts = [[bytes(x[2]) for x in bodies if x[0] == side] for side in SIDES] if self.bodies else [None, None]
-        return NAMED(req_id, now.generation, outcome, *shown, *now.address, *texts, status, *given, attributes, line, route, *now.parts)
+            outcome = "COMPLETE"  # or NO_STATUS, which the END's text decides
+        texts = [[bytes(x[2]) for x in bodies if x[0] == CODES[side]] for side in SIDES] if self.bodies else [None, None]
+        return PACKED(req_id, now.generation, outcome, *now.slices, *texts, end, *now.parts)
+
+
+END = CODES["END"]
+EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
+
+
+def _seq(row: Row) -> int:
+    return row[1]
+
+
+def _millis(moment: datetime.datetime | None) -> int:
+    """Milliseconds since 1970; a moment without a zone is one of the worker's own."""
+    return 0 if moment is None else (moment.astimezone(datetime.timezone.utc) - EPOCH) // datetime.timedelta(milliseconds=1)
+
+
+def _packed(events: DataFrame, bodies: bool) -> DataFrame:
+    """The six columns that the processor reads."""
+    kind = F.col("event_type")
+    slice_ = F.struct(F.col("journal_level").alias("level"), "status", "start_line", "headers", "client_ip", "client_ip_source")
+    text = F.when(kind.isin(list(SLICES)), F.to_json(slice_)).when(kind == "END", F.to_json(F.struct("status", *END_COLUMNS)))
+    code = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, n in CODES.items()], F.lit(END + 1))
+    return events.select("req_id", "seq", code.alias("code"), "event_time", text.alias("text"), (F.col("body") if bodies else F.lit(None).cast("binary")).alias("body"))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """EXCHANGE_ROW from what the processor makes."""
+    each = rows.select("*", *[F.from_json(k.lower(), PACKED_SLICE).alias(f"_{k.lower()}") for k in SLICES], F.from_json("ended", PACKED_END).alias("_end"))
+    ended = F.col("ended").isNotNull()
+    status = F.when(ended, F.coalesce("_end.status", F.lit(0)))
+    outcome = F.when((F.col("outcome") == "COMPLETE") & (status <= 0), "NO_STATUS").otherwise(F.col("outcome"))
+    made = ["req_id", "generation", outcome.alias("outcome")]
+    for kind in SLICES:
+        c = F.col(f"_{kind.lower()}")
+        fields = ["level", *(["status"] if kind.endswith("RESPONSE") else []), "start_line", "headers"]
+        made.append(F.when(F.col(kind.lower()).isNotNull(), F.struct(*[c[f].alias(f) for f in fields])).alias(kind.lower()))
+    route = F.get(F.filter("_end.attributes", lambda a: a["name"] == "gateway.route.id"), F.lit(0))["value"]
+    return each.select(
+        *made, *[F.col(f"_{SLICES[0].lower()}.{c}").alias(c) for c in ("client_ip", "client_ip_source")], "request_body", "response_body", status.alias("status"),
+        *[F.col(f"_end.{c}").alias(c) for c in END_COLUMNS], F.col(f"_{SLICES[0].lower()}.start_line").alias("start_line"), route.alias("route_id"), "request_fragments", "response_fragments",
+    )
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -159,8 +197,6 @@ def reassemble_stream(events: DataFrame, timeout: str = "10 minutes", watermark:
     spark = events.sparkSession
     prepare(spark)
     use_rocksdb(spark)
-    read = ["req_id", "seq", "event_type", "event_time", F.unix_millis("event_time").alias("at_ms"), "journal_level", "status", "start_line", "headers", "client_ip", "client_ip_source"]
-    read += ["body"] if bodies else []
-    slim = events.select(*read, *END_COLUMNS).withWatermark("event_time", watermark)
+    slim = _packed(events.withWatermark("event_time", watermark), bodies)
     processor = ExchangeProcessor(int(pd.Timedelta(timeout).total_seconds() * 1000), bodies)
-    return slim.groupBy("req_id").transformWithState(processor, EXCHANGE_ROW, "Append", "EventTime")
+    return _unpacked(slim.groupBy("req_id").transformWithState(processor, PACKED_ROW, "Append", "EventTime"))
