@@ -85,3 +85,23 @@ def test_edges(spark):
     for bad in ({"Nothing": {}}, {"Host": {"host": []}}, {"Method": "GET"}, "text"):
         with pytest.raises(ValueError):
             rulebook.assign_by_rules(df, [("x", bad)])
+
+
+def test_more_rules_than_a_driver_reads(spark):
+    """A table of more than 100,000 rules, ordered by a struct; a request meets only those anchored in what it has."""
+    rules = spark.range(120_000).selectExpr(
+        "named_struct('a', id % 7, 'b', id) as ordinal", "concat('r', id) as route_id",
+        """concat('{"PathStartsWith": {"prefix": "/', id, '/"}, "not": {"Method": {"include": ["PUT"]}}}') as rule""",
+    )
+    df = spark.createDataFrame([(n, [], m, f"/{n}/x", None) for n, m in ((3, "GET"), (99_999, "PUT"), (110_000, None), (120_000, "GET"))], "id int, headers array<struct<name: string, value: string>>, method string, path string, client_ip string")
+    got = rulebook.assign_by_rules(df, rules)
+    assert {r.id: r.route_id for r in got.collect()} == {3: "r3", 99_999: None, 110_000: "r110000", 120_000: None}
+
+
+def test_anchors_hold_wherever_the_rule_does():
+    m, p = {"Method": {"include": ["GET"]}}, {"PathStartsWith": {"prefix": "/long"}}
+    anchors = lambda rule: rulebook.compiled(rule)[1]
+    assert anchors([m, p]) == ["P:/long"] and anchors({"or": [m, p]}) == ["M:GET", "P:/long"]
+    assert anchors({"not": p}) == anchors(None) == ["*"]
+    assert anchors({"not": [{"not": p}]}) == ["P:/long"] and anchors({"not": []}) == []
+    assert [rulebook.literal_beginning(x) for x in ("/ab?c", "/ab[cd]", "/a|b", "(/a)", "/ab+", "/a.b", "/ab{0}")] == ["/a", "/ab", "", "", "/ab", "/a", "/a"]
