@@ -79,3 +79,15 @@ def test_ranges_cover_every_line_once(tmp_path):
             got = [row[2] for part in reader.partitions(a, b) for row in reader.read(part)]
             text = data[a.get("s.jsonl", 0) : b["s.jsonl"]].decode()
             assert got == text.split("\n")[:-1] and (own is None or len(got) == len(own))
+
+
+def test_lines_come_in_batches(tmp_path, monkeypatch):
+    """Spark gets whole record batches; lines longer than what is read together, and bytes that aren't UTF-8, come as before."""
+    monkeypatch.setattr(growing, "PIECE", 7)
+    lines = [b"a", b"", b"long" * 20, b"\xff", "é".encode() * 9, b"z"]
+    (tmp_path / "s.jsonl").write_bytes(b"\n".join(lines) + b"\n")
+    for size in (1, 13, 1000):
+        reader = growing.GrowingSegments({"path": str(tmp_path), "rangeBytes": str(size)}).streamReader(None)
+        batches = [b for part in reader.partitions({}, reader.latestOffset()) for b in reader.read(part)]
+        assert [x for b in batches for x in b.column(2).to_pylist()] == [x.decode("utf-8", "replace") for x in lines]
+        assert [x for b in batches for x in b.column(1).to_pylist()] == [sum(len(y) + 1 for y in lines[:k]) for k in range(len(lines))]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -18,6 +20,7 @@ from ..schema import EVENT_SCHEMA
 from ..workers import prepare
 
 TAIL = 1 << 16  # bytes that are looked at together in the search for a line's end
+PIECE = 1 << 20  # bytes that are read together
 
 
 def _open_store(path: str):
@@ -81,31 +84,49 @@ class SegmentReader(DataSourceStreamReader):
         return made
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
-        """(segment, position, line) of the stretch; the line that begins before its end is read to its own end."""
+        """(segment, position, line) of the stretch."""
+        for batch in self.batches(partition):
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def batches(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        """(segment, position, line) of the stretch, a batch a piece; the line that begins before its end is read to its own end."""
         store, base = _open_store(self.path)
         with store.open_input_file(f"{base.rstrip('/')}/{partition.segment}") as file:
             at = partition.start if partition.whole else partition.start - 1
             file.seek(at)
-            held, skip = b"", not partition.whole
+            held, skip = [], not partition.whole
             while at < partition.stop or skip:
-                piece = file.read(1 << 20)
+                piece = file.read(PIECE)
                 if not piece:
                     return
-                lines = (held + piece).split(b"\n")
-                held = lines.pop()
-                for line in lines:
-                    if skip:
-                        skip = False
-                    elif at < partition.stop:
-                        yield partition.segment, at, line.decode("utf-8", "replace")
-                    at += len(line) + 1
-                    if at >= partition.stop and not skip:
-                        return
+                cut = piece.rfind(b"\n") + 1
+                if not cut:  # a long line: its pieces are put together once
+                    held.append(piece)
+                    continue
+                text, held = b"".join([*held, piece[:cut]]), [piece[cut:]]
+                lines = text[:-1].split(b"\n")
+                positions = at + np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)])
+                at = int(positions[-1])
+                first, skip = int(skip), False
+                n = int(np.searchsorted(positions[:-1], partition.stop))
+                if n > first:
+                    try:
+                        texts = pa.array(lines[first:n], pa.binary()).cast(pa.string())
+                    except pa.ArrowInvalid:  # not UTF-8 somewhere
+                        texts = pa.array([x.decode("utf-8", "replace") for x in lines[first:n]], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([partition.segment] * (n - first), pa.string()), pa.array(positions[first:n], pa.int64()), texts], names=["segment", "position", "line"])
 
     def commit(self, end: dict) -> None:
         pass
 
 
+class BatchReader(SegmentReader):
+    """The same for Spark, which takes whole record batches."""
+
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        return self.batches(partition)
+
+
 class GrowingSegments(DataSource):
     """Format `growing_segments`. Options: path (a folder), suffix (.jsonl), rangeBytes (32 MB)."""
 
@@ -117,7 +138,7 @@ class GrowingSegments(DataSource):
         return "segment string, position bigint, line string"
 
     def streamReader(self, schema: StructType) -> SegmentReader:  # noqa: N802
-        return SegmentReader(self.options)
+        return BatchReader(self.options)
 
 
 def tail_lines(spark: SparkSession, path: str, suffix: str = ".jsonl", range_bytes: int | None = None) -> DataFrame:
