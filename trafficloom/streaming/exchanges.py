@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +52,17 @@ def throttle_stream(rows: DataFrame, allowance: Allowance, watermark: str = "1 m
         if state.hasTimedOut:
             state.remove()
             return
-        bucket, out = (tuple(state.get) if state.exists else None), []
-        for at, request in pd.concat([f[["at", "id"]] for f in frames]).sort_values(["at", "id"]).itertuples(index=False):
-            bucket, ok, left, wait = allowance.take(bucket, int(at))
-            out.append((*key, int(request), ok, left, wait, allowance.capacity))
+        bucket, made = (tuple(state.get) if state.exists else None), []
+        # groups are many and small: plain arrays cost a fraction of a frame's sort and rows
+        at, ids = (np.concatenate(x) for x in zip(*[(f["at"].to_numpy(), f["id"].to_numpy()) for f in frames]))
+        order = np.lexsort((ids, at))
+        for moment in at[order].tolist():
+            bucket, *taken = allowance.take(bucket, int(moment))
+            made.append(taken)
         state.update(bucket)
         state.setTimeoutTimestamp(max(bucket[1] // 1_000_000, state.getCurrentWatermarkMs()) + max(1, allowance.expiry_ns // 1_000_000))
-        yield pd.DataFrame(out, columns=columns)
+        n = len(made)
+        yield pd.DataFrame(dict(zip(columns, ([key[0]] * n, [key[1]] * n, ids[order], *map(list, zip(*made)), [allowance.capacity] * n))))
 
     prepare(rows.sparkSession)
     timed = rows.withColumn("event_time", X.utc_micros("at")).withWatermark("event_time", watermark)
