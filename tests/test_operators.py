@@ -282,3 +282,11 @@ def test_ip_sources_read_ends_and_client_requests_alone(spark, sf_dir, monkeypat
     found = {r.client_ip_source: r.n for r in Q.f13_ip_source_counts(spark, sf_dir).collect()}
     assert asked == [{"bodies": False, "slices": ()}]
     assert found == {r.client_ip_source: r["count"] for r in real(Q.journal(spark, sf_dir)).groupBy("client_ip_source").count().collect()}
+
+
+def test_addresses_of_users_beyond_two_bytes_are_malformed(spark):
+    """The traffic view's addresses are well-formed below user 65,536; others fall through and lie in no network."""
+    rows = spark.createDataFrame([(u, f"10.{u % 4}.{u // 256}.{u % 256}") for u in (0, 65_535, 65_536, 89_999)], "u int, client_ip string")
+    forwarded = F.array(F.struct(F.lit("X-Forwarded-For").alias("name"), F.col("client_ip").alias("value")))
+    got = rows.select("u", P.remote_addr("10.0.0.0/8").alias("hit"), H.client_ip(forwarded, F.lit("192.0.2.7"))["source"].alias("source")).collect()
+    assert [(r.hit, r.source) for r in got] == [(True, "X_FORWARDED_FOR")] * 2 + [(False, "SOCKET")] * 2
