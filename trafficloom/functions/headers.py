@@ -26,8 +26,11 @@ def _same(h: Column, name: str, ignore_case: bool) -> Column:
 def pairs_to_map(pairs) -> Column:
     """MAP<name, ARRAY<value>>; names keep their case, values their order."""
     c = _or_none(pairs)
-    names = F.array_distinct(F.transform(c, lambda h: h["name"]))
-    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.transform(F.filter(c, lambda h: h["name"] == n), lambda h: h["value"]))))
+    names, values = c["name"], c["value"]
+    distinct = F.array_distinct(names)
+    gathered = F.transform(distinct, lambda n: F.struct(n, F.transform(F.filter(c, lambda h: h["name"] == n), lambda h: h["value"])))
+    # only where a name comes twice are the pairs searched for each name
+    return F.when(F.size(distinct) == F.size(names), F.map_from_arrays(names, F.transform(values, lambda v: F.array(v)))).otherwise(F.map_from_entries(gathered))
 
 
 def header_all(pairs, name: str, ignore_case: bool = True) -> Column:

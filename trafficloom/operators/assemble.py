@@ -30,10 +30,15 @@ def _grouped(events: DataFrame, bodies: bool = True, slices: Sequence[str] = SLI
     def of(kind: str, aggregate: str) -> str:
         return f"{aggregate} filter (where event_type = '{kind}')"
 
-    aggs = {k.lower(): of(k, f"max_by(struct(journal_level, {'status, ' if k.endswith('RESPONSE') else ''}start_line, headers), seq)") for k in slices}
-    aggs["_address"] = of("CLIENT_REQUEST", "max_by(struct(client_ip, client_ip_source), seq)")
+    def last(kind: str, fields: str) -> str:
+        # a maximum of structs is copied with every event of the group, whatever its kind; a list takes its own events
+        # alone. Where fragments are collected the group's events are held anyway.
+        return f"array_max({of(kind, f'collect_list(struct(seq, {fields}))')})" if bodies else of(kind, f"max_by(struct({fields}), seq)")
+
+    aggs = {k.lower(): last(k, f"journal_level, {'status, ' if k.endswith('RESPONSE') else ''}start_line, headers") for k in slices}
+    aggs["_address"] = last("CLIENT_REQUEST", "client_ip, client_ip_source")
     aggs |= {f"_end_{c}": of("END", f"max({c})") for c in ("status", *END_COLUMNS) if c != "attributes"}
-    aggs["_end_attributes"] = of("END", "first(attributes)")
+    aggs["_end_attributes"] = f"get({of('END', 'collect_list(attributes)')}, 0)" if bodies else of("END", "first(attributes)")
     aggs |= {"_has_end": "bool_or(event_type = 'END')", "_has_client": "bool_or(event_type = 'CLIENT_REQUEST')"}
     # a fragment counts only after the first metadata event of its generation
     aggs["_start"] = f"min(seq) filter (where event_type in {SLICES})"
