@@ -1,6 +1,7 @@
 """Streams that are cut, replayed, late or read twice."""
 
 import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,68 @@ def test_events_read_again_stay_once(spark, places):
     assert sorted((r.req_id, r.seq) for r in spark.read.parquet(out).collect()) == [("a", n) for n in range(7)] + [("b", 3)]
 
 
+def ids(df):
+    return sorted((r.req_id, r.seq) for r in df.collect())
+
+
+@pytest.mark.parametrize("most", [1_000, 0])
+def test_segments_read_again_stay_once(spark, places, monkeypatch, most):
+    """No id is held in a state; segments without copies are not written again (K4). Too many with copies: all are compared."""
+    monkeypatch.setattr(BT, "MOST_FILES", most)
+    path, out, state = places
+    minute = 60_000
+    first = [("a", n, "REQUEST_BODY", at(n, shard=n % 2, body=b"x", headers=[("H", "v")])) for n in range(6)]
+    again = [*first[3:], ("a", 6, "REQUEST_BODY", at(6)), ("b", 3, "REQUEST_BODY", at(6))]
+    timeless = ("t", 1, "REQUEST_BODY", at(0) | {"event_time": None})
+    deliveries = [
+        [first], [again, again, again], [[("late", 1, "REQUEST_BODY", at(1)), ("c", 1, "REQUEST_BODY", at(9, body=b"y"))], [("d", 1, "REQUEST_BODY", at(60)), timeless]],
+        [[timeless, ("d", 1, "REQUEST_BODY", at(60)), ("a", 6, "REQUEST_BODY", at(6))], [("e", 1, "REQUEST_BODY", at(60))]],
+    ]
+    for parts in deliveries:
+        for rows in parts:
+            deliver(spark, path, rows) if rows[0] is not timeless and rows[-1] is not timeless else events(spark, rows).write.mode("append").parquet(f"{path}/shard=7/date=2024-01-01")
+        BT.dedupe_segments(spark, path, out, state, 4 * minute).awaitTermination()
+    found = BT.deduped(spark, path, out)
+    assert ids(found) == [("a", n) for n in range(7)] + [("b", 3), ("c", 1), ("d", 1), ("e", 1), ("t", 1)]
+    kept = {r.seq: r for r in found.where("req_id = 'a' and seq < 6").collect()}
+    assert all((r.shard, r.body, r.headers[0].value) == (n % 2, b"x", "v") for n, r in kept.items()) and len(kept) == 6
+    written = BT.read_batches(spark, f"{out}/events", EVENT_SCHEMA)
+    if most:
+        assert written.where("batch = 0").count() == 0 and ids(written.where("batch = 2")) == [("c", 1)]
+    assert not (Path(state.removeprefix("file://")) / "state").exists()
+    remembered = {x.name for x in (Path(out.removeprefix("file://")) / "ids").iterdir()}
+    assert remembered == {"batch=2", "batch=3"} and ("a", 6) not in ids(spark.read.parquet(f"{out}/ids/batch=3"))
+
+
+def test_segments_replay_a_batch(spark, places, monkeypatch):
+    path, out, state = places
+    run = lambda: BT.dedupe_segments(spark, path, out, state, 60_000).awaitTermination()
+    deliver(spark, path, [("a", 1, "END", at(0)), ("a", 2, "END", at(0))])
+    run()
+    deliver(spark, path, [("a", 2, "END", at(0)), ("b", 1, "END", at(1))])
+    real = BT.write_batch
+
+    def failing(df, where, batch, partition_by=()):
+        if where.endswith("/marks"):
+            raise RuntimeError("lost")
+        real(df, where, batch, partition_by)
+
+    monkeypatch.setattr(BT, "write_batch", failing)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.setattr(BT, "write_batch", real)
+    run()
+    assert ids(BT.deduped(spark, path, out)) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_slices_without_headers(spark):
+    rows = [("a", 1, "CLIENT_REQUEST", at(0, start_line="GET /", headers=[("X", "y")])), ("a", 2, "CLIENT_RESPONSE", at(0, status=201)), ("a", 3, "END", at(0) | END)]
+    whole, bare = (assemble.reassemble(events(spark, rows), headers=h).first().asDict(recursive=True) for h in (True, False))
+    for part in ("client_request", "client_response"):
+        del whole[part]["headers"]
+    assert bare == whole
+
+
 def test_snapshots_keep_few_versions(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     for n in range(30):

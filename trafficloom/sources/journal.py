@@ -143,6 +143,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that it holds, if there is one."""
+    fs, where = _files(spark, path)
+    fs.delete(where, True)
+
+
 def _numbers(spark: SparkSession, path: str) -> list[int]:
     """Numbers that name the entries of a folder, ascending; none where there is no such folder."""
     fs, where = _files(spark, path)

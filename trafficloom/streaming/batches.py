@@ -7,13 +7,16 @@ doubled and nothing is missing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.journal import exists
-from .exchanges import poll
+from ..operators.assemble import dedupe_events
+from ..schema import EVENT_SCHEMA
+from ..sources.journal import exists, remove
+from .exchanges import poll, tail_segments
 
 
 def batch_path(path: str, batch: int) -> str:
@@ -36,7 +39,8 @@ def dedupe_stream(events: DataFrame, within: str = "10 minutes") -> DataFrame:
 
     A copy is recognised while the first one's event time is at most `within` behind the newest: ids leave
     the state after that, so it is bounded. Rows that come later than `within` are dropped by the watermark;
-    put late_gate before, where they have to be kept.
+    put late_gate before, where they have to be kept. Every row is shuffled, and a backlog's ids are all held in the
+    state until it is read: dedupe_segments takes large ones.
     """
     return events.withWatermark("event_time", within).dropDuplicatesWithinWatermark(["req_id", "seq"])
 
@@ -83,6 +87,76 @@ def on_time_stream(spark: SparkSession, path: str, schema: str, max_files: int |
     return spark.readStream.schema(schema).options(**options).parquet(f"{path}/events/batch=*/late=false")
 
 
+IDS = "req_id string, seq bigint, ms bigint"
+MOST_FILES = 1_000  # with repeated ids that are told apart; beyond it every row of the batch is compared
+
+
+def _suspects(ids: DataFrame, seen: DataFrame) -> list[int] | None:
+    """Files with an id that comes twice, among `ids` (hash, file) or in what was seen; None: it may be any file.
+
+    Ids are counted by their hash. Two that share one name a file without need, which changes no result; a file
+    is a hash as well.
+    """
+    old = seen.select(F.xxhash64("req_id", "seq").alias("hash"), F.lit(None).cast("bigint").alias("file"))
+    counts = ids.unionByName(old).groupBy("hash").agg(F.count("*").alias("n"), F.count("file").alias("new"), F.min("file").alias("first"), F.max("file").alias("last"))
+    # the least and the greatest name them all, unless there are three copies in different files
+    named = F.when((F.col("new") <= 2) | (F.col("first") == F.col("last")), F.array("first", "last")).otherwise(F.array(F.lit(None).cast("bigint")))
+    found = [r.file for r in counts.where("n > 1 and new > 0").select(F.explode(named).alias("file")).distinct().limit(MOST_FILES + 1).collect()]
+    return None if None in found or len(found) > MOST_FILES else found
+
+
+def _segments(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    """Events of some files of a folder; none of no files."""
+    none = spark.createDataFrame([], EVENT_SCHEMA)
+    return spark.read.schema(EVENT_SCHEMA).option("basePath", path).parquet(*files).select(none.columns) if files else none
+
+
+def dedupe_segments(spark: SparkSession, path: str, out: str, checkpoint: str, within_ms: int, every: str | None = None, max_files: int | None = None) -> StreamingQuery:
+    """Tell which events of a folder's segments are new, as the segments come, each batch once (K4); `deduped` reads them.
+
+    The rows of dedupe_stream, with no id held in memory: the stream carries the names of new segments, and a batch
+    reads the columns it needs. Ids are counted by hash, with those remembered. What a crash has read again lies in
+    few segments: these are compared id by id and written anew to out/events. All others are named in out/segments and
+    stay where they are, so the folder has to keep them. An id stays in out/ids while it is at most twice
+    `within_ms` behind the newest event: a row is at most once that late, and its copy's time may differ by as much.
+    Rows later than that are dropped as by a watermark.
+    """
+
+    def write(names: DataFrame, batch: int) -> None:
+        spark, ms, file = names.sparkSession, F.unix_millis("event_time"), F.col("_metadata.file_path")
+        before = _newest(spark, out, batch)
+        rows = _segments(spark, path, [r.path for r in names.collect()])
+        found = rows.groupBy(file.alias("file")).agg(F.min(ms).alias("oldest"), F.max(F.coalesce(ms, F.lit(2**62))).alias("last"), F.max(ms).alias("newest")).select("*", F.xxhash64("file").alias("hash")).collect()
+        newest = max([x for x in (before, *[r.newest for r in found]) if x is not None], default=None)
+        late = None if before is None else before - within_ms
+        old_enough = F.lit(True) if late is None else F.coalesce(ms >= late, F.lit(True))
+        seen = spark.read.schema(IDS).parquet(batch_path(f"{out}/ids", batch - 1)) if batch else spark.createDataFrame([], IDS)
+        named = _suspects(rows.where(old_enough).select(F.xxhash64("req_id", "seq").alias("hash"), F.xxhash64(file).alias("file")), seen)
+        changed = [named is None or r.hash in named or (late is not None and r.oldest is not None and r.oldest < late) for r in found]
+        places = [unquote(r.file) for r in found]  # Spark gives them as URIs
+        whole = [p for p, c in zip(places, changed) if not c]
+        old = seen.select(F.col("req_id").alias("_req_id"), F.col("seq").alias("_seq"))
+        doubted = _segments(spark, path, [p for p, c in zip(places, changed) if c]).where(old_enough)
+        new = doubted.join(old, F.col("req_id").eqNullSafe(F.col("_req_id")) & F.col("seq").eqNullSafe(F.col("_seq")), "left_anti")
+        write_batch(dedupe_events(new), f"{out}/events", batch)
+        write_batch(spark.createDataFrame([(p,) for p in whole], "path string").coalesce(1), f"{out}/segments", batch)
+        horizon = None if newest is None else newest - 2 * within_ms
+        recent = [unquote(r.file) for r, c in zip(found, changed) if not c and (horizon is None or r.last >= horizon)]  # an event without a time counts as the newest
+        kept = _segments(spark, path, recent).unionByName(spark.read.schema(EVENT_SCHEMA).parquet(batch_path(f"{out}/events", batch)))
+        known = kept.select("req_id", "seq", F.coalesce(ms, F.lit(newest).cast("bigint")).alias("ms")).unionByName(seen)
+        write_batch(known if horizon is None else known.where(F.coalesce(F.col("ms") >= horizon, F.lit(True))), f"{out}/ids", batch)
+        write_batch(spark.createDataFrame([(newest,)], MARK).coalesce(1), f"{out}/marks", batch)
+        remove(spark, batch_path(f"{out}/ids", batch - 2))  # a replay reads the ids of the batch before
+
+    return poll(tail_segments(spark, path, max_files).writeStream.foreachBatch(write), checkpoint, every)
+
+
+def deduped(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """The events of the folder that dedupe_segments went through, each once."""
+    files = [r.path for r in read_batches(spark, f"{out}/segments", "path string").collect()]
+    return _segments(spark, path, files).unionByName(read_batches(spark, f"{out}/events", EVENT_SCHEMA).drop("batch"))
+
+
 def late_anomalies(late: DataFrame) -> DataFrame:
     """req_id, seq, event_type, anomaly of late rows whose loss is felt: an END, a body or a slice."""
     kind = F.col("event_type")

@@ -28,6 +28,12 @@ def tail_events(spark: SparkSession, path: str, max_files: int | None = None, cl
     return spark.readStream.schema(f"{EVENT_SCHEMA}, date date").options(**options).parquet(path)
 
 
+def tail_segments(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Stream of the names of a journal's files, each once; what they hold isn't read."""
+    options = {"pathGlobFilter": "*.parquet"} | ({"maxFilesPerTrigger": str(max_files)} if max_files else {})
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").options(**options).load(path).select("path")
+
+
 def poll(writer: DataStreamWriter, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
     """Start with a fixed polling interval; every=None reads what there is and stops."""
     writer = writer.option("checkpointLocation", checkpoint)
