@@ -105,3 +105,17 @@ def test_anchors_hold_wherever_the_rule_does():
     assert anchors({"not": p}) == anchors(None) == ["*"]
     assert anchors({"not": [{"not": p}]}) == ["P:/long"] and anchors({"not": []}) == []
     assert [rulebook.literal_beginning(x) for x in ("/ab?c", "/ab[cd]", "/a|b", "(/a)", "/ab+", "/a.b", "/ab{0}")] == ["/a", "/ab", "", "", "/ab", "/a", "/a"]
+
+
+def test_mixed_rules_of_users_beyond_the_third_number(spark, tmp_path):
+    """From user 65,536 on the view's client_ip is no address; rules and requests name one all the same."""
+    import duckdb
+
+    from trafficloom.plans import exchange_queries as Q
+
+    rows = [(i, u, "view", 1.0, f'{{"k": {k}}}') for i, (u, k) in enumerate((u, k) for u in (3, 65_535, 65_536, 65_538, 75_009, 89_999, 262_148) for k in (2, 11, 14, 36, 41, 43, 57, 64, 73))]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string").selectExpr("*", "timestamp_ntz '2024-01-01 00:00:00' as ts").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = dict(duck.execute(Q.ORACLE["e01_mixed_rules"]).fetchall())
+    assert {r.event_id: r.route for r in Q.e01_mixed_rules(spark, str(tmp_path)).collect()} == want and len(set(want.values())) > 10
