@@ -91,3 +91,41 @@ def test_lines_come_in_batches(tmp_path, monkeypatch):
         batches = [b for part in reader.partitions({}, reader.latestOffset()) for b in reader.read(part)]
         assert [x for b in batches for x in b.column(2).to_pylist()] == [x.decode("utf-8", "replace") for x in lines]
         assert [x for b in batches for x in b.column(1).to_pylist()] == [sum(len(y) + 1 for y in lines[:k]) for k in range(len(lines))]
+
+
+def test_more_ranges_than_tasks_become_longer(tmp_path):
+    lines = [b"x" * (n % 7) for n in range(400)]
+    for name, part in (("a", lines[:300]), ("b", lines[300:])):
+        (tmp_path / f"{name}.jsonl").write_bytes(b"".join(x + b"\n" for x in part))
+    for ranges, most in ((0, 2000), (5, 7), (1, 2)):
+        reader = growing.SegmentReader({"path": str(tmp_path), "rangeBytes": "1", "ranges": str(ranges)})
+        parts = reader.partitions({"a.jsonl": 0}, reader.latestOffset())
+        assert (len(parts) > 1000) == (not ranges) and len(parts) <= most
+        assert [r[2].encode() for part in parts for r in reader.read(part)] == lines
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([("a", 0, '{"seq": 1}'), ("a", 11, "broken")], "segment string, position bigint, line string")
+    rows = growing._events(lines).where("_bad is null").select("seq", "headers", "body")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [tuple(r) for r in rows.collect()] == [(1, None, None)]
+
+
+def test_read_segments_leave_the_disk(spark, sf_dir, monkeypatch):
+    """More deliveries, the same rows; the folder never holds more than one of them."""
+    from trafficloom.plans import exchange_queries as Q
+
+    whole = sorted(map(tuple, Q.a02_growing_segments(spark, sf_dir).collect()))
+    held, real = [], S.poll
+
+    def polled(writer, state, every):
+        held.append(spark.read.text(paths[0]).count())
+        return real(writer, state, every)
+
+    paths, made = [], Q.scratch
+    monkeypatch.setattr(Q, "scratch", lambda s, name: paths.append(made(s, name)) or paths[-1])
+    monkeypatch.setattr(S, "poll", polled)
+    monkeypatch.setattr(Q, "DELIVERED", 400)
+    assert sorted(map(tuple, Q.a02_growing_segments(spark, sf_dir).collect())) == whole
+    assert sum(held) == sum(r[1] for r in whole) and max(held) < sum(held) / 2 and len(held) >= 4
+    assert not Q.J.exists(spark, paths[0])

@@ -21,6 +21,7 @@ from ..workers import prepare
 
 TAIL = 1 << 16  # bytes that are looked at together in the search for a line's end
 PIECE = 1 << 20  # bytes that are read together
+RANGES = 8  # of a batch for each core, before they become longer
 
 
 def _open_store(path: str):
@@ -57,6 +58,7 @@ class Stretch(InputPartition):
 class SegmentReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.suffix, self.range_bytes = options["path"], options.get("suffix", ".jsonl"), int(options.get("rangeBytes", 32 << 20))
+        self.ranges = int(options.get("ranges", 0))
 
     def initialOffset(self) -> dict:  # noqa: N802  (names that Spark calls)
         return {}
@@ -74,13 +76,15 @@ class SegmentReader(DataSourceStreamReader):
         return found
 
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
-        made = []
+        """Ranges of rangeBytes; of more where a batch would have more than `ranges` of them, as each costs a task."""
+        made, new = [], sum(stop - start.get(name, 0) for name, stop in end.items())
+        size = max(self.range_bytes, -(-new // self.ranges)) if self.ranges else self.range_bytes
         for name, stop in sorted(end.items()):
             begun = start.get(name, 0)
             if begun > stop:
                 raise ValueError(f"segment {name} has become shorter than what was read of it: {stop} < {begun}")
-            for a in range(begun, stop, self.range_bytes):
-                made.append(Stretch(name, a, min(stop, a + self.range_bytes), a == begun))
+            for a in range(begun, stop, size):
+                made.append(Stretch(name, a, min(stop, a + size), a == begun))
         return made
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
@@ -128,7 +132,7 @@ class BatchReader(SegmentReader):
 
 
 class GrowingSegments(DataSource):
-    """Format `growing_segments`. Options: path (a folder), suffix (.jsonl), rangeBytes (32 MB)."""
+    """Format `growing_segments`. Options: path (a folder), suffix (.jsonl), rangeBytes (32 MB), ranges (beyond so many they become longer; 0: any number)."""
 
     @classmethod
     def name(cls) -> str:
@@ -149,12 +153,16 @@ def tail_lines(spark: SparkSession, path: str, suffix: str = ".jsonl", range_byt
     """
     prepare(spark)
     spark.dataSource.register(GrowingSegments)
-    options = {"path": path, "suffix": suffix} | ({"rangeBytes": str(range_bytes)} if range_bytes else {})
+    options = {"path": path, "suffix": suffix, "ranges": str(RANGES * spark.sparkContext.defaultParallelism)} | ({"rangeBytes": str(range_bytes)} if range_bytes else {})
     return spark.readStream.format("growing_segments").options(**options).load()
 
 
+def _events(lines: DataFrame) -> DataFrame:
+    parsed = F.from_json("line", f"{EVENT_SCHEMA}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    # a generator, since a condition on what it makes isn't moved before it: each line is parsed once
+    return lines.select(F.inline(F.array(parsed)), "segment", "position")
+
+
 def tail_growing_events(spark: SparkSession, path: str, **how) -> DataFrame:
     """Stream of journal events from JSON lines that are still being written; `_bad` has the text of what is none."""
-    lines = tail_lines(spark, path, **how)
-    parsed = F.from_json("line", f"{EVENT_SCHEMA}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    return lines.select(parsed.alias("e"), "segment", "position").select("e.*", "segment", "position")
+    return _events(tail_lines(spark, path, **how))
